@@ -185,7 +185,7 @@ def listing(prospects: DataFrame, limit: int, city: str | None = None) -> DataFr
     return best.orderBy("domain").limit(limit)
 
 
-def by_id(prospects: DataFrame, prospect_id: str) -> DataFrame:
+def by_id(prospects: DataFrame, prospect_id: str | Column) -> DataFrame:
     return prospects.filter(F.col("id") == prospect_id)
 
 
