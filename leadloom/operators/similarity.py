@@ -234,7 +234,9 @@ def best_match(ranked: DataFrame, clients: DataFrame, client_key: str = "client_
 
 def similarity_points(similarity: Column) -> Column:
     """Up to 10 points; 5 when there was nothing to compare with."""
-    return F.coalesce(F.least(similarity * F.lit(0.1), F.lit(10.0)), F.lit(5.0))
+    return F.when(similarity.isNull(), F.lit(5.0)).otherwise(
+        F.least(similarity * F.lit(0.1), F.lit(10.0))
+    )
 
 
 def explanation(similarity: Column) -> Column:

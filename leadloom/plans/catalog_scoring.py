@@ -272,8 +272,8 @@ def _(v: Inputs):
     return rows.select("id", similarity.explanation(F.col("similarity")).alias("explanation"))
 
 
-@query("e10_match_report", f"""SELECT id, final_score, {o.RECOMMENDATION} AS recommendation, similar
-FROM {{o_scored}} LEFT JOIN (SELECT b.domain, string_agg(c.name || '=' || CAST(CAST(r.similarity AS DECIMAL(10,2)) AS VARCHAR), '|' ORDER BY r.rank) AS similar
+@query("e10_match_report", f"""SELECT id, final_score, {o.RECOMMENDATION} AS recommendation, similar_list
+FROM {{o_scored}} LEFT JOIN (SELECT b.domain, string_agg(c.name || '=' || CAST(CAST(r.similarity AS DECIMAL(10,2)) AS VARCHAR), '|' ORDER BY r.rank) AS similar_list
  FROM {{o_ranked}} r JOIN {{brand_vectors}} b USING (vec_id) JOIN {{clients}} c USING (client_id) WHERE r.rank <= 5 GROUP BY b.domain) USING (domain)""")
 def _(v: Inputs):
     by_domain = ranked(v, 5).join(v.brand_vectors.select("vec_id", "domain"), "vec_id")
@@ -283,7 +283,7 @@ def _(v: Inputs):
     out = scoring.match_report(rows, by_domain, v.clients)
     line = F.array_join(F.transform("similar_clients", lambda s: F.concat(
         s["client"], F.lit("="), s["similarity"].cast("decimal(10,2)").cast("string"))), "|")
-    return out.select("id", "final_score", "recommendation", line.alias("similar"))
+    return out.select("id", "final_score", "recommendation", line.alias("similar_list"))
 
 
 @query("e11_supported_cities", "SELECT DISTINCT city FROM {streets}")

@@ -37,9 +37,9 @@ def saved_prospects(v: Inputs) -> str:
 
 
 @query("io1_read_prospects", """SELECT id, domain, city, store_count, coalesce(avg_suit_price_eur, 0) AS avg_suit_price_eur, final_score,
- coalesce(location_quality, 'standard') AS location_quality, 'new' AS status FROM {stored_rows} WHERE city = 'nation_3'""")
+ coalesce(location_quality, 'standard') AS location_quality, 'new' AS status FROM {stored_rows}""")
 def _(v: Inputs):
-    return store.read_prospects(v.spark, saved_prospects(v)).filter("city = 'nation_3'").select(STORED)
+    return store.read_prospects(v.spark, saved_prospects(v)).select(STORED)
 
 
 @query("io2_append_prospects", """SELECT id, domain, city, store_count, coalesce(avg_suit_price_eur, 0) AS avg_suit_price_eur, final_score,
@@ -65,7 +65,7 @@ def _(v: Inputs):
         F.array_join("sustainability_certs", "|").alias("certs"))
 
 
-@query("io4_flatten_results", """SELECT call_id, city, query_index, pos - 1 AS rank, hit.url AS url, hit.title AS title
+@query("io4_flatten_results", """SELECT call_id, city, query_index, CAST(pos - 1 AS INTEGER) AS rank, hit.url AS url, hit.title AS title
 FROM (SELECT call_id, city, query_index, unnest(results) AS hit, generate_subscripts(results, 1) AS pos FROM {nested_results})""")
 def _(v: Inputs):
     return records.flatten_results(v.nested_results)
@@ -124,11 +124,11 @@ def _(v: Inputs):
 
 
 @query("m4_update_status", """SELECT p.id, CASE WHEN c.id IS NULL THEN p.status ELSE c.status END AS status, CASE WHEN c.id IS NULL THEN 'old note' ELSE c.notes END AS notes
-FROM {prospects} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC) AS rn FROM {changes}
+FROM {prospects} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC, notes DESC NULLS LAST) AS rn FROM {changes}
  WHERE status <> 'archived') WHERE rn = 1) c ON c.id = p.id""")
 def _(v: Inputs):
     rows = v.prospects.select("id", "status").withColumn("notes", F.lit("old note"))
-    ordered = v.changes.withColumn("turn", F.struct("change_no", "status"))
+    ordered = v.changes.withColumn("turn", F.struct("change_no", "status", "notes"))
     return writes.update_status(rows, ordered, "turn")
 
 

@@ -45,7 +45,7 @@ WOOL_POINTS = """CASE WHEN wool_percentage LIKE '%100%' THEN 15
 MTM_POINTS = "CASE WHEN made_to_measure IS NULL THEN 8 WHEN made_to_measure THEN 15 ELSE 5 END"
 REASON = """CASE WHEN avg_suit_price_eur > 0 AND avg_suit_price_eur < 375 THEN 'price_too_low'
  WHEN store_count > 30 THEN 'too_many_stores' END"""
-SIM_POINTS = "coalesce(least(similarity * 0.1::DOUBLE, 10.0::DOUBLE), 5.0::DOUBLE)"
+SIM_POINTS = "CASE WHEN similarity IS NULL THEN 5.0::DOUBLE ELSE least(similarity * 0.1::DOUBLE, 10.0::DOUBLE) END"
 MARKET_POINTS = "least(coalesce(share, 0.0::DOUBLE) * 0.2::DOUBLE, 10.0::DOUBLE)"
 RECOMMENDATION = """CASE WHEN final_score >= 80 THEN '⭐ HIGHLY RECOMMENDED - Ideal boutique partner'
  WHEN final_score >= 65 THEN '✅ RECOMMENDED - Good potential partner'

@@ -19,10 +19,19 @@ def read_prospects(spark: SparkSession, path: str, schema: T.StructType = PROSPE
     return spark.read.schema(schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType = PROSPECTS) -> DataFrame:
@@ -39,18 +48,18 @@ def conform(rows: DataFrame, schema: T.StructType = PROSPECTS) -> DataFrame:
 def append_prospects(rows: DataFrame, path: str, now=None) -> None:
     """Insert new rows with the table's defaults.
 
-    Rows are dealt by city and a salt: few files per city, and a large city is still written by many
-    tasks.
+    Rows are rebalanced by city: small cities share a task and write one file each, and a city that holds
+    a large part of the rows is split over many tasks by its actual size.
     """
-    ready = conform(with_insert_defaults(rows, now))
-    salted = ready.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(8)))
-    salted.repartition("city", "_salt").drop("_salt").write.mode("append").partitionBy("city").parquet(path)
+    ready = conform(with_insert_defaults(rows, now)).hint("rebalance", F.col("city"))
+    ready.write.mode("append").partitionBy("city").parquet(path)
 
 
 def replace_cities(rows: DataFrame, path: str) -> None:
     """Rewrite the partitions of the cities in ``rows``; all other cities stay untouched."""
     (
         checkpointed(rows)
+        .hint("rebalance", F.col("city"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("city")

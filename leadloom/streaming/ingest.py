@@ -13,15 +13,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.operators.writes import new_prospects, only_cities_of, with_store_keys
-from leadloom.sources.store import append_prospects, read_or_empty
+from leadloom.sources.store import append_prospects, is_file, read_or_empty
 
 
 def candidate_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
+    """Parquet files as they appear in a folder; a path to one file is that file of its folder."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if is_file(spark, path):
+        folder, _, name = path.rstrip("/").rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
