@@ -79,12 +79,14 @@ def is_directory_url(url: Column | str, words: Sequence[str] = DIRECTORY_WORDS)
 def mentions_price(content: Column | str) -> Column:
     """A currency amount or a price word with a number.
 
-    Only the presence counts, so a digit next to the sign decides and the rest of the number need not
-    be matched.
+    Only the presence counts, so a digit next to the sign decides and the rest of the number need not be
+    matched. Most texts have no digit at all and are done after one plain scan; the case-insensitive
+    search runs on the lower-cased text, which is several times faster than the matching flag.
     """
-    announced = rf"(?:{'|'.join(PRICE_WORDS)})\s*[:=]?\s*{CURRENCY}?\d"
-    pattern = rf"(?iU){CURRENCY}\s?\d|\d\s?{CURRENCY}|{announced}"
-    return F.coalesce(as_col(content).rlike(pattern), F.lit(False))
+    text = as_col(content)
+    signed = text.rlike(rf"(?U){CURRENCY}\s?\d|\d\s?{CURRENCY}")
+    announced = F.lower(text).rlike(rf"(?U)(?:{'|'.join(PRICE_WORDS)})\s*[:=]?\s*{CURRENCY}?\d")
+    return F.coalesce(text.rlike(r"\p{Nd}") & (signed | announced), F.lit(False))
 
 
 def _amount(m: Column) -> Column:

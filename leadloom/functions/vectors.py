@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.exprs import let
+
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -20,10 +22,4 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector scaled to length 1; null for the zero vector, which has no direction."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))

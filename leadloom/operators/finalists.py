@@ -3,8 +3,7 @@
 Walking the leads of a city in order, a lead goes when its URL or domain is blank, its domain was seen on
 a kept lead, or its name (lower case, stripped) contains or is contained in the name of a kept lead.
 
-Two exact forms: a fold over short lists (the finalists, whose number per city is bounded), and rounds of
-joins for groups of any size.
+Two exact forms: a fold over lists of bounded length, and rounds of joins for groups of any size.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from leadloom.functions.exprs import as_col, strip
 from leadloom.operators.common import top_per_key
 from leadloom.sizing import checkpointed
 
+FOLD_LIMIT = 200
+
 
 def _usable(leads: DataFrame) -> DataFrame:
     keyed = leads.withColumn("domain", keys.discovery_domain("website_url")).withColumn(
@@ -27,6 +28,21 @@ def _usable(leads: DataFrame) -> DataFrame:
     )
 
 
+def _fold(groups: DataFrame) -> DataFrame:
+    """Walk each city's ordered array ``xs`` of (pos, name_key, domain_key, ...); kept elements as ``x``."""
+
+    def step(acc, x):
+        clash = F.exists(
+            acc,
+            lambda s: (s["domain_key"] == x["domain_key"])
+            | F.contains(x["name_key"], s["name_key"])
+            | F.contains(s["name_key"], x["name_key"]),
+        )
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
+
+    return groups.select("city", F.explode(F.aggregate("xs", F.slice("xs", 1, 0), step)).alias("x"))
+
+
 def dedupe_finalists(leads: DataFrame, per_city: int = 25, pos: str = "pos") -> DataFrame:
     """Fold over each city's ordered list; for input limited to ``per_city`` rows by the step before.
 
@@ -38,55 +54,67 @@ def dedupe_finalists(leads: DataFrame, per_city: int = 25, pos: str = "pos") ->
     )
     groups = _usable(leads).groupBy("city").agg(F.array_sort(F.collect_list(lead)).alias("xs"))
     guarded = groups.select(
+        "city",
         F.when(F.size("xs") <= per_city, F.col("xs")).otherwise(
             F.raise_error(F.lit("more finalists per city than allowed; use dedupe_leads"))
-        ).alias("xs")
+        ).alias("xs"),
     )
+    return _fold(guarded).select("x.row.*")
 
-    def step(acc, x):
-        clash = F.exists(
-            acc,
-            lambda s: (s["domain_key"] == x["domain_key"])
-            | F.contains(x["name_key"], s["name_key"])
-            | F.contains(s["name_key"], x["name_key"]),
-        )
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = F.aggregate("xs", F.slice("xs", 1, 0), step)
-    return guarded.select(F.explode(kept).alias("x")).select("x.row.*")
+def dedupe_leads(leads: DataFrame, pos: str = "pos", fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """The same result for groups of any size.
+
+    A repeated (domain, name) of a city always goes, so only its first row takes part, as a narrow row of
+    keys. Cities with at most ``fold_limit`` such rows are folded; larger ones take rounds of joins.
+    """
+    work = checkpointed(
+        top_per_key(
+            _usable(leads).select("city", "domain", "name_key", as_col(pos).alias("p")),
+            ["city", "domain", "name_key"], ["p"],
+        )
+    )
+    sizes = work.groupBy("city").agg(F.count("*").alias("n"))
+    few = work.join(sizes.filter(F.col("n") <= fold_limit).select("city"), "city", "left_semi")
+    item = F.struct(F.col("p").alias("pos"), "name_key", F.col("domain").alias("domain_key"))
+    folded = _fold(few.groupBy("city").agg(F.array_sort(F.collect_list(item)).alias("xs")))
+    survivors = folded.select("city", F.col("x.pos").alias(pos))
+    for kept in _rounds(work.join(sizes.filter(F.col("n") > fold_limit).select("city"), "city", "left_semi")):
+        survivors = survivors.union(kept.select("city", F.col("p").alias(pos)))
+    return leads.join(survivors, ["city", pos], "left_semi")
 
 
-def dedupe_leads(leads: DataFrame, pos: str = "pos") -> DataFrame:
-    """The same result for groups of any size, as rounds of key joins.
+def _rounds(work: DataFrame) -> list[DataFrame]:
+    """Kept rows of groups of any size, one frame per round.
 
-    * A repeated (domain, name) of a city always goes, so only its first row takes part.
     * "name a contains name b" becomes an equality: every substring of ``a`` is looked up among the
       names. The output is bounded by name length per name, not by pairs of leads.
     * Per round, leads with no earlier undecided clash are kept, and everything that clashes with a kept
       lead goes. Each lead carries only the *smallest* clashing position, computed with map-side
       minima, so a hot domain or name never meets in one task.
     """
-    work = checkpointed(
-        top_per_key(
-            _usable(leads).select("city", "domain", "name_key", as_col(pos).alias("p")),
-            ["city", "domain", "name_key"], ["p"],
-        )
-    )
-    names = work.select("city", "name_key").distinct()
+    kept: list[DataFrame] = []
+    undecided = checkpointed(work)
+    if undecided.isEmpty():
+        return kept
+    names = undecided.select("city", "name_key").distinct()
+    # only substrings as long as some name can be a name
+    lengths = names.agg(F.array_sort(F.collect_set(F.length("name_key")))).scalar()
     pieces = F.expr(
-        "array_distinct(concat(array(''), flatten(transform(sequence(1, greatest(length(name_key), 1)),"
-        " i -> transform(sequence(1, greatest(length(name_key) - i + 1, 1)),"
-        " l -> substring(name_key, i, l))))))"
+        "array_distinct(flatten(transform(filter(lengths, l -> l <= length(name_key)), l ->"
+        " IF(l = 0, array(''), transform(sequence(1, length(name_key) - l + 1),"
+        " i -> substring(name_key, i, l))))))"
     )
     inside = checkpointed(
-        names.select("city", F.col("name_key").alias("big"), F.explode(pieces).alias("small"))
+        names.withColumn("lengths", lengths)
+        .select("city", F.col("name_key").alias("big"), F.explode(pieces).alias("small"))
         .join(names.withColumnRenamed("name_key", "small"), ["city", "small"], "left_semi")
     )
 
-    def nearest(rows: DataFrame, out: str) -> DataFrame:
-        """Smallest position among ``rows`` that shares the domain, or has a related name."""
-        by_domain = rows.groupBy("city", "domain").agg(F.min("p").alias("d_min"))
-        by_name = rows.groupBy("city", "name_key").agg(F.min("p").alias("n_min"))
+    def nearest(rows: DataFrame, among: DataFrame, out: str) -> DataFrame:
+        """Smallest position in ``among`` that shares the domain of a row, or has a related name."""
+        by_domain = among.groupBy("city", "domain").agg(F.min("p").alias("d_min"))
+        by_name = among.groupBy("city", "name_key").agg(F.min("p").alias("n_min"))
         down = inside.join(
             by_name.withColumnRenamed("name_key", "small"), ["city", "small"]
         ).select("city", F.col("big").alias("name_key"), "n_min")
@@ -95,21 +123,15 @@ def dedupe_leads(leads: DataFrame, pos: str = "pos") -> DataFrame:
         )
         related = down.union(up).groupBy("city", "name_key").agg(F.min("n_min").alias("n_min"))
         return (
-            undecided.join(by_domain, ["city", "domain"], "left")
+            rows.join(by_domain, ["city", "domain"], "left")
             .join(related, ["city", "name_key"], "left")
             .withColumn(out, F.least("d_min", "n_min"))
             .drop("d_min", "n_min")
         )
 
-    undecided, kept = work, []
     while not undecided.isEmpty():
-        # the lead itself is among the undecided, so the minimum equals its own position when free
-        free = checkpointed(nearest(undecided, "first").filter("p <= first").drop("first"))
+        # a lead is among the undecided itself, so its own position is the minimum when it is free
+        free = checkpointed(nearest(undecided, undecided, "first").filter("p <= first").drop("first"))
         kept.append(free)
-        undecided = checkpointed(nearest(free, "hit").filter("hit is null or hit > p").drop("hit"))
-    if not kept:
-        return leads.limit(0)
-    survivors = kept[0]
-    for k in kept[1:]:
-        survivors = survivors.union(k)
-    return leads.join(survivors.select("city", F.col("p").alias(pos)), ["city", pos], "left_semi")
+        undecided = checkpointed(nearest(undecided, free, "hit").filter("hit is null").drop("hit"))
+    return kept

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions import vectors
+from leadloom.functions.exprs import let
 from leadloom.operators.common import top_per_key
+from leadloom.sizing import checkpointed
 
 MATRIX_MAX_BYTES = 128 << 20
 CHUNK_BYTES = 64 << 20
@@ -117,7 +119,7 @@ def top_similar(
 def _by_broadcast(p, c, n, k, key, client_key, schema) -> DataFrame:
     if n == 0:
         return p.sparkSession.createDataFrame([], schema)
-    table = c.orderBy(client_key).toPandas()  # measured against the bound by the caller
+    table = c.toPandas().sort_values(client_key)  # measured against the bound by the caller
     unit, ok = _unit_rows(np.array(table["v"].tolist(), dtype=np.float64))
     shared = p.sparkSession.sparkContext.broadcast((table[client_key].to_numpy()[ok], unit[ok]))
 
@@ -196,10 +198,11 @@ def approx_similar(
     if n == 0:
         return _shown(p.sparkSession.createDataFrame([], schema))
     lists = lists or max(1, math.isqrt(n))
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="f", predictionCol="list").fit(
-        c.select(array_to_vector("u").alias("f"))
-    )
-    dealt = model.transform(c.withColumn("f", array_to_vector("u"))).select(client_key, "v", "list")
+    ready = checkpointed(c.withColumn("f", array_to_vector("u")).drop("u"))  # read once per iteration
+    model = KMeans(
+        k=lists, seed=seed, maxIter=5, initMode="random", featuresCol="f", predictionCol="list"
+    ).fit(ready)
+    dealt = model.transform(ready).select(client_key, "v", "list")
     centers, _ = _unit_rows(np.array(model.clusterCenters()))
     shared = p.sparkSession.sparkContext.broadcast(centers)
     near = min(probes, len(centers))
@@ -302,23 +305,25 @@ def alternative_similarity(
     """
     v = vectors.as_doubles(F.col("embedding"))
     weight = F.when(F.col("tier") == high_tier, F.lit(high_weight)).otherwise(F.lit(1.0))
-    centroid = _mean_vector(clients, v, F.lit(1.0)).scalar()
-    direction = _mean_vector(
-        clients.withColumn("u", vectors.unit(v)).filter("u is not null"), F.col("u"), weight
-    ).scalar()
+    directions = clients.withColumn("u", vectors.unit(v)).filter("u is not null")
+    centroid = _mean_vector(clients, v, F.lit(1.0)).select(vectors.unit(F.col("mean"))).scalar()
+    direction = _mean_vector(directions, F.col("u"), weight).scalar()
     top = (
         top_similar(prospects, clients, k, key=key)
         .groupBy(key)
         .agg((F.avg("cosine") * 100).alias("top_mean"))
     )
+    both = let(
+        vectors.unit(v),
+        lambda u: F.struct(
+            (vectors.dot(u, F.col("c")) * 100).alias("centroid_similarity"),
+            (vectors.dot(u, F.col("d")) * 100).alias("weighted_similarity"),
+        ),
+    )
     whole = (
-        prospects.select(key, vectors.unit(v).alias("u"))
-        .withColumn("c", centroid)
+        prospects.withColumn("c", centroid)
         .withColumn("d", direction)
-        .select(
-            key,
-            (vectors.cosine(F.col("u"), F.col("c")) * 100).alias("centroid_similarity"),
-            (vectors.dot(F.col("u"), F.col("d")) * 100).alias("weighted_similarity"),
-        )
+        .select(key, both.alias("x"))
+        .select(key, "x.*")
     )
     return whole.join(top, key, "left")

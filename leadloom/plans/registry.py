@@ -14,11 +14,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._built: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in fixtures.VIEWS and name not in fixtures.TABLES:
+        if name.startswith("_") or name not in fixtures.VIEWS and name not in fixtures.TABLES:
             raise AttributeError(name)
-        return fixtures.frame(self.spark, self.sf_dir, name)
+        return fixtures.frame(self.spark, self.sf_dir, name, self._built)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -11,10 +11,26 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Schemas of the given tables, so that no job is spent on reading them from file footers.
+TABLES: dict[str, str] = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def _brand_rows(city_shift: int) -> str:
@@ -221,12 +237,19 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(_REF.findall(sql)))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view as a lazy DataFrame."""
-    if name in TABLES:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    sql = VIEWS[name]
-    return spark.sql(sql, **{r: frame(spark, sf_dir, r) for r in references(sql)})
+def frame(
+    spark: SparkSession, sf_dir: str, name: str, built: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A given table or a derived view as a lazy DataFrame; ``built`` keeps what was analyzed before."""
+    built = {} if built is None else built
+    if name not in built:
+        if name in TABLES:
+            path = os.path.join(sf_dir, f"{name}.parquet")
+            built[name] = spark.read.schema(TABLES[name]).parquet(path)
+        else:
+            used = {r: frame(spark, sf_dir, r, built) for r in references(VIEWS[name])}
+            built[name] = spark.sql(VIEWS[name], **used)
+    return built[name]
 
 
 def oracle_with(body: str) -> str:

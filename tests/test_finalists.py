@@ -41,7 +41,8 @@ CASES = [
 def test_both_forms_follow_the_definition(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(values(finalists.dedupe_finalists(df), "city", "pos")) == walk(rows)
-    assert sorted(values(finalists.dedupe_leads(df), "city", "pos")) == walk(rows)
+    for limit in (0, 1, 100):
+        assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos")) == walk(rows)
 
 
 def test_random_names(spark):
@@ -52,7 +53,8 @@ def test_random_names(spark):
         for i in range(150)
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(values(finalists.dedupe_leads(df), "city", "pos")) == walk(rows)
+    for limit in (0, 30, 1000):
+        assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos")) == walk(rows)
 
 
 def test_fold_refuses_long_lists(spark):
