@@ -238,14 +238,12 @@ def merge_secondary(contents: DataFrame, second: DataFrame) -> DataFrame:
 
     ``second`` has (url, content) of the pages read; ``contents`` names its page in ``target_url``.
     """
-    s = (
-        extracted(second)
-        .select(
-            keys.discovery_url_key("url").alias("target_key"),
-            F.col("url").alias("second_url"),
-            F.col("content").alias("second_text"),
-        )
+    texts = extracted(second).select(
+        keys.discovery_url_key("url").alias("target_key"),
+        F.col("url").alias("second_url"),
+        F.col("content").alias("second_text"),
     )
+    s = top_per_key(texts, ["target_key"], ["second_url"])
     keyed = contents.withColumn("target_key", keys.discovery_url_key("target_url"))
     merged = F.concat(F.col("content"), F.lit(DEEP_DIVE), F.col("second_url"), F.lit("\n"), F.col("second_text"))
     return (

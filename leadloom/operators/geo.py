@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import keys
 from leadloom.functions.exprs import as_col, let
 from leadloom.operators.common import top_per_key
-from leadloom.sizing import is_small
+from leadloom.sizing import bounded_broadcast, is_small
 
 # Points per street tier.
 TIER_POINTS = ((1, 10), (2, 7), (3, 4))
@@ -75,5 +75,5 @@ def supported_cities(streets: DataFrame) -> DataFrame:
 
 
 def in_supported_city(rows: DataFrame, streets: DataFrame) -> DataFrame:
-    listed = supported_cities(streets).select(keys.city_key("city").alias("listed"))
+    listed = bounded_broadcast(supported_cities(streets).select(keys.city_key("city").alias("listed")))
     return rows.join(listed, keys.city_key("city") == F.col("listed"), "left_semi")

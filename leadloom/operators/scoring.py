@@ -183,7 +183,8 @@ def match_report(scored: DataFrame, ranked: DataFrame, clients: DataFrame, key:
 
     The list holds at most the ``k`` of the ranking per key.
     """
-    named = ranked.join(clients.select("client_id", F.col("name").alias("client")), "client_id")
+    who = bounded_broadcast(clients.select("client_id", F.col("name").alias("client")))
+    named = ranked.join(who, "client_id")
     lists = named.groupBy(key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "client", "similarity"))),

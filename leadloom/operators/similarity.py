@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from leadloom.functions import vectors
 from leadloom.functions.exprs import let
 from leadloom.operators.common import top_per_key
-from leadloom.sizing import checkpointed
+from leadloom.sizing import bounded_broadcast, checkpointed
 
 MATRIX_MAX_BYTES = 128 << 20
 CHUNK_BYTES = 64 << 20
@@ -60,17 +60,25 @@ def _top_k(product: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _rank_block(x: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int):
-    """Top-k of a block of prospect vectors, in slices that bound the product's memory."""
-    x, ok = _unit_rows(x)
+    """Top-k of a block of unit vectors, in slices that bound the product's memory."""
     step = max(1, PRODUCT_CELLS // max(1, len(ids)))
     for start in range(0, len(x), step):
         part = x[start : start + step] @ unit.T
         rows, cols, rank = _top_k(part, k)
-        good = ok[start + rows]
-        rows, cols, rank = rows[good], cols[good], rank[good]
         yield start + rows, ids[cols], part[rows, cols], rank
 
 
+def _best_of(rows: np.ndarray, cols: np.ndarray, cos: np.ndarray, k: int):
+    """Merge winners of several lists: the ``k`` best per row, ties to the lower column."""
+    order = np.lexsort((cols, -cos, rows))
+    rows, cols, cos = rows[order], cols[order], cos[order]
+    first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
+    rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) + 1
+    keep = rank <= k
+    return rows[keep], cols[keep], cos[keep], rank[keep]
+
+
 def _list_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
@@ -98,75 +106,80 @@ def top_similar(
 ) -> DataFrame:
     """Rows (key, client, cosine, rank, similarity) of the ``k`` most similar clients, ties by client key.
 
-    ``similarity`` is the cosine in percent with two decimals. Rows without a vector, or with the zero
-    vector, have no ranking.
+    ``key`` identifies a prospect row. ``similarity`` is the cosine in percent with two decimals. Rows
+    without a vector, or with the zero vector, have no ranking.
     """
     p = prospects.select(key, F.col(vector).alias("v")).filter("v is not null")
     c = clients.select(client_key, F.col(client_vector).alias("v")).filter("v is not null")
     schema = _out_schema(prospects, clients, key, client_key)
     n, dim = _matrix_size(c, "v")
+    if n == 0:
+        return _shown(p.sparkSession.createDataFrame([], schema))
     if n * dim * 8 <= matrix_max_bytes:
-        return _shown(_by_broadcast(p, c, n, k, key, client_key, schema))
-    blocks = math.ceil(n * dim * 8 / chunk_bytes)
-    chunks = max(1, math.ceil(p.count() * dim * 8 / chunk_bytes))
-    ranked = _by_blocks(
-        p.withColumn("list", F.lit(0)), c.withColumn("list", F.lit(0)), chunks, blocks, k, key,
-        client_key, schema,
+        return _shown(_by_broadcast(p, c, k, key, client_key, schema))
+    split = {
+        "list": F.lit(0),
+        "chunks": F.lit(max(1, math.ceil(p.count() * dim * 8 / chunk_bytes))),
+        "blocks": F.lit(max(1, math.ceil(n * dim * 8 / chunk_bytes))),
+    }
+    return _shown(_by_blocks(p.withColumns(split), c.withColumns(split), k, key, client_key, schema))
+
+
+def _batch(names: list[str], key: pa.Array, client, cos, rank) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [key, pa.array(client), pa.array(cos), pa.array(rank, pa.int32())], names=names
     )
-    return _shown(ranked)
 
 
-def _by_broadcast(p, c, n, k, key, client_key, schema) -> DataFrame:
-    if n == 0:
-        return p.sparkSession.createDataFrame([], schema)
-    table = c.toPandas().sort_values(client_key)  # measured against the bound by the caller
+def _by_broadcast(p, c, k, key, client_key, schema) -> DataFrame:
+    """Every prospect against a client matrix that the caller measured against the bound."""
+    table = c.toPandas().sort_values(client_key)
     unit, ok = _unit_rows(np.array(table["v"].tolist(), dtype=np.float64))
     shared = p.sparkSession.sparkContext.broadcast((table[client_key].to_numpy()[ok], unit[ok]))
+    names = schema.names
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for b in batches:
             if len(b) == 0 or len(ids) == 0:
                 continue
-            names = b.column(0)
-            for rows, client, cos, rank in _rank_block(_list_matrix(b.column(1)), ids, matrix, k):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        names.take(pa.array(rows)),
-                        pa.array(client),
-                        pa.array(cos),
-                        pa.array(rank, pa.int32()),
-                    ],
-                    names=[key, client_key, "cosine", "rank"],
-                )
+            x, good = _unit_rows(_list_matrix(b.column(1)))
+            keys = b.column(0).filter(pa.array(good))
+            for rows, client, cos, rank in _rank_block(x[good], ids, matrix, k):
+                yield _batch(names, keys.take(pa.array(rows)), client, cos, rank)
 
     return p.mapInArrow(kernel, schema)
 
 
-def _by_blocks(p, c, chunks, blocks, k, key, client_key, schema) -> DataFrame:
-    """(list, chunk, block) tasks of bounded size; winners per block are merged per prospect."""
-    spread_p = p.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    spread_c = c.withColumn("block", F.pmod(F.xxhash64(client_key), F.lit(blocks)).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>"))
-    )
+def _by_blocks(p, c, k, key, client_key, schema) -> DataFrame:
+    """(list, chunk, block) tasks of bounded size; winners per block are merged per prospect.
+
+    Both sides carry the number of chunks and blocks of their list.
+    """
+
+    def spread(df: DataFrame, own: str, count: str, name: str, other: str, other_count: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), F.col(count)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other_count).cast("int") - 1))
+        ).drop("chunks", "blocks")
+
+    spread_p = spread(p, "chunk", "chunks", key, "block", "blocks")
+    spread_c = spread(c, "block", "blocks", client_key, "chunk", "chunks")
+    names = schema.names
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [key, client_key, "cosine", "rank"]
+        none = pd.DataFrame({n: [] for n in names})
         if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return none
         right = right.sort_values(client_key)
         unit, ok = _unit_rows(np.array(right["v"].tolist(), dtype=np.float64))
-        ids, who = right[client_key].to_numpy()[ok], left[key].to_numpy()
-        if not len(ids):
-            return pd.DataFrame({n: [] for n in names})
-        x = np.array(left["v"].tolist(), dtype=np.float64)
-        parts = [
+        x, good = _unit_rows(np.array(left["v"].tolist(), dtype=np.float64))
+        ids, who = right[client_key].to_numpy()[ok], left[key].to_numpy()[good]
+        if not len(ids) or not len(who):
+            return none
+        return pd.concat(
             pd.DataFrame({key: who[r], client_key: cl, "cosine": cos, "rank": rk})
-            for r, cl, cos, rk in _rank_block(x, ids, unit, k)
-        ]
-        return pd.concat(parts)
+            for r, cl, cos, rk in _rank_block(x[good], ids, unit[ok], k)
+        )
 
     by = ["list", "chunk", "block"]
     partial = spread_p.groupBy(*by).cogroup(spread_c.groupBy(*by)).applyInPandas(rank, schema)
@@ -178,12 +191,15 @@ def _by_blocks(p, c, chunks, blocks, k, key, client_key, schema) -> DataFrame:
 def approx_similar(
     prospects: DataFrame, clients: DataFrame, k: int = 10, probes: int = 8, lists: int | None = None,
     key: str = "vec_id", vector: str = "embedding", client_key: str = "client_id",
-    client_vector: str = "embedding", chunk_bytes: int = CHUNK_BYTES, seed: int = 7,
+    client_vector: str = "embedding", matrix_max_bytes: int = MATRIX_MAX_BYTES,
+    chunk_bytes: int = CHUNK_BYTES, seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k: compare each prospect only with the clients of its ``probes`` nearest lists.
 
-    The lists come from k-means over the client directions (about the square root of their number); only
-    the centroids, a bounded matrix, reach the tasks as a broadcast.
+    The lists come from k-means over the client directions, about as many as the square root of the
+    number of clients. As in the exact form, clients that fit the bound are broadcast and prospects stay
+    where they are; else prospects travel to their lists, and a list that draws many prospects or
+    clients is split by its own counts.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -197,13 +213,53 @@ def approx_similar(
     schema = _out_schema(prospects, clients, key, client_key)
     if n == 0:
         return _shown(p.sparkSession.createDataFrame([], schema))
-    lists = lists or max(1, math.isqrt(n))
     ready = checkpointed(c.withColumn("f", array_to_vector("u")).drop("u"))  # read once per iteration
     model = KMeans(
-        k=lists, seed=seed, maxIter=5, initMode="random", featuresCol="f", predictionCol="list"
+        k=lists or max(1, math.isqrt(n)), seed=seed, maxIter=5, initMode="random", featuresCol="f",
+        predictionCol="list",
     ).fit(ready)
     dealt = model.transform(ready).select(client_key, "v", "list")
     centers, _ = _unit_rows(np.array(model.clusterCenters()))
+    if n * dim * 8 <= matrix_max_bytes:
+        return _shown(_lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema))
+    return _shown(_lists_by_blocks(p, dealt, centers, probes, dim, chunk_bytes, k, key, client_key, schema))
+
+
+def _lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema) -> DataFrame:
+    table = dealt.toPandas().sort_values(["list", client_key])
+    unit, _ = _unit_rows(np.array(table["v"].tolist(), dtype=np.float64))
+    ids = table[client_key].to_numpy()
+    starts = np.searchsorted(table["list"].to_numpy(), np.arange(len(centers) + 1))
+    shared = p.sparkSession.sparkContext.broadcast((ids, np.argsort(np.argsort(ids)), unit, starts, centers))
+    names, near = schema.names, min(probes, len(centers))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, unit, starts, centers = shared.value
+        by_place = np.argsort(place)
+        for b in batches:
+            if len(b) == 0:
+                continue
+            x, good = _unit_rows(_list_matrix(b.column(1)))
+            x, keys = x[good], b.column(0).filter(pa.array(good))
+            if not len(x):
+                continue
+            rows, cols, _ = _top_k(x @ centers.T, near)
+            found = []
+            for one in np.unique(cols):
+                lo, hi = starts[one], starts[one + 1]
+                if lo < hi:
+                    at = rows[cols == one]
+                    found += [
+                        (at[r], c, cos) for r, c, cos, _ in _rank_block(x[at], place[lo:hi], unit[lo:hi], k)
+                    ]
+            if found:
+                at, which, cos, rank = _best_of(*(np.concatenate(f) for f in zip(*found, strict=True)), k)
+                yield _batch(names, keys.take(pa.array(at)), ids[by_place[which]], cos, rank)
+
+    return p.mapInArrow(kernel, schema)
+
+
+def _lists_by_blocks(p, dealt, centers, probes, dim, chunk_bytes, k, key, client_key, schema) -> DataFrame:
     shared = p.sparkSession.sparkContext.broadcast(centers)
     near = min(probes, len(centers))
 
@@ -219,19 +275,23 @@ def approx_similar(
                 names=[key, "v", "list"],
             )
 
-    routed_schema = T.StructType(list(p.schema.fields) + [T.StructField("list", T.IntegerType())])
-    routed = p.mapInArrow(route, routed_schema)
-    total = p.count() * dim * 8
-    largest = dealt.groupBy("list").count().agg(F.max("count")).first()[0] * dim * 8
-    chunks = max(1, math.ceil(total * near / lists / chunk_bytes))
-    blocks = max(1, math.ceil(largest / chunk_bytes))
-    return _shown(_by_blocks(routed, dealt, chunks, blocks, k, key, client_key, schema))
+    routed = p.mapInArrow(
+        route, T.StructType(list(p.schema.fields) + [T.StructField("list", T.IntegerType())])
+    )
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        rows_fit = max(1, chunk_bytes // (dim * 8))
+        return df.groupBy("list").agg(F.ceil(F.count("*") / rows_fit).alias(name))
+
+    # one row per list, at most as many as there are centroids in the broadcast above
+    split = F.broadcast(parts(routed, "chunks").join(parts(dealt, "blocks"), "list"))
+    return _by_blocks(routed.join(split, "list"), dealt.join(split, "list"), k, key, client_key, schema)
 
 
 def best_match(ranked: DataFrame, clients: DataFrame, client_key: str = "client_id") -> DataFrame:
     """The top client of each prospect with the client's columns (prefixed ``client_``)."""
     names = {c: (c if c.startswith("client_") else f"client_{c}") for c in clients.columns}
-    c = clients.select(*[F.col(old).alias(new) for old, new in names.items()])
+    c = bounded_broadcast(clients.select(*[F.col(old).alias(new) for old, new in names.items()]))
     return ranked.filter(F.col("rank") == 1).join(c, names[client_key])
 
 

@@ -63,9 +63,18 @@ def test_recall_of_the_approximate_form(spark, small):
 
 def test_approximate_with_all_lists_is_exact(vectors):
     p, c, dp, dc = vectors
-    near = similarity.approx_similar(dp, dc, 4, probes=99, chunk_bytes=512)
     want = [(i, r + 1, j) for i, js in brute(p, c, 4).items() for r, j in enumerate(js)]
-    assert sorted(values(near, "vec_id", "rank", "client_id")) == sorted(want)
+    for options in ({}, {"matrix_max_bytes": 1, "chunk_bytes": 512}):
+        near = similarity.approx_similar(dp, dc, 4, probes=99, **options)
+        assert sorted(values(near, "vec_id", "rank", "client_id")) == sorted(want)
+
+
+def test_both_approximate_forms_agree(vectors):
+    _, _, dp, dc = vectors
+    a = similarity.approx_similar(dp, dc, 3, probes=2)
+    b = similarity.approx_similar(dp, dc, 3, probes=2, matrix_max_bytes=1, chunk_bytes=300)
+    cols = ("vec_id", "rank", "client_id", "similarity")
+    assert sorted(values(a, *cols)) == sorted(values(b, *cols))
 
 
 def test_alternative_measures(spark, vectors):
