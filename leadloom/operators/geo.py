@@ -43,11 +43,13 @@ def detect_street(
             .withColumn("tier", F.col("hit.tier"))
             .drop("city_key", "streets", "hit")
         )
-    match = (pages["city_key"] == listed["city_key"]) & F.contains(F.lower(pages[text]), listed["street"])
+    names = {c: f"_{c}" for c in listed.columns}
+    texts = pages.select(*id_cols, "city_key", F.lower(as_col(text)).alias("_text"))
+    match = (F.col("city_key") == F.col("_city_key")) & F.contains(F.col("_text"), F.col("_street"))
     found = top_per_key(
-        pages.join(listed, match).select(*[pages[c] for c in id_cols], "pos", "street", "tier"),
-        id_cols, ["pos"],
-    ).drop("pos")
+        texts.join(listed.withColumnsRenamed(names), match).select(*id_cols, "_pos", "_street", "_tier"),
+        id_cols, ["_pos"],
+    ).select(*id_cols, F.col("_street").alias("street"), F.col("_tier").alias("tier"))
     return pages.drop("city_key").join(found, list(id_cols), "left")
 
 
