@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys, text
-from leadloom.functions.exprs import as_col, falsy_to, strip
+from leadloom.functions.exprs import as_col, falsy_to, let, strip
 from leadloom.operators.common import top_per_key
 
 # Length limits of the source fallback.
@@ -268,8 +268,10 @@ def select_finalists(candidates: DataFrame, k: int = FINALISTS) -> DataFrame:
     """
     price = F.coalesce("avg_price", F.lit(0.0))
     sim = F.coalesce("similarity", F.lit(0.0))
+    # the price is often an expression over the text that a pushed filter would repeat: bind it once
+    too_cheap = let(price, lambda p: (p > 0) & (p < GATE_PRICE))
     passed = candidates.filter(
-        ~((price > 0) & (price < GATE_PRICE)) & ~((sim < GATE_SIMILARITY) & (price == 0))
+        ~too_cheap & ~((sim < GATE_SIMILARITY) & (price == 0))
     ).withColumn("gate_score", gate_score(sim, price))
     return top_per_key(
         passed.filter(F.col("gate_score") >= GATE_MIN_SCORE),

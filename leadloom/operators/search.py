@@ -18,8 +18,9 @@ SORTABLE = (
     "final_score", "store_count", "avg_suit_price_eur", "discovered_at", "name", "quality_score",
     "similarity_score",
 )
-STORE_SIZES = {"boutique": (1, 5), "medium": (6, 20), "large": (21, None)}
+STORE_SIZES = {"all": (None, None), "boutique": (1, 5), "medium": (6, 20), "large": (21, None)}
 PRICE_RANGES = {
+    "all": (None, None),
     "under_500": (0.01, 499.99),
     "500_1000": (500, 999.99),
     "1000_2000": (1000, 1999.99),

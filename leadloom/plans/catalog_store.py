@@ -72,14 +72,16 @@ def _(v: Inputs):
 
 
 @query("io5_response_mapping", f"""SELECT id, coalesce(avg_suit_price_eur, 0) * 1.08::DOUBLE AS "averageSuitPriceUSD", status <> 'new' AS verified,
- coalesce(avg_suit_price_eur, 0) > 0 AS "priceKnown", coalesce(detailed_description, '') AS "detailedDescription",
+ coalesce(avg_suit_price_eur, 0) > 0 AS "priceKnown",
+ 'Pontuação: ' || final_score || '.0/100|Similar a: ' || most_similar_client AS "verificationLog", coalesce(detailed_description, '') AS "detailedDescription",
  {_json_list("store_locations")} AS "storeLocations", coalesce(nullif(location_quality, ''), CASE WHEN location_score > 0 THEN 'premium' ELSE 'standard' END) AS "locationQuality",
  location_score AS "locationScore", fit_score AS "fitScore",
  CASE WHEN json_valid(material_composition) THEN json_extract_string(material_composition, '$[0]') END AS "woolPercentage",
  coalesce(made_to_measure, false) AS "madeToMeasure" FROM {{stored_rows}}""")
 def _(v: Inputs):
     return records.api_records(v.stored_rows).select(
-        "id", "averageSuitPriceUSD", "verified", "priceKnown", "detailedDescription",
+        "id", "averageSuitPriceUSD", "verified", "priceKnown",
+        F.array_join("verificationLog", "|").alias("verificationLog"), "detailedDescription",
         F.array_join("storeLocations", "|").alias("storeLocations"), "locationQuality", "locationScore",
         "fitScore", "woolPercentage", "madeToMeasure")
 

@@ -50,6 +50,19 @@ def flatten_results(nested: DataFrame, results: str = "results") -> DataFrame:
     return nested.select(*keep, F.posexplode(results).alias("rank", "hit")).select(*keep, "rank", "hit.*")
 
 
+def _log(rows: DataFrame) -> Column:
+    """Lines that say how a prospect was rated."""
+    points = F.col("final_score").cast("decimal(10,1)").cast("string")
+    lines = [
+        F.concat(F.lit("Pontuação: "), points, F.lit("/100")),
+        F.concat(F.lit("Similar a: "), blank_to("most_similar_client", F.lit("N/D"))),
+    ]
+    if "similarity_explanation" in rows.columns:
+        why = F.col("similarity_explanation")
+        lines.append(F.when(why != "", F.concat(F.lit("Explicação: "), why)))
+    return F.array_compact(F.array(*lines))
+
+
 def api_records(rows: DataFrame, rate: float = EUR_USD) -> DataFrame:
     """Stored rows (lists as JSON text) as the records an API or page shows."""
     price = F.coalesce("avg_suit_price_eur", F.lit(0.0))
@@ -64,6 +77,7 @@ def api_records(rows: DataFrame, rate: float = EUR_USD) -> DataFrame:
         F.col("country").alias("originCountry"),
         F.coalesce(F.col("status") != "new", F.lit(True)).alias("verified"),
         (price > 0).alias("priceKnown"),
+        _log(rows).alias("verificationLog"),
         F.col("brand_style").alias("brandStyle"),
         F.col("business_model").alias("businessModel"),
         blank_to("company_overview", F.lit(NO_OVERVIEW)).alias("companyOverview"),
