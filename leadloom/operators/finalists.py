@@ -46,13 +46,15 @@ def _fold(groups: DataFrame) -> DataFrame:
 def dedupe_finalists(leads: DataFrame, per_city: int = 25, pos: str = "pos") -> DataFrame:
     """Fold over each city's ordered list; for input limited to ``per_city`` rows by the step before.
 
-    A longer list is an error, never cut: use :func:`dedupe_leads` there.
+    A longer list is an error, never cut: use :func:`dedupe_leads` there. One row more than allowed is
+    enough to see that, so no task gathers more.
     """
+    few = top_per_key(_usable(leads), ["city"], [as_col(pos)], per_city + 1)
     lead = F.struct(
         as_col(pos).alias("pos"), "name_key", F.col("domain").alias("domain_key"),
         F.struct(*leads.columns).alias("row"),
     )
-    groups = _usable(leads).groupBy("city").agg(F.array_sort(F.collect_list(lead)).alias("xs"))
+    groups = few.groupBy("city").agg(F.array_sort(F.collect_list(lead)).alias("xs"))
     guarded = groups.select(
         "city",
         F.when(F.size("xs") <= per_city, F.col("xs")).otherwise(

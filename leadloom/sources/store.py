@@ -6,11 +6,13 @@ checkpointed to shared storage first, because the partitions to be replaced are
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.operators.writes import with_insert_defaults
+from leadloom.operators.writes import delete_ids, with_insert_defaults
 from leadloom.schemas import PROSPECTS
 from leadloom.sizing import checkpointed
 
@@ -67,6 +69,32 @@ def replace_cities(rows: DataFrame, path: str) -> None:
     )
 
 
+def drop_cities(spark: SparkSession, path: str, cities: list[str]) -> None:
+    """Remove whole city partitions: only folders are touched, no data is read."""
+    fs, root = _file_system(spark, path)
+    wanted = {f"city={c}" for c in cities}
+    for status in fs.listStatus(root) if wanted else ():
+        folder = status.getPath()
+        if unquote(folder.getName()) in wanted:  # special characters are percent-coded in folder names
+            fs.delete(folder, True)
+
+
+def remove_ids(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """Delete rows by id, rewriting only the cities they lie in.
+
+    A city left without rows loses its folder, since a rewrite replaces only partitions it has rows for.
+    """
+    table = read_prospects(spark, path)
+    gone = checkpointed(table.join(ids.select("id"), "id", "left_semi").select("city", "id"))
+    cities = [r[0] for r in gone.select("city").distinct().collect()]
+    if not cities:
+        return
+    rest = checkpointed(delete_ids(table.filter(F.col("city").isin(cities)), gone))
+    left = {r[0] for r in rest.select("city").distinct().collect()}
+    replace_cities(rest, path)
+    drop_cities(spark, path, [c for c in cities if c not in left])
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     """A new table or snapshot; never overwrites."""
     rows.write.mode("errorifexists").parquet(path)
