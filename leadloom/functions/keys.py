@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.exprs import as_col, strip
 
-AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"
 
 
 def _without_tail(u: Column) -> Column:
@@ -23,9 +23,7 @@ def _without_tail(u: Column) -> Column:
 
 
 def discovery_url_key(url: Column | str) -> Column:
-    u = strip(F.lower(as_col(url)))
-    u = F.regexp_replace(u, r"^https?://", "")
-    u = F.regexp_replace(u, r"^www\.", "")
+    u = F.regexp_replace(strip(F.lower(as_col(url))), r"^(?:https?://)?(?:www\.)?", "")
     return F.coalesce(_without_tail(u), F.lit(""))
 
 
@@ -38,12 +36,14 @@ def store_url_key(url: Column | str) -> Column:
 
 def authority(url: Column | str) -> Column:
     """``host[:port]`` as written; empty when the URL has no scheme marker."""
-    return F.coalesce(F.regexp_extract(strip(url), AUTHORITY, 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(strip(url), SCHEME + r"([^/?#]*)", 1), F.lit(""))
 
 
 def discovery_domain(url: Column | str) -> Column:
     """Authority with its letter case and port, less one leading ``www.``."""
-    return F.regexp_replace(authority(url), r"^www\.", "")
+    return F.coalesce(
+        F.regexp_extract(strip(url), SCHEME + r"(?:www\.)?([^/?#]*)", 1), F.lit("")
+    )
 
 
 def store_domain(url: Column | str) -> Column:

@@ -105,7 +105,7 @@ def base_profile(clients: DataFrame) -> DataFrame:
     n = F.count("*")
 
     def share(flag: Column) -> Column:
-        return F.count_if(flag) / n * 100
+        return F.try_divide(F.count_if(flag), n) * 100
 
     return clients.agg(
         n.alias("clients"),

@@ -108,7 +108,7 @@ def extraction_rate(contents: DataFrame, *by: str) -> DataFrame:
     hit = F.col("content").isNotNull() & (F.col("content") != "")
     return contents.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(hit).alias("extracted")
-    ).withColumn("rate", F.col("extracted") / F.col("total"))
+    ).withColumn("rate", F.try_divide("extracted", "total"))
 
 
 # ---------------------------------------------------------------- relevance and prices

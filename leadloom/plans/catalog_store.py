@@ -213,7 +213,8 @@ UNION ALL SELECT name, website_url, 'success', NULL, TIMESTAMP '{NOW}' FROM ({o.
 WHERE domain NOT IN (SELECT domain FROM {{suppression}}) AND domain NOT IN (SELECT {_HOST} FROM {{outreach_log}} WHERE status = 'success')""")
 def _(v: Inputs):
     batch = outreach.outreach_batch(v.prospects, v.suppression, v.outreach_log)
-    return outreach.append_log(v.outreach_log, outreach.log_rows(batch, at=now()))
+    log = outreach.append_log(v.outreach_log, outreach.log_rows(batch, at=now()))
+    return log.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- incremental ingest and the whole chain

@@ -16,7 +16,7 @@ from leadloom.sources.fixtures import TABLES  # noqa: E402
 
 KINDS = {
     "bigint": "int64", "int": "int32", "double": "double", "string": "string", "boolean": "bool",
-    "date": "date", "timestamp": "timestamp", "float": "float",
+    "timestamp": "timestamp", "timestamp_ntz": "timestamp", "float": "float",
 }
 DUCK_KINDS = {
     "BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "bool",

@@ -111,6 +111,18 @@ def test_empty_inputs(spark):
     assert analytics.city_stats(df).count() == 0
 
 
+def test_empty_client_base(spark, small):
+    from leadloom.sources.fixtures import frame
+
+    none = frame(spark, small, "clients").limit(0)
+    row = clients.base_profile(none).first()
+    assert (row["clients"], row["median_price"], row["wool_share"]) == (0, None, None)
+    assert clients.market_strength(none).count() == 0
+    assert clients.profile_summary(none).first()["avg_price"] == 0
+    texts = spark.createDataFrame([], "url string, content string")
+    assert content.extraction_rate(texts).first() == (0, 0, None)
+
+
 def test_profile_text(spark):
     df = spark.createDataFrame(
         [("A", "Spain", "Madrid", 3, 800.0, "own_brand"), ("B", "Spain", "Spain", 21, None, "unknown"),
