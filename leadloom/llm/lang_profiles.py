@@ -51,21 +51,31 @@ def letter_codes(text: str, codes: np.ndarray) -> np.ndarray:
     return found[np.r_[True, (found[1:] != 0) | (found[:-1] != 0)]]
 
 
+def gram_space(size: int) -> int:
+    """Number of n-gram codes: those of one length follow those of the shorter ones."""
+    return sum((size + 1) ** n for n in range(1, LONGEST + 1))
+
+
 def count_grams(codes: np.ndarray, size: int) -> np.ndarray:
     """Counts of the n-grams up to ``LONGEST`` by code. A word's edge may begin or end an n-gram, never stand
     inside it or alone."""
-    base = size + 1
-    total = np.zeros(base**LONGEST, np.int64)
-    for at in range(0, len(codes), PART_CHARS):
-        part = codes[at:at + PART_CHARS + LONGEST - 1]
-        own = min(PART_CHARS, len(codes) - at)
-        gram, inner = part, np.ones(len(part), bool)
-        for n in range(1, LONGEST + 1):
+    base, first = size + 1, 0
+    total = np.zeros(gram_space(size), np.int64)
+    for n in range(1, LONGEST + 1):
+        room = total[first:first + base**n]
+        for at in range(0, len(codes), PART_CHARS):
+            part = codes[at:at + PART_CHARS + n - 1]
+            if len(part) < n:
+                continue
+            gram, fine = part, part != 0
             if n > 1:
-                gram = gram[:-1] * base + part[n - 1:]
-                inner = inner[:-1] & (part[n - 2:-1] != 0) if n > 2 else inner[:-1]
-            letters = (part[:len(gram)] != 0) | (part[n - 1:] != 0)
-            total += np.bincount(gram[:own][(inner & letters)[:own]], minlength=len(total))
+                fine = np.ones(len(part) - n + 1, bool) if n > 2 else (part[:-1] != 0) | (part[1:] != 0)
+                for k in range(1, n):
+                    gram = gram[:-1] * base + part[k:]
+                    if k < n - 1:
+                        fine &= part[k:len(part) - n + 1 + k] != 0
+            room += np.bincount(gram[fine], minlength=len(room))
+        first += base**n
     return total
 
 
@@ -103,7 +113,7 @@ def train(rows: list[tuple[str, str]]) -> Profiles:
     size = len(letters) + 1  # the last code stands for every other letter
     table = _code_table(letters, size)
     languages = sorted({lang for lang, _ in rows})
-    places = np.full((len(languages), (size + 1) ** LONGEST), PROFILE, np.int32)
+    places = np.full((len(languages), gram_space(size)), PROFILE, np.int32)
     for k, language in enumerate(languages):
         counts = sum(count_grams(letter_codes(t, table), size) for lang, t in rows if lang == language)
         grams = top_grams(counts, PROFILE)

@@ -13,6 +13,7 @@ vector counts as filled up with zeros. Of rows that repeat an id the least vecto
 from __future__ import annotations
 
 import heapq
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ BLOCK_ROWS = (1024, 65_536)
 BLOCKS_AIMED = 64
 #: Queries asked of a tree in one task.
 CHUNK_QUERIES = 4096
+#: Scores are ranked up to 38 digits and shown within a long.
+WIDEST = 10**38 - 1
+LONG = (-(2**63), 2**63 - 1)
 
 
 class MTree:
@@ -153,19 +157,21 @@ def top_products(
         both = integers(vectors + wanted, size)
         tree = MTree(own.column("vec_id").to_numpy(), both[:len(vectors)])
         out = [
-            (q, i, s)
+            (q, i, Decimal(min(max(s, -WIDEST), WIDEST)))
             for q, v in zip(queries.column("vec_id").to_pylist(), both[len(vectors):])
             for s, i in tree.search(q, v, top)
         ]
         columns = list(zip(*out)) or [[], [], []]
-        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})
+        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.decimal128(38, 0)}
+        return pa.table({n: pa.array(list(c), t) for (n, t), c in zip(kinds.items(), columns)})
 
     found = (
         data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk"))
-        .applyInArrow(search, "query_id long, vec_id long, score long")
+        .applyInArrow(search, "query_id long, vec_id long, score decimal(38,0)")
     )
+    shown = F.greatest(F.least("score", F.lit(Decimal(LONG[1]))), F.lit(Decimal(LONG[0]))).cast("long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", shown.alias("score"))
     )

@@ -121,19 +121,20 @@ def non_negative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def patterns(units: int, lowest: int, max_parts: int, gaps: tuple[int, int] = GAPS) -> list[tuple[int, ...]]:
-    """Falling tuples of at most ``max_parts`` class numbers from ``lowest`` on, filling all ``units`` or leaving
-    a gap within the bounds."""
-    out = []
+def patterns(longest: dict[int, int], capacity: int, max_parts: int, tight: int, gaps: tuple[int, int]) -> list[tuple[int, ...]]:
+    """Falling tuples of at most ``max_parts`` classes whose longest members together leave a gap of at most
+    ``tight``, or one within the bounds that short pieces can fill."""
+    out, classes = [], sorted(longest, reverse=True)
 
-    def grow(parts: tuple[int, ...], rest: int) -> None:
-        if parts and (rest == 0 or gaps[0] <= rest <= gaps[1]):
+    def grow(parts: tuple[int, ...], start: int, rest: int) -> None:
+        if parts and (rest <= tight or gaps[0] <= rest <= gaps[1]):
             out.append(parts)
         if len(parts) < max_parts:
-            for c in range(min(rest, parts[-1] if parts else rest), lowest - 1, -1):
-                grow((*parts, c), rest - c)
+            for k in range(start, len(classes)):
+                if longest[classes[k]] <= rest:
+                    grow((*parts, classes[k]), k, rest - longest[classes[k]])
 
-    grow((), units)
+    grow((), 0, capacity)
     return out
 
 
@@ -162,19 +163,23 @@ def pattern_plan(
     width, short = -(-capacity // classes), capacity // short_share
     plan, left = Plan(), {n: c for n, c in histogram.items() if c > 0}
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, sequences)
-    lowest = short // width + 1
-    own = {c: sum(m for n, m in left.items() if n > short and -(-n // width) == c) for c in range(lowest, classes + 1)}
-    choices = [p for p in patterns(classes, lowest, max_parts) if all(own[c] for c in p)]
+    runs: dict[int, list[list[int]]] = defaultdict(list)  # class -> its lengths, rising, with their counts
+    for n in sorted(left):
+        if n > short:
+            runs[-(-n // width)].append([n, left[n]])
+    own = {c: sum(m for _, m in rs) for c, rs in runs.items()}
+    middle = {c: sum(n * m for n, m in rs) / own[c] for c, rs in runs.items()}
+    longest = {c: rs[-1][0] for c, rs in runs.items()}
+    choices = patterns(longest, capacity, max_parts, width, (GAPS[0] * width, GAPS[1] * width))
     if choices:
-        a = np.zeros((classes - lowest + 2, len(choices)))
+        row = {c: k for k, c in enumerate(sorted(own))}
+        a = np.zeros((len(row) + 1, len(choices)))
         for k, p in enumerate(choices):
             for c in p:
-                a[c - lowest, k] += 1
-            a[-1, k] = (classes - sum(p) + len(p) / 2) / classes  # the gap, in sequences
+                a[row[c], k] += 1
+            a[-1, k] = 1 - sum(middle[c] for c in p) / capacity  # the gap, in sequences
         filler = sum(n * m for n, m in left.items() if n <= short) / capacity
-        fit = non_negative_least_squares(a, np.array([*(float(own[c]) for c in range(lowest, classes + 1)), filler]))
-        runs = {c: sorted((n, left[n]) for n in left if n > short and -(-n // width) == c) for c in own}
-        runs = {c: [list(r) for r in rs] for c, rs in runs.items()}
+        fit = non_negative_least_squares(a, np.array([*(float(own[c]) for c in row), filler]))
         for k in np.argsort(-fit, kind="stable"):
             repeat = min([int(fit[k] + 0.5), *(own[c] // choices[k].count(c) for c in choices[k])])
             if repeat <= 0:
