@@ -33,6 +33,8 @@ SAMPLE_DOCUMENTS = 1500
 #: Bytes of a sampled document at most, from a place that the hash gives.
 SAMPLE_BYTES = 2048
 EPOCHS = 12
+#: Small samples are gone through more often, up to so many steps.
+LEAST_STEPS = 600
 RATE = 0.05
 DECAY = 1e-4
 BATCH = 32
@@ -113,8 +115,9 @@ def train(rows: list[tuple[int, bytes]], seed: int = 7) -> Network:
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     chunks = [chunk_rows(t) for _, t in rows]
     filters, bias, wide, peak, offset = net.filters.copy(), net.bias.copy(), net.mean_weight, net.max_weight, net.offset
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(rows) // BATCH)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at:at + BATCH]

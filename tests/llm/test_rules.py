@@ -96,7 +96,7 @@ def test_lines(spark, texts):
 
 def test_line_edges(spark, small):
     clean = "The old house stood by the river and nobody had opened its doors since that long winter ended. "
-    body = "\n".join(f"Line {k} tells of {k * 7} things that happened near the mill on day {k}." for k in range(30))
+    body = "\n".join(" ".join(f"w{k}{chr(97 + j)}" for j in range(14)) + "." for k in range(30))
     texts = [
         None, "", " \n ", "a", clean * 40, body, body + "\nlog in\nhome | news | shop | about | more", body.replace(" ", "### "),
         "x " * 30_000, "word" * 100_000, "a b c", "a b c a b c", "\n".join(["same line here"] * 40),
