@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -161,25 +162,29 @@ class PieceCodec:
         self.learned.append((ids, count))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh:
-            if len(known) > self.cached_words:
-                self._forget()
-                known, fresh = self.known, list(dict.fromkeys(words))
-            chunk, chars = [], 0
-            for w in fresh:
-                chunk.append(w)
-                chars += len(w)
-                if chars >= ROUND_CHARS:
-                    self._learn(chunk)
-                    chunk, chars = [], 0
-            if chunk:
-                self._learn(chunk)
-            self.pool = np.concatenate([self.pool, *(ids for ids, _ in self.learned)])
-            self.size = np.concatenate([self.size, *(count for _, count in self.learned)])
-            self.start, self.learned = np.cumsum(self.size) - self.size, []
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        """The number of each of the words; one lookup each, and a second one for those that were new."""
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if not len(new):
+            return number
+        if len(self.known) > self.cached_words:
+            self._forget()
+            new = np.arange(len(words))
+        asked = [words[k] for k in new.tolist()]
+        part, chars = [], 0
+        for w in dict.fromkeys(asked):
+            part.append(w)
+            chars += len(w)
+            if chars >= ROUND_CHARS:
+                self._learn(part)
+                part, chars = [], 0
+        if part:
+            self._learn(part)
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in self.learned)])
+        self.size = np.concatenate([self.size, *(n for _, n in self.learned)])
+        self.start, self.learned = np.cumsum(self.size) - self.size, []
+        number[new] = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        return number
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
