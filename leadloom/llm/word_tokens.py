@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 
 from leadloom.llm.common import spans
 from leadloom.llm.merging import PairTable, merge_words
 
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 800_000
 ROUND_CHARS = 200_000
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -98,25 +99,29 @@ class WordCodec:
         self.learned.append((out.astype(np.int32), size))
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
-        known = self.known
-        fresh = [c for c in dict.fromkeys(chunks) if c not in known]
-        if fresh:
-            if len(known) > self.cached_chunks:
-                self._forget()
-                known, fresh = self.known, list(dict.fromkeys(chunks))
-            part, chars = [], 0
-            for c in fresh:
-                part.append(c)
-                chars += len(c)
-                if chars >= ROUND_CHARS:
-                    self._learn(part)
-                    part, chars = [], 0
-            if part:
+        """The number of each of the chunks; one lookup each, and a second one for those that were new."""
+        number = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(number < 0)
+        if not len(new):
+            return number
+        if len(self.known) > self.cached_chunks:
+            self._forget()
+            new = np.arange(len(chunks))
+        asked = [chunks[k] for k in new.tolist()]
+        part, chars = [], 0
+        for c in dict.fromkeys(asked):
+            part.append(c)
+            chars += len(c)
+            if chars >= ROUND_CHARS:
                 self._learn(part)
-            self.pool = np.concatenate([self.pool, *(ids for ids, _ in self.learned)])
-            self.size = np.concatenate([self.size, *(n for _, n in self.learned)])
-            self.start, self.learned = np.cumsum(self.size) - self.size, []
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+                part, chars = [], 0
+        if part:
+            self._learn(part)
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in self.learned)])
+        self.size = np.concatenate([self.size, *(n for _, n in self.learned)])
+        self.start, self.learned = np.cumsum(self.size) - self.size, []
+        number[new] = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        return number
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of whole texts and the number of ids of each, without any special token added."""
