@@ -8,7 +8,7 @@ Two exact forms: a fold over lists of bounded length, and rounds of joins for gr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys
@@ -20,6 +20,7 @@ FOLD_LIMIT = 200
 
 
 def _usable(leads: DataFrame) -> DataFrame:
+    """Leads with an address, with the keys of the walk; a null city is a city of its own."""
     keyed = leads.withColumn("domain", keys.discovery_domain("website_url")).withColumn(
         "name_key", strip(F.lower(F.coalesce("name", F.lit(""))))
     )
@@ -28,8 +29,13 @@ def _usable(leads: DataFrame) -> DataFrame:
     )
 
 
+def _turn(pos: Column, *ties: Column) -> Column:
+    """Sorts like the walk: by position, rows without one last, then by the given columns."""
+    return F.struct(pos.isNull().alias("late"), F.coalesce(pos.cast("decimal(38,10)"), F.lit(0)).alias("at"), *ties)
+
+
 def _fold(groups: DataFrame) -> DataFrame:
-    """Walk each city's ordered array ``xs`` of (pos, name_key, domain_key, ...); kept elements as ``x``."""
+    """Walk each city's ordered array ``xs`` of (name_key, domain_key, ...); kept elements as ``x``."""
 
     def step(acc, x):
         clash = F.exists(
@@ -43,47 +49,49 @@ def _fold(groups: DataFrame) -> DataFrame:
     return groups.select("city", F.explode(F.aggregate("xs", F.slice("xs", 1, 0), step)).alias("x"))
 
 
-def dedupe_finalists(leads: DataFrame, per_city: int = 25, pos: str = "pos") -> DataFrame:
-    """Fold over each city's ordered list; for input limited to ``per_city`` rows by the step before.
+def dedupe_finalists(leads: DataFrame, pos: str = "pos") -> DataFrame:
+    """Fold over each city's ordered list, lazily; for lists that the step before keeps short.
 
-    A longer list is an error, never cut: use :func:`dedupe_leads` there. One row more than allowed is
-    enough to see that, so no task gathers more.
+    A longer list gives the same rows, held in one array: for lists without a bound use :func:`dedupe_leads`.
+    Rows of one position are walked by name, then domain; equal ones are told apart by their other columns.
     """
-    few = top_per_key(_usable(leads), ["city"], [as_col(pos)], per_city + 1)
+    row = F.struct(*[F.col(c) for c in leads.columns])
     lead = F.struct(
-        as_col(pos).alias("pos"), "name_key", F.col("domain").alias("domain_key"),
-        F.struct(*leads.columns).alias("row"),
+        _turn(as_col(pos), F.col("name_key"), F.col("domain")).alias("turn"), "name_key", F.col("domain").alias("domain_key"),
+        row.alias("row"),
     )
-    groups = few.groupBy("city").agg(F.array_sort(F.collect_list(lead)).alias("xs"))
-    guarded = groups.select(
-        "city",
-        F.when(F.size("xs") <= per_city, F.col("xs")).otherwise(
-            F.raise_error(F.lit("more finalists per city than allowed; use dedupe_leads"))
-        ).alias("xs"),
-    )
-    return _fold(guarded).select("x.row.*")
+    groups = _usable(leads).groupBy("city").agg(F.array_sort(F.collect_list(lead)).alias("xs"))
+    return _fold(groups).select("x.row.*")
 
 
 def dedupe_leads(leads: DataFrame, pos: str = "pos", fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """The same result for groups of any size.
+    """The same walk for groups of any size, row by row.
 
-    A repeated (domain, name) of a city always goes, so only its first row takes part, as a narrow row of
-    keys. Cities with at most ``fold_limit`` such rows are folded; larger ones take rounds of joins.
+    Every row gets a number of its own, so repeated positions, ids or whole rows cannot be confused. A repeated
+    (domain, name) of a city always goes, so only its first row takes part, as a narrow row of keys. Cities
+    with at most ``fold_limit`` such rows are folded; larger ones take rounds of joins, to the same end.
     """
-    work = checkpointed(
-        top_per_key(
-            _usable(leads).select("city", "domain", "name_key", as_col(pos).alias("p")),
-            ["city", "domain", "name_key"], ["p"],
-        )
+    row = unused_name(leads, "_row")
+    numbered = checkpointed(leads.withColumn(row, F.monotonically_increasing_id()))
+    turn = _turn(as_col(pos), F.col("name_key"), F.col("domain"), F.col(row))
+    work = _usable(numbered).select(
+        F.coalesce(F.concat(F.lit("="), F.col("city").cast("string")), F.lit("")).alias("city"), "domain", "name_key", turn.alias("p"),
     )
-    sizes = work.groupBy("city").agg(F.count("*").alias("n"))
+    work = checkpointed(top_per_key(work, ["city", "domain", "name_key"], ["p"]))
+    sizes = checkpointed(work.groupBy("city").agg(F.count("*").alias("n")))
     few = work.join(sizes.filter(F.col("n") <= fold_limit).select("city"), "city", "left_semi")
-    item = F.struct(F.col("p").alias("pos"), "name_key", F.col("domain").alias("domain_key"))
+    item = F.struct("p", "name_key", F.col("domain").alias("domain_key"))
     folded = _fold(few.groupBy("city").agg(F.array_sort(F.collect_list(item)).alias("xs")))
-    survivors = folded.select("city", F.col("x.pos").alias(pos))
+    survivors = folded.select(F.col(f"x.p.{row}").alias(row))
     for kept in _rounds(work.join(sizes.filter(F.col("n") > fold_limit).select("city"), "city", "left_semi")):
-        survivors = survivors.union(kept.select("city", F.col("p").alias(pos)))
-    return leads.join(survivors, ["city", pos], "left_semi")
+        survivors = survivors.union(kept.select(F.col(f"p.{row}").alias(row)))
+    return numbered.join(survivors, row, "left_semi").drop(row)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def _rounds(work: DataFrame) -> list[DataFrame]:
@@ -100,16 +108,13 @@ def _rounds(work: DataFrame) -> list[DataFrame]:
     if undecided.isEmpty():
         return kept
     names = undecided.select("city", "name_key").distinct()
-    # only substrings as long as some name can be a name
-    lengths = names.agg(F.array_sort(F.collect_set(F.length("name_key")))).scalar()
-    pieces = F.expr(
-        "array_distinct(flatten(transform(filter(lengths, l -> l <= length(name_key)), l ->"
-        " IF(l = 0, array(''), transform(sequence(1, length(name_key) - l + 1),"
-        " i -> substring(name_key, i, l))))))"
-    )
+    # only substrings as long as some name of the city can be a name; they stream out of the row one by one
+    lengths = names.select("city", F.length("name_key").alias("size")).distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("big") - F.col("size"), F.lit(0)) + 1))
     inside = checkpointed(
-        names.withColumn("lengths", lengths)
-        .select("city", F.col("name_key").alias("big"), F.explode(pieces).alias("small"))
+        names.withColumnRenamed("name_key", "big").join(lengths, "city").filter(F.col("size") <= F.length("big"))
+        .select("city", "big", "size", starts.alias("start"))
+        .select("city", "big", F.substr("big", F.col("start"), F.col("size")).alias("small")).distinct()
         .join(names.withColumnRenamed("name_key", "small"), ["city", "small"], "left_semi")
     )
 

@@ -9,48 +9,42 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import keys
 from leadloom.functions.exprs import as_col, let
-from leadloom.operators.common import top_per_key
-from leadloom.sizing import bounded_broadcast, is_small
+from leadloom.sizing import bounded_broadcast
 
 # Points per street tier.
 TIER_POINTS = ((1, 10), (2, 7), (3, 4))
 
 
 def detect_street(
-    contents: DataFrame, streets: DataFrame, id_cols: Sequence[str], text: str = "content",
+    contents: DataFrame, streets: DataFrame, id_cols: Sequence[str] = (), text: str = "content",
     small: bool | None = None,
 ) -> DataFrame:
     """Add the first listed street of the page's city whose name occurs in the text.
 
-    A street table measured to be small travels as one ordered list per city, so a page is matched in its
-    own row: no match pairs and no regrouping of page texts. A larger table is joined on the city, and
-    the first match is taken per ``id_cols`` over narrow rows (the texts are not shuffled again).
+    The streets of a city travel as one ordered list (ties of position by name, then tier), and every page is
+    matched in its own row: no match pairs, no identity of pages, no regrouping of texts. Whether the lists are
+    broadcast or joined by a shuffle on the city (``small`` decides it for them) changes no result.
     """
-    listed = streets.select(keys.city_key("city").alias("city_key"), "pos", "street", "tier")
-    pages = contents.withColumn("city_key", keys.city_key("city"))
-    if is_small(listed) if small is None else small:
-        per_city = listed.groupBy("city_key").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "street", "tier"))).alias("streets")
-        )
-        first = let(
-            F.lower(F.coalesce(as_col(text), F.lit(""))),
-            lambda t: F.get(F.filter("streets", lambda s: F.contains(t, s["street"])), F.lit(0)),
-        )
-        return (
-            pages.join(F.broadcast(per_city), "city_key", "left")
-            .withColumn("hit", first)
-            .withColumn("street", F.col("hit.street"))
-            .withColumn("tier", F.col("hit.tier"))
-            .drop("city_key", "streets", "hit")
-        )
-    names = {c: f"_{c}" for c in listed.columns}
-    texts = pages.select(*id_cols, "city_key", F.lower(as_col(text)).alias("_text"))
-    match = (F.col("city_key") == F.col("_city_key")) & F.contains(F.col("_text"), F.col("_street"))
-    found = top_per_key(
-        texts.join(listed.withColumnsRenamed(names), match).select(*id_cols, "_pos", "_street", "_tier"),
-        id_cols, ["_pos"],
-    ).select(*id_cols, F.col("_street").alias("street"), F.col("_tier").alias("tier"))
-    return pages.drop("city_key").join(found, list(id_cols), "left")
+    listed = streets.filter(F.col("street").isNotNull()).select(keys.city_key("city").alias("city_key"), "pos", "street", "tier")
+    per_city = listed.groupBy("city_key").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "street", "tier"))).alias("streets")
+    )
+    if small is None:
+        per_city = bounded_broadcast(per_city)
+    elif small:
+        per_city = F.broadcast(per_city)
+    first = let(
+        F.lower(F.coalesce(as_col(text), F.lit(""))),
+        lambda t: F.get(F.filter("streets", lambda s: F.contains(t, s["street"])), F.lit(0)),
+    )
+    return (
+        contents.withColumn("city_key", keys.city_key("city"))
+        .join(per_city, "city_key", "left")
+        .withColumn("hit", first)
+        .withColumn("street", F.col("hit.street"))
+        .withColumn("tier", F.col("hit.tier"))
+        .drop("city_key", "streets", "hit")
+    )
 
 
 def location_score(tier: Column | str) -> Column:

@@ -31,6 +31,7 @@ from leadloom.sizing import bounded_broadcast, checkpointed
 MATRIX_MAX_BYTES = 128 << 20
 CHUNK_BYTES = 64 << 20
 PRODUCT_CELLS = 4_000_000
+ROW = "_row"
 
 
 def _matrix_size(clients: DataFrame, vector: str) -> tuple[int, int]:
@@ -106,8 +107,9 @@ def top_similar(
 ) -> DataFrame:
     """Rows (key, client, cosine, rank, similarity) of the ``k`` most similar clients, ties by client key.
 
-    ``key`` identifies a prospect row. ``similarity`` is the cosine in percent with two decimals. Rows
-    without a vector, or with the zero vector, have no ranking.
+    Every prospect row gets its own ranking under its ``key``, also when the key repeats. ``similarity`` is the
+    cosine in percent with two decimals. Rows without a vector, with the zero vector or with a component that
+    is not a number have no ranking.
     """
     p = prospects.select(key, F.col(vector).alias("v")).filter("v is not null")
     c = clients.select(client_key, F.col(client_vector).alias("v")).filter("v is not null")
@@ -162,9 +164,12 @@ def _by_blocks(p, c, k, key, client_key, schema) -> DataFrame:
             other, F.explode(F.sequence(F.lit(0), F.col(other_count).cast("int") - 1))
         ).drop("chunks", "blocks")
 
-    spread_p = spread(p, "chunk", "chunks", key, "block", "blocks")
+    # a row is told from others of its key by its number, which also spreads the rows of a frequent key
+    if ROW not in p.columns:
+        p = p.withColumn(ROW, F.monotonically_increasing_id())
+    spread_p = spread(p, "chunk", "chunks", ROW, "block", "blocks")
     spread_c = spread(c, "block", "blocks", client_key, "chunk", "chunks")
-    names = schema.names
+    names = [*schema.names, ROW]
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({n: [] for n in names})
@@ -173,19 +178,20 @@ def _by_blocks(p, c, k, key, client_key, schema) -> DataFrame:
         right = right.sort_values(client_key)
         unit, ok = _unit_rows(np.array(right["v"].tolist(), dtype=np.float64))
         x, good = _unit_rows(np.array(left["v"].tolist(), dtype=np.float64))
-        ids, who = right[client_key].to_numpy()[ok], left[key].to_numpy()[good]
+        ids, who, row = right[client_key].to_numpy()[ok], left[key].to_numpy()[good], left[ROW].to_numpy()[good]
         if not len(ids) or not len(who):
             return none
         return pd.concat(
-            pd.DataFrame({key: who[r], client_key: cl, "cosine": cos, "rank": rk})
+            pd.DataFrame({key: who[r], client_key: cl, "cosine": cos, "rank": rk, ROW: row[r]})
             for r, cl, cos, rk in _rank_block(x[good], ids, unit[ok], k)
         )
 
     by = ["list", "chunk", "block"]
-    partial = spread_p.groupBy(*by).cogroup(spread_c.groupBy(*by)).applyInPandas(rank, schema)
+    wide = T.StructType([*schema.fields, T.StructField(ROW, T.LongType())])
+    partial = spread_p.groupBy(*by).cogroup(spread_c.groupBy(*by)).applyInPandas(rank, wide)
     return top_per_key(
-        partial.drop("rank"), [key], [F.col("cosine").desc(), client_key], k, rank_name="rank"
-    )
+        partial.drop("rank"), [ROW], [F.col("cosine").desc(), client_key], k, rank_name="rank"
+    ).drop(ROW)
 
 
 def approx_similar(
@@ -262,6 +268,7 @@ def _lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema) -
 def _lists_by_blocks(p, dealt, centers, probes, dim, chunk_bytes, k, key, client_key, schema) -> DataFrame:
     shared = p.sparkSession.sparkContext.broadcast(centers)
     near = min(probes, len(centers))
+    p = p.select(key, "v", F.monotonically_increasing_id().alias(ROW))  # one number in all lists of a row
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,8 +278,7 @@ def _lists_by_blocks(p, dealt, centers, probes, dim, chunk_bytes, k, key, client
             rows, cols, _ = _top_k(x @ shared.value.T, near)
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(cols, pa.int32())],
-                names=[key, "v", "list"],
+                [*(c.take(at) for c in b.columns), pa.array(cols, pa.int32())], names=[key, "v", ROW, "list"],
             )
 
     routed = p.mapInArrow(

@@ -57,7 +57,31 @@ def test_random_names(spark):
         assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos")) == walk(rows)
 
 
-def test_fold_refuses_long_lists(spark):
-    df = spark.createDataFrame([("x", i, f"n{i}", f"https://{i}.com") for i in range(4)], SCHEMA)
-    with pytest.raises(Exception, match="more finalists"):
-        finalists.dedupe_finalists(df, per_city=3).collect()
+def test_long_lists_are_no_failure(spark):
+    rows = [("x", i, f"n{i} ", f"https://{i}.com") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(values(finalists.dedupe_finalists(df), "city", "pos")) == walk(rows)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_rows_are_told_apart(spark, limit):
+    """Null cities, null and repeated positions, repeated rows: every row is walked as itself, and the walk ends."""
+    rows = [
+        (None, 1, "Acme", "https://a.com"), (None, 2, "acme", "https://b.com"), (None, None, "Zed", "https://z.com"),
+        ("x", None, "one", "https://1.com"), ("x", None, "two", "https://2.com"), ("x", 3, "three", "https://3.com"),
+        ("x", 7, "same", "https://s.com"), ("x", 7, "other", "https://o.com"), ("x", 7, "same", "https://t.com"),
+        ("x", 9, "last", "https://l.com"), ("x", 9, "last", "https://l.com"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = [
+        (None, 1, "Acme"), (None, None, "Zed"), ("x", None, "one"), ("x", None, "two"), ("x", 3, "three"), ("x", 7, "other"),
+        ("x", 7, "same"), ("x", 9, "last"),
+    ]
+    assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos", "name"), key=str) == sorted(want, key=str)
+    assert sorted(values(finalists.dedupe_finalists(df), "city", "pos", "name"), key=str) == sorted(want, key=str)
+
+
+def test_a_long_name_streams_its_pieces(spark):
+    rows = [("x", 1, "ab", "https://1.com"), ("x", 2, "q" * 4000 + "ab", "https://2.com"), ("x", 3, "r" * 4000, "https://3.com")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(values(finalists.dedupe_leads(df, fold_limit=0), "city", "pos")) == walk(rows)

@@ -67,9 +67,10 @@ def test_scoring_is_a_projection(spark, small):
 
 
 def test_broadcast_needs_a_measured_bound(spark):
-    small = spark.range(100).withColumn("s", F.lit("x"))
-    assert is_small(small, 100) and not is_small(small, 99) and not is_small(small, 100, 200)
-    assert "UnresolvedHint" in small.hint("broadcast")._jdf.queryExecution().logical().toString()
-    hinted = bounded_broadcast(small)._jdf.queryExecution().logical().toString()
-    plain = bounded_broadcast(small, 10)._jdf.queryExecution().logical().toString()
+    rows = 10**6  # estimated too large to be taken at its word
+    table = spark.range(rows).withColumn("s", F.lit("x")).withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    assert is_small(table, rows) and not is_small(table, rows - 1) and not is_small(table, rows, 25 * rows - 1)
+    assert is_small(spark.range(100))
+    hinted = bounded_broadcast(table, rows)._jdf.queryExecution().logical().toString()
+    plain = bounded_broadcast(table, 10)._jdf.queryExecution().logical().toString()
     assert "Hint" in hinted and "Hint" not in plain
