@@ -13,11 +13,12 @@ from leadloom.operators.common import top_per_key
 from leadloom.schemas import STATUSES
 from leadloom.sizing import bounded_broadcast
 
-CITY_LITERALS = 1000
+#: Statuses of a stored prospect start with this one.
+FIRST_STATUS = "new"
 
 
 def with_store_keys(candidates: DataFrame) -> DataFrame:
-    city = keys.city_key("city")
+    city = F.coalesce(keys.city_key("city"), F.lit(""))
     return candidates.withColumns(
         {
             "city": city,
@@ -37,14 +38,19 @@ def stored_domains(prospects: DataFrame, city: str | None = None) -> DataFrame:
     return rows.select("city", "domain").distinct()
 
 
-def only_cities_of(existing: DataFrame, batch: DataFrame, limit: int = CITY_LITERALS) -> DataFrame:
+def only_cities_of(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Restrict the store to the batch's cities, so that only their partitions are read.
 
-    The city names become literals (partition pruning) while they are few; beyond the bound the store is
-    read as a whole, with the same result of the anti join that follows.
+    A semi join on the partition column: dynamic partition pruning leaves the other folders unread, however
+    many cities there are.
     """
-    cities = [r[0] for r in batch.select("city").distinct().limit(limit + 1).collect()]
-    return existing.filter(F.col("city").isin(cities)) if 0 < len(cities) <= limit else existing
+    return existing.join(bounded_broadcast(touched_cities(batch)), "city", "left_semi")
+
+
+def touched_cities(rows: DataFrame) -> DataFrame:
+    """Distinct cities. The comparison holds for every text; it tells the optimizer that the set is a selection,
+    without which it does not prune partitions by it."""
+    return rows.select("city").distinct().filter(F.col("city") >= "")
 
 
 def new_prospects(
@@ -63,7 +69,8 @@ def qualify_batch(
     order: Sequence[str | Column] = ("pos",),
 ) -> DataFrame:
     """New prospects with their scores; running it again after saving returns nothing."""
-    return new_prospects(candidates, existing, order).transform(score)
+    found = new_prospects(candidates, existing, order).withColumn("status", F.lit(FIRST_STATUS))
+    return found.transform(score)
 
 
 def batch_report(candidates: DataFrame, existing: DataFrame) -> DataFrame:
@@ -215,7 +222,7 @@ def with_insert_defaults(prospects: DataFrame, now: Column | None = None) -> Dat
             **{c: value(c, empty_list)
                for c in ("store_locations", "material_composition", "sustainability_certs")},
             "avg_suit_price_eur": value("avg_suit_price_eur", F.lit(0.0)),
-            "status": F.lit("new"),
+            "status": value("status", F.lit(FIRST_STATUS)),
             "notes": F.col("notes") if "notes" in have else null_text,
             "discovered_at": moment,
             "updated_at": moment,

@@ -12,6 +12,7 @@ from leadloom.plans import qualification
 from leadloom.plans.catalog_discovery import _GATED
 from leadloom.plans.catalog_scoring import POINTS, ranked, scored
 from leadloom.plans.registry import Inputs, query
+from leadloom.schemas import OUTREACH_LOG
 from leadloom.sizing import work_folder
 from leadloom.sources import records, store
 from leadloom.streaming import ingest
@@ -28,22 +29,22 @@ def now():
 STORED = ["id", "domain", "city", "store_count", "avg_suit_price_eur", "final_score", "location_quality", "status"]
 
 
-def saved_prospects(v: Inputs) -> str:
+def saved_prospects(v: Inputs, where: str = "true") -> str:
     """Write the prospects of the input as a stored table; return its folder."""
     path = work_folder(v.spark, "prospects")
-    rows = records.import_legacy(v.stored_rows.drop("seq", "wool_percentage"))
+    rows = records.import_legacy(v.stored_rows.filter(where).drop("seq", "wool_percentage"))
     store.append_prospects(rows, path, now())
     return path
 
 
 @query("io1_read_prospects", """SELECT id, domain, city, store_count, coalesce(avg_suit_price_eur, 0) AS avg_suit_price_eur, final_score,
- coalesce(location_quality, 'standard') AS location_quality, 'new' AS status FROM {stored_rows}""")
+ coalesce(location_quality, 'standard') AS location_quality, status FROM {stored_rows}""")
 def _(v: Inputs):
     return store.read_prospects(v.spark, saved_prospects(v)).select(STORED)
 
 
 @query("io2_append_prospects", """SELECT id, domain, city, store_count, coalesce(avg_suit_price_eur, 0) AS avg_suit_price_eur, final_score,
- coalesce(location_quality, 'standard') AS location_quality, 'new' AS status FROM {stored_rows}
+ coalesce(location_quality, 'standard') AS location_quality, status FROM {stored_rows}
 UNION ALL SELECT id, domain, city, store_count, coalesce(avg_suit_price_eur, 0), CAST(trunc(final_score) AS INTEGER), 'standard', 'new' FROM {o_new_candidates}""")
 def _(v: Inputs):
     path = saved_prospects(v)
@@ -57,14 +58,38 @@ def _json_list(c: str) -> str:
 
 
 @query("io3_legacy_import", f"""SELECT id, status, coalesce(TRY_CAST(CASE WHEN regexp_full_match(store_count, '[0-9]+') THEN store_count END AS INTEGER), 0) AS store_count,
+ coalesce(CAST(trunc(TRY_CAST(final_score AS DOUBLE)) AS INTEGER), 0) AS final_score,
  {_json_list("material_composition")} AS materials, {_json_list("sustainability_certs")} AS certs FROM {{legacy_rows}}""")
 def _(v: Inputs):
     rows = records.import_legacy(v.legacy_rows)
     return rows.select(
-        "id", "status", "store_count", F.array_join("material_composition", "|").alias("materials"),
+        "id", "status", "store_count", "final_score", F.array_join("material_composition", "|").alias("materials"),
         F.array_join("sustainability_certs", "|").alias("certs"))
 
 
+_LENIENT = "coalesce(TRY_CAST(CASE WHEN regexp_full_match(l.store_count, '[0-9]+') THEN l.store_count END AS INTEGER), 0)"
+
+
+@query("io3_import_stored", f"""SELECT l.id, l.name || ' (legacy)' AS name, l.status, l.city,
+ CASE WHEN s.id IS NULL THEN {_LENIENT} ELSE s.store_count END AS store_count FROM {{legacy_rows}} l
+LEFT JOIN (SELECT * FROM {{stored_rows}} WHERE status = 'contacted') s ON s.id = l.id""")
+def _(v: Inputs):
+    path = saved_prospects(v, "status = 'contacted'")
+    older = records.import_legacy(v.legacy_rows).withColumn("name", F.concat("name", F.lit(" (legacy)")))
+    store.upsert_prospects(v.spark, path, older, now=now())
+    return store.read_prospects(v.spark, path).select("id", "name", "status", "city", "store_count")
+
+
+@query("io3_log_import", """SELECT brand_name, website_url, status, error_message, sent_at FROM {outreach_log}
+UNION ALL SELECT brand_name, website_url, status, NULL, TRY_CAST(sent_at AS TIMESTAMP) FROM {legacy_log}""")
+def _(v: Inputs):
+    path = work_folder(v.spark, "log")
+    store.append_log(records.import_log(v.outreach_log), path)
+    store.append_log(records.import_log(v.legacy_log), path)
+    log = v.spark.read.schema(OUTREACH_LOG).parquet(path)
+    return log.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))
+
+
 @query("io4_flatten_results", """SELECT call_id, city, query_index, CAST(pos - 1 AS INTEGER) AS rank, hit.url AS url, hit.title AS title
 FROM (SELECT call_id, city, query_index, unnest(results) AS hit, generate_subscripts(results, 1) AS pos FROM {nested_results})""")
 def _(v: Inputs):
@@ -125,6 +150,46 @@ def _(v: Inputs):
     return writes.upsert(v.prospects.select(columns), incoming, "id", ["name", "website_url"])
 
 
+_GONE = "SELECT lower(n_name) AS city FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_regionkey >= 3 UNION SELECT 'atlantis'"
+
+
+def _gone(v: Inputs):
+    named = v.nation.join(v.region.filter("r_regionkey >= 3"), F.col("n_regionkey") == F.col("r_regionkey"))
+    atlantis = v.region.select(F.lit("  Atlantis ").alias("city")).distinct()
+    return named.select(F.col("n_name").alias("city")).unionByName(atlantis)
+
+
+@query("m3_upsert_stored", """SELECT coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NULL THEN p.name ELSE n.name || ' (new)' END AS name,
+ CASE WHEN n.id IS NULL THEN p.website_url ELSE n.website_url || '/new' END AS website_url,
+ CASE WHEN p.id IS NULL THEN n.city ELSE p.city END AS city, CASE WHEN p.id IS NULL THEN n.status ELSE p.status END AS status,
+ CASE WHEN p.id IS NULL THEN n.final_score ELSE p.final_score END AS final_score
+FROM {stored_rows} p FULL JOIN {candidates} n ON p.id = n.id""")
+def _(v: Inputs):
+    path = saved_prospects(v)
+    incoming = v.candidates.drop("seq", "wool_percentage").withColumns({
+        "name": F.concat("name", F.lit(" (new)")), "website_url": F.concat("website_url", F.lit("/new"))})
+    store.upsert_prospects(v.spark, path, incoming, now=now())
+    return store.read_prospects(v.spark, path).select("id", "name", "website_url", "city", "status", "final_score")
+
+
+@query("m4_update_stored", """SELECT p.id, p.city, CASE WHEN c.id IS NULL THEN p.status ELSE c.status END AS status, c.notes
+FROM {stored_rows} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC, notes DESC NULLS LAST) AS rn FROM {changes}
+ WHERE status <> 'archived') WHERE rn = 1) c ON c.id = p.id""")
+def _(v: Inputs):
+    path = saved_prospects(v)
+    store.change_status(v.spark, path, v.changes.withColumn("turn", F.struct("change_no", "status", "notes")), "turn", now())
+    return store.read_prospects(v.spark, path).select("id", "city", "status", "notes")
+
+
+@query("m5_remove_stored", f"""SELECT id, city FROM {{stored_rows}} WHERE id NOT IN (SELECT id FROM {{changes}} WHERE status = 'rejected')
+ AND city NOT IN ({_GONE})""")
+def _(v: Inputs):
+    path = saved_prospects(v)
+    store.remove_ids(v.spark, path, v.changes.filter("status = 'rejected'"))
+    store.drop_cities(v.spark, path, _gone(v))
+    return store.read_prospects(v.spark, path).select("id", "city")
+
+
 @query("m4_update_status", """SELECT p.id, CASE WHEN c.id IS NULL THEN p.status ELSE c.status END AS status, CASE WHEN c.id IS NULL THEN 'old note' ELSE c.notes END AS notes
 FROM {prospects} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC, notes DESC NULLS LAST) AS rn FROM {changes}
  WHERE status <> 'archived') WHERE rn = 1) c ON c.id = p.id""")
@@ -144,15 +209,6 @@ def _(v: Inputs):
     return writes.delete_ids(v.prospects, v.changes.filter("status = 'rejected'")).select("id", "city")
 
 
-_GONE = "SELECT lower(n_name) AS city FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_regionkey >= 3 UNION SELECT 'atlantis'"
-
-
-def _gone(v: Inputs):
-    named = v.nation.join(v.region.filter("r_regionkey >= 3"), F.col("n_regionkey") == F.col("r_regionkey"))
-    atlantis = v.region.select(F.lit("  Atlantis ").alias("city")).distinct()
-    return named.select(F.col("n_name").alias("city")).unionByName(atlantis)
-
-
 @query("m5_delete_by_cities", f"SELECT id, city FROM {{prospects}} WHERE city NOT IN ({_GONE})")
 def _(v: Inputs):
     return writes.delete_cities(v.prospects, _gone(v)).select("id", "city")

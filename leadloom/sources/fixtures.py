@@ -85,8 +85,15 @@ FROM {prospects} p""",
 SELECT id, name, website_url, domain, city, country, country_code, status,
  CASE WHEN seq % 13 = 0 THEN 'many' WHEN seq % 17 = 0 THEN '12.0' WHEN seq % 19 = 0 THEN ''
   ELSE CAST(store_count AS varchar(20)) END AS store_count,
+ CASE WHEN seq % 7 = 0 THEN CAST(final_score AS varchar(20)) || '.5' WHEN seq % 23 = 0 THEN 'n/a'
+  ELSE CAST(final_score AS varchar(20)) END AS final_score,
  material_composition, store_locations AS sustainability_certs
 FROM {stored_rows}""",
+    # Outreach lines of the older layout: text throughout, some times unreadable.
+    "legacy_log": """
+SELECT brand_name, website_url, status,
+ CASE WHEN status = 'failed' THEN 'unknown' ELSE substring(CAST(sent_at AS varchar(40)), 1, 19) END AS sent_at
+FROM {outreach_log}""",
     "search_results": """
 SELECT lower(n_name) AS city, CAST(o_orderkey % 4 AS int) AS query_index, CAST(o_orderkey AS bigint) AS rank,
  CASE WHEN o_orderkey % 10 = 4 THEN ''
@@ -122,6 +129,22 @@ FROM (SELECT page_id, nm, k, CAST(v AS varchar(20)) AS v, CAST(160 + v % 801 AS
              lpad(CAST(v % 1000 AS varchar(20)), 3, '0') AS md
       FROM (SELECT CAST(p_partkey AS bigint) AS page_id, p_name AS nm, CAST(p_partkey AS varchar(20)) AS k,
                    CAST(1000 + (p_partkey * 37) % 3000 AS bigint) AS v FROM {part}) a) b""",
+    # Web pages with links to shops and accounts, some anchors unclosed or without an address.
+    "shop_pages": """
+SELECT page_id, url, CASE page_id % 5
+ WHEN 0 THEN '<a href="/login">Suits</a><a class="x" href="/collections/tailoring">See all</a>'
+ WHEN 1 THEN '<a href="/about">About<a href="/wedding">Our wedding suits'
+ WHEN 2 THEN '<a data-href="/suits">Suits</a><A HREF="/store">Shop</A>'
+ WHEN 3 THEN '<p>no link</p><a name="suit">Suits</a>' ELSE '' END || html AS html
+FROM {pages}""",
+    # Page texts that mention what the documented quality bonus looks for.
+    "praised": """
+SELECT page_id, content || CASE page_id % 11
+ WHEN 0 THEN ' Fato 100% Lã, feito à medida' WHEN 1 THEN ' super 170s cloth' WHEN 2 THEN ' SUPER120' WHEN 3 THEN ' super 110s'
+ WHEN 4 THEN ' Pure new wool, fully canvassed' WHEN 5 THEN ' Loro Piana and Holland & Sherry, personalised'
+ WHEN 6 THEN ' made-to-measure in Italian fabric' WHEN 7 THEN ' british cloth, customizable' WHEN 8 THEN ' lã virgem, sob medida'
+ ELSE '' END AS content
+FROM {contents}""",
     # Texts of one address fetched by three sources, of very different length.
     "fetched": """
 SELECT 'https://doc' || CAST(d.doc_id - d.doc_id % 3 AS varchar(20)) || '.example.com/' AS url,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions.exprs import as_col, blank_to, strip
-from leadloom.schemas import LIST
+from leadloom.schemas import LIST, OUTREACH_LOG
 
 EUR_USD = 1.08
 
@@ -15,11 +15,18 @@ EUR_USD = 1.08
 NO_OVERVIEW = "Informação não disponível"
 
 
-def lenient_int(c: Column | str) -> Column:
-    """Integer text, else 0."""
+def lenient_int(c: Column | str, kind: T.DataType | None = None) -> Column:
+    """Integer text, else 0; a column that is numeric already is cut to its integer part."""
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(as_col(c).try_cast("int"), F.lit(0))
     return F.coalesce(strip(as_col(c).cast("string")).try_cast("int"), F.lit(0))
 
 
+def score_int(c: Column | str) -> Column:
+    """A score as the table stores it: any number cut to its integer part, else 0."""
+    return F.coalesce(strip(as_col(c).cast("string")).try_cast("double").try_cast("int"), F.lit(0))
+
+
 def json_list(c: Column | str) -> Column:
     """A JSON array of strings; anything else is the empty list."""
     return F.coalesce(F.from_json(as_col(c), LIST), F.array().cast(LIST))
@@ -33,17 +40,29 @@ def read_legacy_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
 def import_legacy(rows: DataFrame) -> DataFrame:
     """Rows of the older layout in the current types."""
     have = set(rows.columns)
-    numbers = [c for c in ("store_count", "quality_score", "similarity_score", "location_score", "final_score") if c in have]
+    scores = [c for c in ("quality_score", "similarity_score", "location_score", "final_score") if c in have]
     lists = [c for c in ("material_composition", "sustainability_certs", "store_locations") if c in have]
     return rows.withColumns(
         {
-            **{c: lenient_int(c) for c in numbers},
+            **({"store_count": lenient_int("store_count", rows.schema["store_count"].dataType)} if "store_count" in have else {}),
+            **{c: score_int(c) for c in scores},
             **{c: json_list(c) for c in lists},
             "status": F.coalesce("status", F.lit("new")) if "status" in have else F.lit("new"),
         }
     )
 
 
+def import_log(rows: DataFrame) -> DataFrame:
+    """Outreach lines of the older layout, where everything is text: a column that is missing is null, as is a
+    time that cannot be read."""
+    have = set(rows.columns)
+
+    def value(f: T.StructField) -> Column:
+        return F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+
+    return rows.select(*[value(f).alias(f.name) for f in OUTREACH_LOG.fields])
+
+
 def flatten_results(nested: DataFrame, results: str = "results") -> DataFrame:
     """One row per hit of each query call, with its rank."""
     keep = [c for c in nested.columns if c != results]

@@ -6,19 +6,33 @@ checkpointed to shared storage first, because the partitions to be replaced are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.operators.writes import delete_ids, with_insert_defaults
+from leadloom.functions import keys
+from leadloom.operators.common import top_per_key
+from leadloom.operators.writes import delete_ids, only_cities_of, update_status, upsert, with_insert_defaults
 from leadloom.schemas import PROSPECTS
 from leadloom.sizing import checkpointed
 
 
+#: Folder name of rows without a city: a blank partition value would come back as null.
+NO_CITY = "__no_city__"
+
+
 def read_prospects(spark: SparkSession, path: str, schema: T.StructType = PROSPECTS) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The stored rows; those without a city have the blank one. Filters on the city still prune folders."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.withColumn("city", F.when(F.col("city") == NO_CITY, "").otherwise(F.col("city")))
+
+
+def _foldered(rows: DataFrame) -> DataFrame:
+    blank = F.col("city").isNull() | (F.col("city") == "")
+    return rows.withColumn("city", F.when(blank, NO_CITY).otherwise(F.col("city")))
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -48,53 +62,93 @@ def conform(rows: DataFrame, schema: T.StructType = PROSPECTS) -> DataFrame:
 
 
 def append_prospects(rows: DataFrame, path: str, now=None) -> None:
-    """Insert new rows with the table's defaults.
+    """Insert new rows with the table's defaults; a status that is given stays.
 
     Rows are rebalanced by city: small cities share a task and write one file each, and a city that holds
     a large part of the rows is split over many tasks by its actual size.
     """
-    ready = conform(with_insert_defaults(rows, now)).hint("rebalance", F.col("city"))
+    ready = _foldered(conform(with_insert_defaults(rows, now))).hint("rebalance", F.col("city"))
     ready.write.mode("append").partitionBy("city").parquet(path)
 
 
-def replace_cities(rows: DataFrame, path: str) -> None:
-    """Rewrite the partitions of the cities in ``rows``; all other cities stay untouched."""
+def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame | None) -> None:
+    """Replace the ``touched`` cities (default: those of ``rows``) by ``rows``; all others stay as they are.
+
+    The rows are checkpointed once, as their source is about to be overwritten. A touched city without rows
+    loses its folder, since a rewrite replaces only folders that it has rows for.
+    """
+    kept = checkpointed(rows)
     (
-        checkpointed(rows)
-        .hint("rebalance", F.col("city"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("city")
-        .parquet(path)
+        _foldered(kept).hint("rebalance", F.col("city"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
     )
+    if touched is None:
+        return
+    emptied = touched.join(kept.select("city").distinct(), "city", "left_anti")
+    for row in emptied.toLocalIterator():  # one folder at a time; the driver holds no list
+        _drop_city(spark, path, row["city"])
 
 
-def drop_cities(spark: SparkSession, path: str, cities: list[str]) -> None:
-    """Remove whole city partitions: only folders are touched, no data is read."""
+def _drop_city(spark: SparkSession, path: str, city: str) -> None:
     fs, root = _file_system(spark, path)
-    wanted = {f"city={c}" for c in cities}
-    for status in fs.listStatus(root) if wanted else ():
-        folder = status.getPath()
-        if unquote(folder.getName()) in wanted:  # special characters are percent-coded in folder names
-            fs.delete(folder, True)
+    wanted = f"city={city or NO_CITY}"
+    for status in fs.listStatus(root):
+        if unquote(status.getPath().getName()) == wanted:  # special characters are percent-coded in folder names
+            fs.delete(status.getPath(), True)
+
+
+def _of_cities(table: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of the touched cities; only their folders are read."""
+    return only_cities_of(table, touched)
+
+
+def replace_cities(rows: DataFrame, path: str) -> None:
+    """Rewrite the partitions of the cities in ``rows``; all other cities stay untouched."""
+    _rewrite(rows.sparkSession, path, rows, None)
+
+
+def drop_cities(spark: SparkSession, path: str, cities: DataFrame) -> None:
+    """Remove whole city partitions, named in any case and spacing: only folders are touched, no data is read."""
+    named = cities.select(F.coalesce(keys.city_key("city"), F.lit("")).alias("city")).distinct()
+    for row in named.toLocalIterator():
+        _drop_city(spark, path, row["city"])
+
+
+def _touched(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Cities that hold some of the ids."""
+    return checkpointed(table.select("id", "city").join(ids.select("id"), "id", "left_semi").select("city").distinct())
 
 
 def remove_ids(spark: SparkSession, path: str, ids: DataFrame) -> None:
-    """Delete rows by id, rewriting only the cities they lie in.
+    """Delete rows by id, rewriting only the cities they lie in."""
+    table = read_prospects(spark, path)
+    touched = _touched(table, ids)
+    _rewrite(spark, path, delete_ids(_of_cities(table, touched), ids), touched)
 
-    A city left without rows loses its folder, since a rewrite replaces only partitions it has rows for.
-    """
+
+def change_status(spark: SparkSession, path: str, changes: DataFrame, order: str = "change_no", now=None) -> None:
+    """Apply status changes to the stored rows, rewriting only the cities they lie in."""
     table = read_prospects(spark, path)
-    gone = checkpointed(table.join(ids.select("id"), "id", "left_semi").select("city", "id"))
-    cities = [r[0] for r in gone.select("city").distinct().collect()]
-    if not cities:
-        return
-    rest = checkpointed(delete_ids(table.filter(F.col("city").isin(cities)), gone))
-    left = {r[0] for r in rest.select("city").distinct().collect()}
-    replace_cities(rest, path)
-    drop_cities(spark, path, [c for c in cities if c not in left])
+    touched = _touched(table, changes)
+    _rewrite(spark, path, conform(update_status(_of_cities(table, touched), changes, order, now)), touched)
+
 
+def upsert_prospects(
+    spark: SparkSession, path: str, incoming: DataFrame, overwrite: Sequence[str] = ("name", "website_url"), now=None
+) -> None:
+    """Insert rows with new ids; of known ids only the ``overwrite`` columns change, in the city they are stored in.
 
-def write_table(rows: DataFrame, path: str) -> None:
-    """A new table or snapshot; never overwrites."""
-    rows.write.mode("errorifexists").parquet(path)
+    Of rows that repeat an id the one that sorts first by all overwritten columns counts.
+    """
+    ready = conform(with_insert_defaults(incoming, now)).withColumn("city", F.coalesce(keys.city_key("city"), F.lit("")))
+    ready = top_per_key(ready, ["id"], [F.col(c) for c in overwrite])
+    table = read_or_empty(spark, path)
+    known = _touched(table, ready)
+    strangers = ready.join(table.select("id"), "id", "left_anti").select("city")
+    touched = checkpointed(known.unionByName(strangers).distinct())
+    _rewrite(spark, path, conform(upsert(_of_cities(table, touched), ready, "id", list(overwrite), now)), touched)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add lines to the outreach log."""
+    rows.write.mode("append").parquet(path)
