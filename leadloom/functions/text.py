@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -33,13 +34,14 @@ PRICE_LOW, PRICE_HIGH = 150, 6000
 TITLE_LIMIT = 15000
 TRUNCATION_MARK = "\n\n[Content truncated...]"
 
-# Documented quality bonuses, in points, with a cap of 100.
+# Documented quality bonuses, in points, with a cap of 100. The last form of a cloth grade is any
+# "super" number from 120 on.
 QUALITY_BONUS = (
-    ("wool", 25, ("100% wool", "pure wool", "pure new wool")),
-    ("made_to_measure", 20, ("made to measure", "made-to-measure", "bespoke", "mtm")),
+    ("wool", 25, ("100% wool", "pure wool", "pure new wool", "100% lã", "pura lã", "lã virgem")),
+    ("made_to_measure", 20, ("made to measure", "made-to-measure", "bespoke", "mtm", "por medida", "à medida", "sob medida")),
     ("italian_cloth", 15, ("loro piana", "italian fabric", "italian cloth")),
     ("british_cloth", 15, ("holland & sherry", "british fabric", "british cloth")),
-    ("super_grade", 10, ("super 120", "super 130", "super 140", "super 150", "super 160", "super 180")),
+    ("super_grade", 10, re.compile(r"super\s*(?:1[2-9][0-9]|2[0-9][0-9])")),
     ("canvassed", 10, ("canvassed",)),
     ("customization", 5, ("customiz", "personaliz", "personalis")),
 )
@@ -135,7 +137,10 @@ def quality_bonus(content: Column | str, rules=QUALITY_BONUS, cap: int = 100) ->
     """Documented quality points of a text: one bonus per feature found, capped."""
 
     def points(t: Column) -> Column:
-        parts = [F.when(any_word(t, words), F.lit(p)).otherwise(F.lit(0)) for _, p, words in rules]
+        def found(words: Sequence[str] | re.Pattern) -> Column:
+            return t.rlike(words.pattern) if isinstance(words, re.Pattern) else any_word(t, words)
+
+        parts = [F.when(found(words), F.lit(p)).otherwise(F.lit(0)) for _, p, words in rules]
         return F.least(reduce(lambda a, b: a + b, parts), F.lit(cap))
 
     return let(F.lower(F.coalesce(as_col(content), F.lit(""))), points)

@@ -134,10 +134,17 @@ def clients_per_country(clients: DataFrame) -> DataFrame:
 
 
 def threshold_row(clients: DataFrame) -> DataFrame:
-    return base_profile(clients).select(
-        F.col("min_price"), F.col("max_stores"),
-        F.floor("median_price").alias("ideal_price"), F.floor("median_stores").alias("ideal_stores"),
-    )
+    """Scoring limits of the client base as one row; what an empty base does not tell takes the default."""
+    t = Thresholds()
+    learned = {
+        "min_price": (F.col("min_price"), t.min_price), "max_stores": (F.col("max_stores"), t.max_stores),
+        "ideal_price": (F.floor("median_price"), t.ideal_price), "ideal_stores": (F.floor("median_stores"), t.ideal_stores),
+    }
+    return base_profile(clients).select(*[F.coalesce(c, F.lit(d).cast(_kind(n))).alias(n) for n, (c, d) in learned.items()])
+
+
+def _kind(name: str) -> str:
+    return {"min_price": "double", "max_stores": "int"}.get(name, "bigint")
 
 
 def learned_thresholds(clients: DataFrame) -> Thresholds:

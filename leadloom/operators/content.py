@@ -31,9 +31,10 @@ GATE_HIGH_PRICE, GATE_BONUS, GATE_MIN_SCORE, FINALISTS = 500, 30, 25, 25
 
 EUR_USD = 1.08
 
-ANCHOR = r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a>"
-HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-ANCHOR_TEXT = r"(?is)^<a\b[^>]*>(.*)</a>$"
+# an anchor ends with its end tag, at the next anchor or with the page, so that no unclosed one is scanned twice
+ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=[^>]*>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"
+HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+ANCHOR_TEXT = r"(?is)^<a\s[^>]*>(.*)$"
 
 
 # ---------------------------------------------------------------- choice of the source
@@ -165,7 +166,7 @@ def resolve_url(base: Column | str, href: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)", 1)
     no_query = F.regexp_replace(base, r"[?#].*$", "")
-    path = F.substring(no_query, F.length(root) + 1, 1_000_000)
+    path = F.substr(no_query, F.length(root) + 1)
     folder = F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")))
     joined = (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
@@ -180,7 +181,7 @@ def resolve_url(base: Column | str, href: Column) -> Column:
 def _without_dot_segments(url: Column) -> Column:
     """Fold ``.`` and ``..`` in the path."""
     root = F.regexp_extract(url, r"^((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)", 1)
-    rest = F.substring(url, F.length(root) + 1, 1_000_000)
+    rest = F.substr(url, F.length(root) + 1)
     path, tail = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"([?#].*)$", 1)
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
     empty = F.array().cast("array<string>")
@@ -236,15 +237,21 @@ def secondary_target(pages: DataFrame, hits: DataFrame) -> DataFrame:
 def merge_secondary(contents: DataFrame, second: DataFrame) -> DataFrame:
     """Append the text of the second page under a header.
 
-    ``second`` has (url, content) of the pages read; ``contents`` names its page in ``target_url``.
+    ``second`` has (url, content) of the pages read; ``contents`` names its page in ``target_url``. A blank
+    target or address matches nothing. Only texts that some page asks for are shuffled, and a page without a
+    target has a null key, so that such pages never meet in one task.
     """
+
+    def key(url: str) -> Column:
+        k = keys.discovery_url_key(url)
+        return F.when(k != "", k)
+
     texts = extracted(second).select(
-        keys.discovery_url_key("url").alias("target_key"),
-        F.col("url").alias("second_url"),
-        F.col("content").alias("second_text"),
-    )
-    s = top_per_key(texts, ["target_key"], ["second_url"])
-    keyed = contents.withColumn("target_key", keys.discovery_url_key("target_url"))
+        key("url").alias("target_key"), F.col("url").alias("second_url"), F.col("content").alias("second_text"),
+    ).filter("target_key is not null")
+    keyed = contents.withColumn("target_key", key("target_url"))
+    wanted = keyed.select("target_key").filter("target_key is not null").distinct()
+    s = top_per_key(texts.join(wanted, "target_key", "left_semi"), ["target_key"], ["second_url", "second_text"])
     merged = F.concat(F.col("content"), F.lit(DEEP_DIVE), F.col("second_url"), F.lit("\n"), F.col("second_text"))
     return (
         keyed.join(s, "target_key", "left")

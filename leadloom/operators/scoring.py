@@ -52,9 +52,10 @@ STORES, PRICE = "store_count", "avg_suit_price_eur"
 
 
 def lenient_stores(c: Column | str) -> Column:
-    """A store count that may be text: digits only, else 0."""
+    """A store count that may be text: digits only, else 0; a count beyond an integer is the largest one."""
     s = as_col(c).cast("string")
-    return F.when(s.rlike(r"^[0-9]+$"), s.try_cast("int")).otherwise(F.lit(0))
+    most = F.lit(2**31 - 1)
+    return F.when(s.rlike(r"^[0-9]+$"), F.coalesce(s.try_cast("int"), most)).otherwise(F.lit(0))
 
 
 def lenient_price(c: Column | str) -> Column:

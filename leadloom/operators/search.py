@@ -103,7 +103,8 @@ class ProspectFilter:
 
         def like(column: str, value: str | None) -> None:
             if _text(value):
-                out.append(F.lower(F.col(column)).like(f"%{value.lower()}%"))
+                literal = value.lower().replace("\\", "\\\\")  # a backslash is no escape here
+                out.append(F.lower(F.col(column)).like(f"%{literal}%"))
 
         def one_of(column: str, value: str | None, values: Sequence[str]) -> None:
             if _text(value):

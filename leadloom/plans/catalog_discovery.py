@@ -237,17 +237,28 @@ def _any(t: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
 
-_LINKS = f"""SELECT page_id, url, raw, pos, CASE WHEN {_any("txt", LINK_WORDS["suit"])} THEN 10 ELSE 0 END
-  + CASE WHEN {_any("href", LINK_WORDS["suit"])} THEN 5 ELSE 0 END + CASE WHEN {_any("txt", LINK_WORDS["shop"])} THEN 2 ELSE 0 END
-  + CASE WHEN {_any("href", LINK_WORDS["shop"])} THEN 1 ELSE 0 END - CASE WHEN {_any("href", LINK_WORDS["account"])} THEN 50 ELSE 0 END AS score
- FROM (SELECT page_id, url, pos, raw, lower(trim(raw)) AS href, lower(regexp_replace(regexp_extract(a, '(?is)^<a\\b[^>]*>(.*)</a>$', 1), '<[^>]*>', ' ', 'g')) AS txt
-  FROM (SELECT page_id, url, pos, a, regexp_extract(a, '(?is)^<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1) AS raw
+def _best_sql(words: dict[str, tuple[str, ...]], pages: str) -> str:
+    """The best link per page; an anchor reaches to its end tag, the next anchor or the end of the page."""
+    links = f"""SELECT page_id, url, raw, pos, CASE WHEN {_any("txt", words["suit"])} THEN 10 ELSE 0 END
+  + CASE WHEN {_any("href", words["suit"])} THEN 5 ELSE 0 END + CASE WHEN {_any("txt", words["shop"])} THEN 2 ELSE 0 END
+  + CASE WHEN {_any("href", words["shop"])} THEN 1 ELSE 0 END - CASE WHEN {_any("href", words["account"])} THEN 50 ELSE 0 END AS score
+ FROM (SELECT page_id, url, pos, raw, lower(trim(raw)) AS href, lower(regexp_replace(regexp_extract(a, '(?is)^[^>]*>(.*)$', 1), '<[^>]*>', ' ', 'g')) AS txt
+  FROM (SELECT page_id, url, pos, string_split_regex(a, '(?i)</a')[1] AS a, regexp_extract(a, '(?is)^(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) AS raw
    FROM (SELECT page_id, url, unnest(xs) AS a, generate_subscripts(xs, 1) AS pos
-    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=[^>]*>.*?</a>') AS xs FROM {{pages}}))))
+    FROM (SELECT page_id, url, string_split_regex(html, '(?i)<a\\s')[2:] AS xs FROM {pages}))))
  WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript')"""
-_BEST = f"""SELECT p.page_id, p.url, CAST(b.score AS INTEGER) AS link_score,
+    return f"""SELECT p.page_id, p.url, CAST(b.score AS INTEGER) AS link_score,
  CASE WHEN b.score >= 2 THEN regexp_extract(p.url, '^(https?://[^/?#]*)', 1) || b.raw END AS link
-FROM {{pages}} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rn FROM ({_LINKS})) WHERE rn = 1) b ON b.page_id = p.page_id"""
+FROM {pages} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rn FROM ({links})) WHERE rn = 1) b ON b.page_id = p.page_id"""
+
+
+_BEST = _best_sql(LINK_WORDS, "{pages}")
+DEFAULT_WORDS = {"suit": content.SUIT_LINKS, "shop": content.SHOP_LINKS, "account": content.ACCOUNT_LINKS}
+
+
+@query("c8_default_words", f"SELECT page_id, link_score, link FROM ({_best_sql(DEFAULT_WORDS, '{shop_pages}')})")
+def _(v: Inputs):
+    return content.best_link(v.shop_pages).select("page_id", "link_score", "link")
 
 
 @query("c8_link_scoring", f"SELECT page_id, link_score, link FROM ({_BEST})")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys, text
@@ -143,6 +145,23 @@ def _(v: Inputs):
     return v.contents.select("page_id", text.quality_bonus("content", G13_RULES).alias("bonus"))
 
 
+def _documented_bonus(t: str) -> str:
+    """The documented rules over lower-case text."""
+
+    def found(words) -> str:
+        if isinstance(words, re.Pattern):
+            return f"regexp_matches({t}, '{words.pattern}')"
+        return " OR ".join(f"contains({t}, '{w}')" for w in words)
+
+    parts = " + ".join(f"CASE WHEN {found(words)} THEN {p} ELSE 0 END" for _, p, words in text.QUALITY_BONUS)
+    return f"CAST(least(100, {parts}) AS INTEGER)"
+
+
+@query("g13_documented_words", f"SELECT page_id, {_documented_bonus('lower(content)')} AS bonus FROM {{praised}}")
+def _(v: Inputs):
+    return v.praised.select("page_id", text.quality_bonus("content").alias("bonus"))
+
+
 _MISSING = """(CASE WHEN no_price THEN 1 ELSE 0 END + CASE WHEN no_stores THEN 1 ELSE 0 END
  + CASE WHEN wool_percentage IS NULL OR lower(wool_percentage) = 'unknown' THEN 1 ELSE 0 END
  + CASE WHEN made_to_measure IS NULL THEN 1 ELSE 0 END + CASE WHEN brand_style = 'unknown' THEN 1 ELSE 0 END)"""
@@ -156,13 +175,14 @@ def _(v: Inputs):
 
 
 @query("g15_weighted_score", f"""SELECT id,
- {o.half_up("coalesce(similarity, 0) * 0.4::DOUBLE + quality_score * 0.35::DOUBLE + coalesce(share, 0) * 0.15::DOUBLE + 70 * 0.1::DOUBLE", 2)} AS score_a,
- {o.half_up("coalesce(similarity, 0) * 0.3::DOUBLE + quality_score * 0.3::DOUBLE + coalesce(share, 0) * 0.15::DOUBLE + 70 * 0.0::DOUBLE + size_score * 0.25::DOUBLE", 2)} AS score_b
-FROM {{o_scored}}""")
+ {o.half_up("coalesce(similarity, 0) * 0.4::DOUBLE + quality_score * 0.35::DOUBLE + coalesce(share, 0) * 0.15::DOUBLE + confidence * 0.1::DOUBLE", 2)} AS score_a,
+ {o.half_up("coalesce(similarity, 0) * 0.3::DOUBLE + quality_score * 0.3::DOUBLE + coalesce(share, 0) * 0.15::DOUBLE + confidence * 0.0::DOUBLE + size_score * 0.25::DOUBLE", 2)} AS score_b
+FROM (SELECT *, CASE WHEN no_price AND no_stores THEN 20 WHEN {_MISSING} = 0 THEN 100 WHEN {_MISSING} <= 2 THEN 70 ELSE 40 END AS confidence
+ FROM (SELECT *, coalesce(avg_suit_price_eur, 0) = 0 AS no_price, store_count = 0 AS no_stores FROM {{o_scored}}))""")
 def _(v: Inputs):
     rows = scored(v, v.prospects)
     sim, market = F.coalesce("similarity", F.lit(0.0)), F.coalesce("market_share", F.lit(0.0))
-    quality, conf = F.col("quality_score"), F.lit(70)
+    quality, conf = F.col("quality_score"), scoring.data_confidence()
     return rows.select(
         "id",
         scoring.weighted_score(sim, quality, market, conf).alias("score_a"),
@@ -212,6 +232,43 @@ def _(v: Inputs):
     return out.select("vec_id", "client_id", "similarity", "rank")
 
 
+REPEATED = "SELECT vec_id % 7 AS brand_group, client_id, similarity, rank FROM {o_ranked} WHERE rank <= 5"
+
+
+def _grouped_vectors(v: Inputs):
+    """Rows whose key repeats."""
+    return v.brand_vectors.withColumn("brand_group", F.col("vec_id") % 7)
+
+
+@query("e3_repeated_keys", REPEATED)
+def _(v: Inputs):
+    out = similarity.top_similar(_grouped_vectors(v), v.client_vectors, 5, key="brand_group")
+    return out.select("brand_group", "client_id", "similarity", "rank")
+
+
+@query("e3_repeated_keys_blocked", REPEATED)
+def _(v: Inputs):
+    out = similarity.top_similar(
+        _grouped_vectors(v), v.client_vectors, 5, key="brand_group", matrix_max_bytes=1 << 10, chunk_bytes=32 << 10
+    )
+    return out.select("brand_group", "client_id", "similarity", "rank")
+
+
+@query("e4_all_lists", "SELECT vec_id, client_id, similarity, rank FROM {o_ranked} WHERE rank <= 10")
+def _(v: Inputs):
+    return similarity.approx_similar(v.brand_vectors, v.client_vectors, 10, probes=1 << 20).select(
+        "vec_id", "client_id", "similarity", "rank"
+    )
+
+
+@query("e4_all_lists_blocked", "SELECT vec_id, client_id, similarity, rank FROM {o_ranked} WHERE rank <= 10")
+def _(v: Inputs):
+    out = similarity.approx_similar(
+        v.brand_vectors, v.client_vectors, 10, probes=1 << 20, matrix_max_bytes=1 << 10, chunk_bytes=32 << 10
+    )
+    return out.select("vec_id", "client_id", "similarity", "rank")
+
+
 @query("e4_approximate_top_k")
 def _(v: Inputs):
     return similarity.approx_similar(v.brand_vectors, v.client_vectors, 10).select(

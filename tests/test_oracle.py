@@ -1,5 +1,7 @@
 """Every registered query against its oracle, on the smallest data (``compare.py`` runs the larger)."""
 
+import re
+
 import pytest
 from compare import compare, oracle_connection
 
@@ -26,4 +28,5 @@ def test_entry_returns_a_page(spark):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"e4_approximate_top_k"}
+    own = {q for q in QUERIES if not re.match(r"op\d+_|pipeline$", q)}
+    assert own - set(ORACLES) == {"e4_approximate_top_k"}
