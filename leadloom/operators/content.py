@@ -268,9 +268,10 @@ def gate_score(similarity: Column, price: Column) -> Column:
     return similarity * F.lit(GATE_WEIGHT) + bonus
 
 
-def select_finalists(candidates: DataFrame, k: int = FINALISTS) -> DataFrame:
+def select_finalists(candidates: DataFrame, k: int = FINALISTS, place: str | None = None) -> DataFrame:
     """Gate by price and similarity, then the best ``k`` per city; the sort is stable on ``pos``.
 
+    ``place`` names a column for the rank within the city.
     Reads ``avg_price`` and ``similarity`` (null means no client to compare with).
     """
     price = F.coalesce("avg_price", F.lit(0.0))
@@ -285,6 +286,7 @@ def select_finalists(candidates: DataFrame, k: int = FINALISTS) -> DataFrame:
         ["city"],
         [F.col("gate_score").desc(), F.col("pos")],
         k,
+        rank_name=place,
     )
 
 
@@ -297,10 +299,10 @@ def parse_leads(raw: DataFrame, schema, payload: str = "payload") -> DataFrame:
     return raw.withColumn("lead", F.from_json(payload, schema)).select(*keep, "lead.*")
 
 
-def normalize_leads(leads: DataFrame) -> DataFrame:
-    """Defaults for what the selection left out."""
+def normalize_leads(leads: DataFrame, keep: Sequence[str] = ("seq", "city")) -> DataFrame:
+    """Defaults for what the selection left out (fixed values); ``keep`` names columns passed through."""
     return leads.select(
-        *[c for c in ("seq", "city") if c in leads.columns],
+        *[c for c in keep if c in leads.columns],
         F.coalesce("name", F.lit("Unknown")).alias("name"),
         F.coalesce("url", F.lit("")).alias("website_url"),
         falsy_to("storeCount", 1).alias("store_count"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from leadloom.operators import clients, outreach, writes
 from leadloom.plans import oracle_text as o
 from leadloom.plans import qualification
-from leadloom.plans.catalog_discovery import _GATED
+from leadloom.functions import text
+from leadloom.functions.exprs import round_half_up
+from leadloom.plans.catalog_discovery import _MEAN, _relevance
 from leadloom.plans.catalog_scoring import POINTS, ranked, scored
 from leadloom.plans.registry import Inputs, query
 from leadloom.schemas import OUTREACH_LOG
@@ -294,37 +296,49 @@ def _(v: Inputs):
     return store.read_or_empty(v.spark, path).select("id", "domain", "city", "store_count")
 
 
-_CHAIN = f"""WITH RECURSIVE one AS (
- SELECT *, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\\.', '') AS domain FROM {{page_hits}} WHERE query_index < 3),
-gated AS (SELECT g.* FROM ({_GATED}) g JOIN one USING (page_id)
- WHERE NOT regexp_matches(lower(g.url), 'yelp|tripadvisor|directory|pages|list|blog|news|guide|ranking')
- AND page_id IN (SELECT page_id FROM {{contents}} WHERE regexp_matches(lower(content), 'suit|tailor|bespoke|sartorial')
-  OR regexp_matches(lower(content), 'menswear blazer'))),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY gate_score DESC, page_id) AS rn0 FROM gated WHERE gate_score >= 25) WHERE rn0 <= 25),
-numbered AS (SELECT t.*, 'title ' || page_id AS name_key, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain, row_number() OVER (PARTITION BY city ORDER BY page_id) AS rn FROM top t),
+_CHAIN = f"""WITH RECURSIVE chosen AS (
+ SELECT page_id, city, url, content FROM {{contents}} WHERE content <> '' AND NOT (source = 2 AND length(content) <= 500)),
+texts AS (SELECT c.page_id, c.city, c.url, CASE WHEN s.content IS NOT NULL THEN c.content || chr(10) || chr(10) || repeat('=', 40) || chr(10)
+  || '=== DEEP DIVE: SUITS PAGE ===' || chr(10) || 'URL: ' || s.url || chr(10) || s.content ELSE c.content END AS t
+ FROM chosen c JOIN {{page_hits}} h ON h.page_id = c.page_id AND h.query_index < 3 JOIN {{deep_links}} d ON d.page_id = c.page_id
+ LEFT JOIN chosen s ON {o.k1("s.url")} = {o.k1("d.target_url")}
+ WHERE NOT regexp_matches(lower(c.url), '{"|".join(text.DIRECTORY_WORDS)}')),
+priced AS (SELECT x.page_id, city, url, avg_price, similarity, tier FROM (
+  SELECT page_id, city, url, {_MEAN} AS avg_price FROM texts) x
+ JOIN (SELECT page_id, {_relevance(text.RELEVANT_WORDS, text.STRONG_WORDS)} AS relevance
+  FROM (SELECT page_id, substring(lower(t), 1, 5000) AS t FROM texts)) y ON y.page_id = x.page_id AND relevance >= 2
+ LEFT JOIN (SELECT vec_id, similarity FROM {{o_ranked}} WHERE rank = 1) r ON r.vec_id = x.page_id
+ LEFT JOIN (SELECT page_id, arg_min(tier, pos) AS tier FROM texts JOIN {{streets}} s ON s.city = texts.city AND contains(lower(t), s.street)
+  GROUP BY page_id) z ON z.page_id = x.page_id),
+gated AS (SELECT *, coalesce(similarity, 0) * 0.7::DOUBLE + CASE WHEN avg_price > 500 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS gate_score FROM priced
+ WHERE NOT (avg_price > 0 AND avg_price < 300) AND NOT (coalesce(similarity, 0) < 45 AND avg_price = 0)),
+numbered AS (SELECT * FROM (SELECT g.*, payload, lower(json_extract_string(payload, '$.name')) AS name_key,
+  CAST(row_number() OVER (PARTITION BY city ORDER BY gate_score DESC, page_id) AS INTEGER) AS place
+ FROM gated g JOIN {{page_leads}} USING (page_id) WHERE gate_score >= 25) WHERE place <= 25),
 walk AS (
- SELECT city, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS page_id, false AS kept, CAST([] AS VARCHAR[]) AS nms FROM (SELECT DISTINCT city FROM numbered)
+ SELECT city, 0 AS place, CAST(NULL AS BIGINT) AS page_id, false AS kept, CAST([] AS VARCHAR[]) AS nms FROM (SELECT DISTINCT city FROM numbered)
  UNION ALL
- SELECT city, rn, page_id, NOT clash, CASE WHEN clash THEN nms ELSE list_append(nms, name_key) END
- FROM (SELECT n.city, n.rn, n.page_id, n.name_key, w.nms, len(list_filter(w.nms, lambda s: contains(n.name_key, s) OR contains(s, n.name_key))) > 0 AS clash
-  FROM walk w JOIN numbered n ON n.city = w.city AND n.rn = w.rn + 1)),
-kept AS (SELECT n.* FROM numbered n JOIN walk w ON w.page_id = n.page_id WHERE w.kept),
-located AS (SELECT k.*, s.tier FROM kept k LEFT JOIN (
- SELECT * FROM (SELECT c.page_id, s.tier, row_number() OVER (PARTITION BY c.page_id ORDER BY s.pos) AS rn FROM {{contents}} c JOIN {{streets}} s
-  ON s.city = c.city AND contains(lower(c.content), s.street)) WHERE rn = 1) s ON s.page_id = k.page_id)
-SELECT city, domain, page_id AS pos, CASE tier WHEN 1 THEN 10 WHEN 2 THEN 7 WHEN 3 THEN 4 ELSE 0 END AS location_score,
- {o.half_up(f'''CASE WHEN avg_price > 0 AND avg_price < 375 THEN least(total, 40.0::DOUBLE) ELSE total END''', 2)} AS final_score
-FROM (SELECT *, (CASE WHEN avg_price = 0 THEN 15 WHEN avg_price >= 800 THEN 30 WHEN avg_price >= 500 THEN 20 WHEN avg_price >= 375 THEN 10 ELSE 0 END
-  + 30 + 0 + 5) + (CASE WHEN has_vec THEN least(similarity * 0.1::DOUBLE, 10.0::DOUBLE) ELSE 5.0::DOUBLE END)
-  + least(coalesce((SELECT share FROM {{o_market}} WHERE country_code = 'XX'), 0) * 0.2::DOUBLE, 10.0::DOUBLE) AS total
- FROM (SELECT l.*, EXISTS (SELECT 1 FROM {{brand_vectors}} b WHERE b.vec_id = l.page_id) AS has_vec FROM located l))"""
+ SELECT city, place, page_id, NOT clash, CASE WHEN clash THEN nms ELSE list_append(nms, name_key) END
+ FROM (SELECT n.city, n.place, n.page_id, n.name_key, w.nms, len(list_filter(w.nms, lambda s: contains(n.name_key, s) OR contains(s, n.name_key))) > 0 AS clash
+  FROM walk w JOIN numbered n ON n.city = w.city AND n.place = w.place + 1)),
+leads AS (SELECT n.*, coalesce(nullif(CAST(json_extract_string(payload, '$.storeCount') AS INTEGER), 0), 1) AS store_count,
+  json_extract_string(payload, '$.woolPercentage') AS wool_percentage, coalesce(json_extract_string(payload, '$.madeToMeasure') = 'true', false) AS made_to_measure,
+  coalesce(nullif(avg_price, 0), nullif(CAST(json_extract_string(payload, '$.avgPrice') AS DOUBLE), 0) / 1.08::DOUBLE) AS avg_suit_price_eur, country_code, share
+ FROM numbered n JOIN walk w ON w.page_id = n.page_id AND w.kept JOIN {{countries}} ON country = json_extract_string(payload, '$.country')
+ LEFT JOIN {{o_market}} USING (country_code))
+SELECT city, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain, place, store_count, country_code,
+ CASE tier WHEN 1 THEN 10 WHEN 2 THEN 7 WHEN 3 THEN 4 ELSE 0 END AS location_score, CASE WHEN tier IS NULL THEN 'standard' ELSE 'premium' END AS location_quality,
+ {o.half_up("avg_suit_price_eur", 4)} AS avg_suit_price_eur, {o.REASON} AS rejection_reason,
+ {o.half_up(f"CASE WHEN {o.REASON} IS NULL THEN {o.TOTAL} ELSE least({o.TOTAL}, 40.0::DOUBLE) END", 2)} AS final_score
+FROM leads"""
 
 
 @query("whole_qualification", _CHAIN)
 def whole_qualification(v: Inputs):
     best = ranked(v, 1).select(F.col("vec_id").alias("page_id"), "similarity")
     out = qualification.qualify_cities(
-        v.page_hits, v.contents, best, v.suppression, v.streets, clients.market_strength(v.clients),
-        v.prospects)
-    return out.select("city", "domain", "pos", "location_score", "final_score")
-
+        v.page_hits, v.contents.withColumn("success", F.lit(True)), v.deep_links, v.page_leads, v.countries, best,
+        v.suppression, v.streets, clients.market_strength(v.clients), v.prospects)
+    return out.select(
+        "city", "domain", "place", "store_count", "country_code", "location_score", "location_quality",
+        round_half_up(F.col("avg_suit_price_eur"), 4).alias("avg_suit_price_eur"), "rejection_reason", "final_score")

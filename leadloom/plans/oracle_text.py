@@ -52,7 +52,7 @@ RECOMMENDATION = """CASE WHEN final_score >= 80 THEN '⭐ HIGHLY RECOMMENDED - I
  WHEN final_score >= 50 THEN '⚠️ CONSIDER - Review manually'
  ELSE '❌ LOW PRIORITY - May be too large or not aligned' END"""
 
-_TOTAL = f"({PRICE_POINTS} + {SIZE_POINTS} + {WOOL_POINTS} + {MTM_POINTS}) + {SIM_POINTS} + {MARKET_POINTS}"
+TOTAL = f"({PRICE_POINTS} + {SIZE_POINTS} + {WOOL_POINTS} + {MTM_POINTS}) + {SIM_POINTS} + {MARKET_POINTS}"
 
 
 def scored(view: str) -> str:
@@ -62,7 +62,7 @@ def scored(view: str) -> str:
  {MTM_POINTS} AS mtm_score, {half_up(SIM_POINTS, 2)} AS similarity_points,
  {half_up(MARKET_POINTS, 2)} AS market_score, {REASON} AS rejection_reason,
  {REASON} IS NULL AS passes_hard_filters,
- {half_up(f"CASE WHEN {REASON} IS NULL THEN {_TOTAL} ELSE least({_TOTAL}, 40.0::DOUBLE) END", 2)} AS final_score
+ {half_up(f"CASE WHEN {REASON} IS NULL THEN {TOTAL} ELSE least({TOTAL}, 40.0::DOUBLE) END", 2)} AS final_score
 FROM {view} p LEFT JOIN (SELECT domain, similarity FROM {{o_ranked}} JOIN {{brand_vectors}} USING (vec_id) WHERE rank = 1) b USING (domain)
 LEFT JOIN (SELECT country_code, share FROM {{o_market}}) m USING (country_code)"""
 

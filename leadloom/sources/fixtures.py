@@ -137,6 +137,18 @@ SELECT page_id, url, CASE page_id % 5
  WHEN 2 THEN '<a data-href="/suits">Suits</a><A HREF="/store">Shop</A>'
  WHEN 3 THEN '<p>no link</p><a name="suit">Suits</a>' ELSE '' END || html AS html
 FROM {pages}""",
+    # What the selection step says of the brand behind a text page.
+    "page_leads": """
+SELECT page_id, '{{"name":"Title ' || CAST(page_id AS varchar(20)) || '","country":"' || n_name || '"'
+ || CASE WHEN page_id % 6 = 0 THEN '' ELSE ',"storeCount":' || CAST(p_size AS varchar(20)) END
+ || CASE WHEN page_id % 4 = 0 THEN '' ELSE ',"avgPrice":' || CAST((page_id * 37) % 1500 AS varchar(20)) END
+ || CASE page_id % 3 WHEN 0 THEN ',"woolPercentage":"100%"' WHEN 1 THEN ',"woolPercentage":"wool blend"' ELSE '' END
+ || CASE WHEN page_id % 2 = 0 THEN ',"madeToMeasure":true' ELSE '' END || '}}' AS payload
+FROM {contents} JOIN {part} ON p_partkey = page_id JOIN {nation} ON n_nationkey = page_id % 25""",
+    "countries": """
+SELECT n_name AS country,
+ CASE n_nationkey % 5 WHEN 0 THEN 'GB' WHEN 1 THEN 'ES' WHEN 2 THEN 'PT' WHEN 3 THEN 'XX' ELSE 'AT' END AS country_code
+FROM {nation}""",
     # Page texts that mention what the documented quality bonus looks for.
     "praised": """
 SELECT page_id, content || CASE page_id % 11
