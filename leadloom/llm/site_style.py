@@ -134,13 +134,12 @@ class _Page:
 
     def text(self, source: str) -> None:
         if not self.stack[-1].noise:
-            self.pieces.append(source)
+            self.pieces.append(entities.unescape(source) if "&" in source else source)
 
     def flush(self) -> None:
         if self.pieces:
-            text = "".join(self.pieces)
+            text = " ".join("".join(self.pieces).split())
             self.pieces = []
-            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
                 top = self.stack[-1]
                 self.blocks.append(Block(top.path, text, top.main, top.article))

@@ -30,7 +30,7 @@ def test_furniture_goes(name, wrap):
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>", ""), ("a<b>c", "ac"), ("a < b", "a < b"), ("<p>x</div></p>y", "x\ny"),
     ("<ul><li>a<li>b</ul>c", "a\nb\nc"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("&lt;p&gt; &#233;&eacute;", "<p> éé"),
-    ("<p title='a > b'>x", "x"), ("<p>x<!-- never closed", "x"), ("<div>a<span class=ad>buy</span> b</div>", "a b"),
+    ("<p title='a > b'>x", "x"), ("R&<b>reg;</b> &copy2", "R&reg; ©2"), ("<p>x<!-- never closed", "x"), ("<div>a<span class=ad>buy</span> b</div>", "a b"),
     ("<main><div class=share>f</div><p>x</main><p>y", "x"), ("<article class='comment'>c</article><p>x", "x"),
     ("<p>" + "word " * 60_000, " ".join(["word"] * 60_000)), ("<article><header><h1>T</h1></header><p>x</article>", "T\nx"),
 ])
