@@ -121,8 +121,11 @@ def average_price(content: Column | str, low: float = PRICE_LOW, high: float = P
     return F.when(text.rlike(f"{CURRENCY}|EUR"), F.coalesce(mean, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def truncated(content: Column | str, limit: int = TITLE_LIMIT, mark: str = TRUNCATION_MARK) -> Column:
+def truncated(content: Column | str, limit: int | None = TITLE_LIMIT, mark: str = TRUNCATION_MARK) -> Column:
+    """Text beyond the limit is replaced by a marker; ``None`` keeps whole texts."""
     text = as_col(content)
+    if limit is None:
+        return text
     return F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))
     ).otherwise(text)

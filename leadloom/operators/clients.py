@@ -17,6 +17,7 @@ def _plain_number(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
+# The wording of the sentence below.
 def profile_text(price: str = "pvp_suits_eur", brand_type: str | None = "brand_type") -> Column:
     """One sentence on a client or prospect, the text that gets embedded."""
     city, country = F.col("city"), F.coalesce("country", F.lit("Unknown"))

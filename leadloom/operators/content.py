@@ -44,17 +44,19 @@ def _source(n: int, column: Column) -> Column:
     return F.max(F.when(F.col("source") == n, column))
 
 
-def choose_source(fetched: DataFrame, short: int = SHORT, cut: int = CUT) -> DataFrame:
+def choose_source(fetched: DataFrame, short: int = SHORT, cut: int | None = CUT) -> DataFrame:
     """Per URL the text of the first good source of three, in one shuffle on the URL.
 
+    ``cut`` is the length to which the definition cuts sources 2 and 3; ``None`` keeps them whole.
     Sources 2 and 3 are used only cut, so they are cut before the shuffle, and a source 2 that is too
     short to be used is not sent at all.
     """
     body = F.col("content")
+    fallback = body if cut is None else F.substring(body, 1, cut)
     useful = (
         F.when((F.col("source") == 2) & (F.length(body) <= short), F.lit(None))
-        .when(F.col("source") == 3, F.when(F.col("success"), F.substring(body, 1, cut)))
-        .when(F.col("source") == 2, F.substring(body, 1, cut))
+        .when(F.col("source") == 3, F.when(F.col("success"), fallback))
+        .when(F.col("source") == 2, fallback)
         .otherwise(body)
     )
     wide = (
@@ -94,7 +96,7 @@ def choose_of_two(primary: DataFrame, secondary: DataFrame, short: int = SHORT)
     )
 
 
-def with_title(pages: DataFrame, limit: int = text.TITLE_LIMIT) -> DataFrame:
+def with_title(pages: DataFrame, limit: int | None = text.TITLE_LIMIT) -> DataFrame:
     """Cut overlong text with a marker; title from the first heading of what is left."""
     return pages.withColumn("content", text.truncated("content", limit)).withColumn(
         "title", text.heading_title("content")

@@ -308,6 +308,7 @@ def similarity_points(similarity: Column) -> Column:
     )
 
 
+# The wording of the explanations below.
 def explanation(similarity: Column) -> Column:
     """Why a prospect resembles its best client; reads prospect columns and ``client_*`` columns."""
 

@@ -120,6 +120,13 @@ def _(v: Inputs):
     return content.choose_source(v.fetched)
 
 
+@query("c1_whole_texts", """SELECT url, CASE WHEN length(c1) >= 500 THEN c1 WHEN length(c2) > 500 THEN c2 WHEN s3 THEN c3 ELSE c1 END AS content
+FROM (SELECT url, max(content) FILTER (source = 1) AS c1, max(content) FILTER (source = 2) AS c2,
+ max(content) FILTER (source = 3) AS c3, bool_or(success) FILTER (source = 3) AS s3 FROM {fetched} GROUP BY url)""")
+def _(v: Inputs):
+    return content.choose_source(v.fetched, cut=None).select("url", "content")
+
+
 @query("c2_two_source_fallback", """SELECT p.url, CASE WHEN length(p.content) < 500 AND length(s.content) > length(p.content) THEN s.content ELSE p.content END AS content,
  CASE WHEN length(p.content) < 500 AND length(s.content) > length(p.content) THEN 'secondary' ELSE 'primary' END AS source,
  length(p.content) > 0 OR coalesce(length(s.content), 0) > 0 AS success,
@@ -140,6 +147,11 @@ def _(v: Inputs):
     return content.with_title(v.reader_pages).select("doc_id", "content", "title")
 
 
+@query("c3_whole_texts", "SELECT doc_id, content, trim(regexp_extract(content, '(?:^|\\n)# ([^\\n]*)', 1)) AS title FROM {reader_pages}")
+def _(v: Inputs):
+    return content.with_title(v.reader_pages, limit=None).select("doc_id", "content", "title")
+
+
 @query("c4_extraction_rate", """SELECT source, count(*) AS total, count(*) FILTER (content <> '') AS extracted,
  CAST(count(*) FILTER (content <> '') AS DOUBLE) / count(*) AS rate
 FROM (SELECT source, CASE WHEN success THEN content ELSE '' END AS content FROM {fetched}) GROUP BY source""")

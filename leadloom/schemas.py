@@ -24,12 +24,6 @@ PROSPECTS = _struct(
     updated_at=TS, city=S,
 )
 
-CLIENTS = _struct(
-    id=S, name=S, country=S, country_code=S, city=S, store_count=I, brand_style=S,
-    business_model=S, description=S, characteristics=T.MapType(S, S), profile_text=S,
-    embedding=T.ArrayType(T.FloatType()), created_at=TS,
-)
-
 OUTREACH_LOG = _struct(brand_name=S, website_url=S, status=S, error_message=S, sent_at=TS)
 
 # The JSON a reviewer or a selection model returns for one brand.

@@ -69,6 +69,7 @@ def flatten_results(nested: DataFrame, results: str = "results") -> DataFrame:
     return nested.select(*keep, F.posexplode(results).alias("rank", "hit")).select(*keep, "rank", "hit.*")
 
 
+# The wording of the lines below.
 def _log(rows: DataFrame) -> Column:
     """Lines that say how a prospect was rated."""
     points = F.col("final_score").cast("decimal(10,1)").cast("string")

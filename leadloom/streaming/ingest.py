@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.operators.writes import new_prospects, only_cities_of, with_store_keys
+from leadloom.sizing import checkpointed
 from leadloom.sources.store import append_prospects, is_file, read_or_empty
 
 
@@ -35,6 +36,7 @@ def save_batch(
 ) -> None:
     """Qualify one batch against the store and append what is new."""
     spark = candidates.sparkSession
+    candidates = checkpointed(candidates)  # the batch is looked at twice and computed once
     existing = read_or_empty(spark, store_path).select("city", "domain")
     if also_known is not None:
         existing = existing.unionByName(also_known.select("city", "domain"))
