@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys
+from leadloom.operators.analytics import city_stats
 from leadloom.operators.clients import profile_text
-from leadloom.operators.common import top_per_key
+from leadloom.operators.common import pg_order, top_per_key
 from leadloom.schemas import STATUSES
 from leadloom.sizing import bounded_broadcast
 
 #: Statuses of a stored prospect start with this one.
 FIRST_STATUS = "new"
+#: Domains of a city that a report lists.
+LISTED = 25
 
 
 def with_store_keys(candidates: DataFrame) -> DataFrame:
@@ -85,6 +88,28 @@ def batch_report(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def save_report(
+    candidates: DataFrame, existing: DataFrame, saved: DataFrame, limit: int = LISTED, id_col: str = "id"
+) -> DataFrame:
+    """Per city of the batch what was saved, the city's statistics afterwards, and its listing: the first
+    ``limit`` domains with their best stored score, in domain order.
+
+    ``existing`` is the store before, ``saved`` the scored rows that were added. A city sends at most ``limit``
+    rows per task to its listing.
+    """
+    columns = ["city", "domain", id_col, F.col("final_score").cast("int").alias("final_score")]
+    cities = with_store_keys(candidates.select("city", "website_url"))
+    after = only_cities_of(existing.select(columns).unionByName(saved.select(columns)), cities)
+    best = top_per_key(after, ["city", "domain"], [pg_order("final_score", True), F.col(id_col)])
+    listed = top_per_key(best, ["city"], ["domain"], limit).groupBy("city").agg(
+        F.array_sort(F.collect_list(F.struct("domain", "final_score"))).alias("prospects")
+    )
+    return (
+        batch_report(candidates, existing).join(city_stats(after), "city", "left").join(listed, "city", "left")
+        .withColumn("total_for_city", F.size("prospects"))
+    )
+
+
 def insert_or_ignore(
     table: DataFrame, additions: DataFrame, key: str, order: Sequence[str | Column]
 ) -> DataFrame:

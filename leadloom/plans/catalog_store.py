@@ -132,6 +132,24 @@ def _(v: Inputs):
     return writes.batch_report(v.candidates, v.prospects)
 
 
+@query("m1_save_report", """WITH after AS (SELECT city, domain, id, final_score FROM {prospects}
+ UNION ALL SELECT city, domain, id, CAST(trunc(final_score) AS INTEGER) FROM {o_new_candidates}),
+report AS (SELECT city, CAST(count(*) AS BIGINT) AS candidates, count(DISTINCT domain) FILTER (NOT known) AS new_saved
+ FROM (SELECT c.city, c.domain, EXISTS (SELECT 1 FROM {prospects} p WHERE p.city = c.city AND p.domain = c.domain) AS known FROM {candidates} c) GROUP BY city),
+listed AS (SELECT city, string_agg(domain || ':' || final_score, '|' ORDER BY domain) AS listing, CAST(count(*) AS INTEGER) AS total_for_city FROM (
+ SELECT *, row_number() OVER (PARTITION BY city ORDER BY domain) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, domain ORDER BY final_score DESC NULLS FIRST, id) AS rn FROM after) WHERE rn = 1) WHERE place <= 25 GROUP BY city)
+SELECT r.city, candidates, new_saved, candidates - new_saved AS duplicates_skipped, total_prospects, top_score, total_for_city, listing
+FROM report r JOIN (SELECT city, count(*) AS total_prospects, max(final_score) AS top_score FROM after GROUP BY city) s ON s.city = r.city
+JOIN listed l ON l.city = r.city""")
+def _(v: Inputs):
+    report = writes.save_report(v.candidates, v.prospects, new_candidates(v))
+    line = F.transform("prospects", lambda x: F.concat_ws(":", x["domain"], x["final_score"]))
+    return report.select(
+        "city", "candidates", "new_saved", "duplicates_skipped", "total_prospects", "top_score", "total_for_city",
+        F.array_join(line, "|").alias("listing"))
+
+
 @query("m2_insert_or_ignore", """SELECT domain, reason FROM {suppression} UNION ALL
 SELECT domain, reason FROM (SELECT lower(trim(domain)) AS domain, reason, row_number() OVER (PARTITION BY lower(trim(domain)) ORDER BY request_no) AS rn FROM {opt_outs}) a
 WHERE rn = 1 AND domain NOT IN (SELECT domain FROM {suppression})""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -70,9 +72,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="leadloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more, wherever it is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
