@@ -161,12 +161,30 @@ def search(prospects: DataFrame, f: ProspectFilter = ProspectFilter()) -> DataFr
     """One page: filter, one row per domain, sort (the domain breaks ties), offset and limit.
 
     The filter runs before the choice per domain; the page is a top-n per task merged on the driver's
-    side (``TakeOrderedAndProject``), never a full sort.
+    side (``TakeOrderedAndProject``), never a full sort. Deep pages are better asked for with
+    :func:`search_after`, as ``offset + limit`` rows are kept per task here.
     """
     order = [pg_order(f.sort_column, f.descending), F.col("domain")]
     return best_per_domain(prospects, f).orderBy(*order).offset(f.offset).limit(f.limit)
 
 
+def search_after(prospects: DataFrame, f: ProspectFilter, last_value, last_domain: str) -> DataFrame:
+    """The page that follows a row with this sort value and domain, for pages however deep.
+
+    The rows before it are filtered away instead of being kept and skipped, so a task holds one page only; the
+    filter's own offset does not count. Nulls are the largest value, as in :func:`search`.
+    """
+    value, domain = F.col(f.sort_column), F.col("domain")
+    if last_value is None:
+        after = value.isNull() & (domain > last_domain)
+        after = after | value.isNotNull() if f.descending else after
+    else:
+        beyond = (value < last_value) if f.descending else ((value > last_value) | value.isNull())
+        after = beyond | ((value == last_value) & (domain > last_domain))
+    order = [pg_order(f.sort_column, f.descending), domain]
+    return best_per_domain(prospects, f).filter(F.coalesce(after, F.lit(False))).orderBy(*order).limit(f.limit)
+
+
 def page_info(prospects: DataFrame, f: ProspectFilter = ProspectFilter()) -> DataFrame:
     """Number of matching domains and what the page shows of them, as one row."""
     total = matching(prospects, f).agg(F.count_distinct("domain").alias("total_count"))

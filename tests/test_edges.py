@@ -78,3 +78,19 @@ def test_rankings_of_rows_that_share_a_key(spark):
     for bound in (1 << 20, 1):
         got = similarity.top_similar(rows, base, 1, matrix_max_bytes=bound)
         assert sorted(values(got, "vec_id", "client_id")) == [(1, 7), (1, 8), (1, 8)]
+
+
+@pytest.mark.parametrize("order", ["desc", "asc"])
+@pytest.mark.parametrize("column", ["final_score", "avg_suit_price_eur"])
+def test_pages_by_key_equal_pages_by_offset(spark, order, column):
+    rows = [(str(k), f"d{k % 40:02}.com", k * 7 % 5, None if k % 6 == 0 else float(k % 4)) for k in range(90)]
+    df = spark.createDataFrame(rows, f"id string, domain string, {'final_score int, avg_suit_price_eur double'}")
+    last, got = None, []
+    for page in range(5):
+        f = ProspectFilter(sort_by=column, sort_order=order, limit=9, offset=9 * page)
+        want = values(search.search(df, f), "domain", column)
+        own = want if last is None else values(search.search_after(df, f, last[1], last[0]), "domain", column)
+        assert own == want
+        got += own
+        last = own[-1]
+    assert len(got) == 40
