@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import held_out, with_columns_of
+from leadloom.llm.common import held_out, sampled_texts, with_columns_of
 
 CHUNK = 128
 WIDTH = 6
@@ -156,19 +156,12 @@ def _plain_responses(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
 
 
 def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[int, bytes]]:
-    """At most SAMPLE_DOCUMENTS (label, bytes) per label from the rows that may be learned from.
-
-    The ids are chosen before any text is read; no more than twice SAMPLE_DOCUMENTS texts are collected.
-    """
-    chosen = None
-    for y in (0, 1):
-        own = labels.filter(~held_out(id_col) & (F.col(label_col) == y)).select(id_col, F.lit(y).alias("_y")).distinct()
-        own = own.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCUMENTS)
-        chosen = own if chosen is None else chosen.unionAll(own)
+    """At most SAMPLE_DOCUMENTS (label, bytes) per label from the rows that may be learned from."""
+    labelled = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("label"))
     room = F.greatest(F.length(F.col(text_col)) - SAMPLE_BYTES, F.lit(0)) + 1
     text = F.substring(F.col(text_col), F.pmod(F.xxhash64(id_col), room).cast("int") + 1, F.lit(SAMPLE_BYTES))
-    rows = documents.select(id_col, text.alias("_text")).join(F.broadcast(chosen), id_col).filter("_text is not null")
-    return sorted((r["_y"], r["_text"].encode()[:SAMPLE_BYTES]) for r in rows.select("_y", "_text").limit(4 * SAMPLE_DOCUMENTS).collect())
+    rows = sampled_texts(documents, labelled, text, SAMPLE_DOCUMENTS, id_col=id_col)
+    return [(y, t.encode()[:SAMPLE_BYTES]) for y, t in rows]
 
 
 def score(

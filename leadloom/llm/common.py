@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.sizing import checkpointed
 
 __all__ = [
-    "HELD_OUT", "checkpointed", "held_out", "map_batches", "spans", "strings", "table", "unused_name", "with_columns_of",
+    "HELD_OUT", "checkpointed", "held_out", "map_batches", "sampled_texts", "spans", "strings", "table", "text_groups", "unused_name", "with_columns_of",
 ]
 
 #: Rows whose crc32(doc_id as text) mod 4 has this remainder are never learned from.
@@ -30,18 +31,64 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(remainder == HELD_OUT, F.lit(True))
 
 
+def sampled_texts(
+    documents: DataFrame, labelled: DataFrame, text: Column, per_label: int, most_labels: int = 1000, id_col: str = "doc_id"
+) -> list[tuple]:
+    """At most ``per_label`` (label, text) of each of the ``most_labels`` most frequent labels, on the driver.
+
+    ``labelled`` has (id, label) of the rows that may be learned from. Ids are chosen by their hash before any
+    text is read: a share that leaves about four times the wanted number per label, and of those the least. So
+    what is shuffled and broadcast does not grow with the corpus. Of rows that repeat an id the least text counts.
+    """
+    room = 1 << 30
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(most_labels)
+    share = F.least(F.lit(1.0), 4.0 * per_label / F.col("n")) * room
+    few = labelled.join(F.broadcast(counts), "label").filter(F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(room)) < share)
+    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
+    few = few.select("label", id_col).distinct().withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_label)
+    texts = documents.select(id_col, text.alias("_text")).filter("_text is not null").join(F.broadcast(few), id_col)
+    rows = texts.groupBy(id_col, "label").agg(F.min("_text").alias("_text")).select("label", "_text")
+    return sorted(map(tuple, rows.collect()))
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch; batches are bounded in rows and bytes by Spark's settings."""
+#: Characters of texts that are Python strings at a time.
+GROUP_BYTES = 2_000_000
+
+
+def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of successive parts of a text column of bounded size; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and total + size > GROUP_BYTES:
+            yield start, strings(column.slice(start, k - start))
+            start, total = k, 0
+        total += size
+    if start < len(column):
+        yield start, strings(column.slice(start))
+
+
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None
+) -> DataFrame:
+    """Apply a function of one Arrow batch; batches are bounded in rows and bytes by Spark's settings.
+
+    ``done`` is called when the task ends: idle Python workers live on and should hold no caches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield fn(batch)
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, schema)
 

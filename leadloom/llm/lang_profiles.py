@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import held_out, with_columns_of
+from leadloom.llm.common import held_out, sampled_texts, with_columns_of
 
 #: Labelled documents per language to learn from, the least by a hash of the id.
 SAMPLE_DOCUMENTS = 400
@@ -99,11 +99,8 @@ def _code_table(letters: dict[int, int], size: int) -> np.ndarray:
 
 def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
     """At most SAMPLE_DOCUMENTS (language, text) per language from the rows that may be learned from."""
-    rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    least = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCUMENTS)
-    return sorted((r["lang"], r["text"]) for r in least.select("lang", "text").collect())
+    labelled = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(id_col, F.col(lang_col).alias("label"))
+    return sampled_texts(df, labelled, F.substring(text_col, 1, SAMPLE_CHARS), SAMPLE_DOCUMENTS, id_col=id_col)
 
 
 def train(rows: list[tuple[str, str]]) -> Profiles:
