@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, map_batches, strings
+from leadloom.llm.common import checkpointed, map_batches, text_groups
+from leadloom.llm.word_tokens import codec, forget
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,7 +41,6 @@ SHORT = 4
 GAPS = (4, 16)
 #: The pieces of one length are ranked in so many parts, so that no task holds a frequent length alone.
 RANK_PARTS = 256
-GROUP_CHARS = 4_000_000
 
 
 def token_pieces(
@@ -50,12 +50,10 @@ def token_pieces(
     """Pieces of each document: (id, piece, start, length, ids_crc32), and the ids themselves if wanted."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from leadloom.llm.word_tokens import codec
-
-        own, texts = codec(model_file), strings(batch.column(1))
+        own = codec(model_file)
         row, piece, start, length, crc, lists = [], [], [], [], [], []
-        for a, b in _groups(texts):
-            flat, counts = own.encode(texts[a:b])
+        for a, texts in text_groups(batch.column(1)):
+            flat, counts = own.encode(texts)
             at = 0
             for k, n in enumerate(counts.tolist()):
                 ids = np.append(flat[at:at + n], END_ID).astype("<u4")
@@ -81,19 +79,7 @@ def token_pieces(
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_batches(df.select(f"`{id_col}`", f"`{text_col}`"), run, schema)
-
-
-def _groups(texts: list[str]):
-    """Ranges of texts of bounded size together; a longer text stands alone."""
-    start, chars = 0, 0
-    for k, t in enumerate(texts):
-        if k > start and chars + len(t) > GROUP_CHARS:
-            yield start, k
-            start, chars = k, 0
-        chars += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    return map_batches(df.select(f"`{id_col}`", f"`{text_col}`"), run, schema, lambda: forget(model_file))
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:

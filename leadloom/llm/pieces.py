@@ -22,16 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import map_batches, spans, strings
+from leadloom.llm.common import map_batches, spans, text_groups
 from leadloom.llm.merging import PairTable, merge_words
 
 SPACE = "▁"
-#: Distinct words kept encoded between the batches of a Python worker.
-CACHED_WORDS = 500_000
+#: Distinct words kept encoded between the batches of a task.
+CACHED_WORDS = 300_000
 #: Characters of new words merged in one go, so that the arrays stay in the processor's cache.
 ROUND_CHARS = 200_000
-#: Characters of whole texts encoded together.
-GROUP_CHARS = 4_000_000
 
 
 class PieceCodec:
@@ -51,7 +49,7 @@ class PieceCodec:
         self._load_characters(plain)
         self._load_bytes(model)
         self.cached_words = cached_words
-        self._forget()
+        self.forget()
 
     def _load_pairs(self, model, plain: list[int]) -> None:
         scores = sorted({model.get_score(i) for i in plain}, reverse=True)
@@ -102,7 +100,7 @@ class PieceCodec:
         self.piece_size = np.array([len(x) for x in out], np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """An empty cache: word -> number; the ids of word n lie at start[n] in the pool."""
         self.known: dict[str, int] = {}
         self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -168,7 +166,7 @@ class PieceCodec:
         if not len(new):
             return number
         if len(self.known) > self.cached_words:
-            self._forget()
+            self.forget()
             new = np.arange(len(words))
         asked = [words[k] for k in new.tolist()]
         part, chars = [], 0
@@ -225,16 +223,10 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def _groups(texts: list[str]) -> Iterable[tuple[int, int]]:
-    """Ranges of texts of bounded size together; a longer text stands alone."""
-    start, chars = 0, 0
-    for k, t in enumerate(texts):
-        if k > start and chars + len(t) > GROUP_CHARS:
-            yield start, k
-            start, chars = k, 0
-        chars += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def forget(model_file: str) -> None:
+    """Empty the cache of this process, where there is one."""
+    if model_file in _CODECS:
+        _CODECS[model_file].forget()
 
 
 def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -242,8 +234,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
     kept = [c for c in df.columns if c.lower() != ids_col.lower()]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = strings(batch.column(len(kept)))
-        parts = [codec(model_file).encode(texts[a:b]) for a, b in _groups(texts)]
+        parts = [codec(model_file).encode(texts) for _, texts in text_groups(batch.column(len(kept)))]
         counts = np.concatenate([c for _, c in parts])
         offsets = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([i for i, _ in parts]), pa.int32()))
@@ -251,7 +242,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{ids_col}` array<int>"
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("▁text")), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("▁text")), run, schema, lambda: forget(model_file))
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -276,10 +267,10 @@ def round_trip_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", t
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, own = strings(batch.column(1)), codec(model_file)
+        own = codec(model_file)
         n, ids_sha, text_sha = [], [], []
-        for a, b in _groups(texts):
-            ids, counts = own.encode(texts[a:b])
+        for _, texts in text_groups(batch.column(1)):
+            ids, counts = own.encode(texts)
             decoded = own.decode(ids, counts)
             at = 0
             for count, text in zip(counts.tolist(), decoded):
@@ -295,4 +286,4 @@ def round_trip_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(df.select(f"`{id_col}`", f"`{text_col}`"), run, schema)
+    return map_batches(df.select(f"`{id_col}`", f"`{text_col}`"), run, schema, lambda: forget(model_file))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, map_batches, spans, strings
+from leadloom.llm.common import checkpointed, map_batches, spans, text_groups
 from leadloom.llm.components import components, local_labels
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, fp): the fingerprint as a signed 64-bit number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t) for t in strings(batch.column(1))], np.uint64).view(np.int64)
+        fp = np.array([fingerprint(t) for _, texts in text_groups(batch.column(1)) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     return map_batches(df.select(f"`{id_col}`", f"`{text_col}`"), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, fp long")

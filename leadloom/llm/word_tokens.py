@@ -1,7 +1,7 @@
 """Token ids of a byte-level word BPE, for many texts at once.
 
 A text is cut at white space, which this kind of tokenizer drops, and each distinct chunk is encoded once per
-Python worker. Chunks of plain Latin letters, digits and marks go through the vectorised merge rounds of
+task (while the cache has room). Chunks of plain Latin letters, digits and marks go through the vectorised merge rounds of
 ``merging``; any other chunk, and one that may hold a special token, is handed to the tokenizer library itself.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 from leadloom.llm.common import spans
 from leadloom.llm.merging import PairTable, merge_words
 
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 400_000
 ROUND_CHARS = 200_000
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -52,9 +52,9 @@ class WordCodec:
         # characters that str.split takes for white space and the tokenizer does not
         self.controls = re.compile("[\x1c-\x1f]")
         self.cached_chunks = cached_chunks
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.learned: list[tuple[np.ndarray, np.ndarray]] = []
@@ -105,7 +105,7 @@ class WordCodec:
         if not len(new):
             return number
         if len(self.known) > self.cached_chunks:
-            self._forget()
+            self.forget()
             new = np.arange(len(chunks))
         asked = [chunks[k] for k in new.tolist()]
         part, chars = [], 0
@@ -145,3 +145,9 @@ def codec(model_file: str) -> WordCodec:
     if model_file not in _CODECS:
         _CODECS[model_file] = WordCodec(model_file)
     return _CODECS[model_file]
+
+
+def forget(model_file: str) -> None:
+    """Empty the cache of this process, where there is one."""
+    if model_file in _CODECS:
+        _CODECS[model_file].forget()
