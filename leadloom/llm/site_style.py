@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import checkpointed, map_batches
+from leadloom.sizing import bounded_broadcast
 
 #: G: weight of content against presentation.
 CONTENT_WEIGHT = 0.9
@@ -159,15 +160,14 @@ class _Page:
         top = self.stack[-1]
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         words = {w.lower() for w in WORD.findall(named)}
-        inside = top.main or top.article
-        noise = top.noise or _is_noise(name, attributes, words, inside)
-        if not block and not noise:
+        own_noise = _is_noise(name, attributes, words, top.main or top.article)
+        if not block and not (top.noise or own_noise):
             return
         if block:
             self.flush()
             self._imply_ends(name)
             top = self.stack[-1]
-            noise = noise if noise != top.noise else top.noise or _is_noise(name, attributes, words, inside)
+        noise = top.noise or own_noise
         label = name + "".join(f".{w}" for w in attributes.get("class", "").lower().split()[:3])
         top.children.append(label)
         path = top.path if len(self.stack) > DEEPEST else f"{top.path}/{label}"
@@ -342,7 +342,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
-    low = checkpointed(low_branches(style_tree(rows)))
+    low = bounded_broadcast(checkpointed(low_branches(style_tree(rows))))
     joined = rows.join(low, "host", "left").select("id", "url", "html", "low")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
