@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import checkpointed
+from leadloom.sizing import bounded_broadcast
 
 ARCHIVE_BYTES = 1 << 20
 #: Shorter payloads are never replaced by a revisit.
@@ -168,7 +169,7 @@ def with_revisits(
         keyed.filter(F.col("_bytes") >= least_bytes).groupBy("_sha1", "_bytes")
         .agg(F.max(id_col).alias("_keeper"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     )
-    joined = keyed.join(checkpointed(groups), ["_sha1", "_bytes"], "left")
+    joined = keyed.join(bounded_broadcast(checkpointed(groups)), ["_sha1", "_bytes"], "left")
     repeat = F.col("_keeper").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_keeper"))
     return joined.withColumn("_refers_to", F.when(repeat, F.col("_keeper"))).drop("_keeper", "_sha1", "_bytes")
 
