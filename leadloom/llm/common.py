@@ -56,7 +56,7 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-#: Characters of texts that are Python strings at a time.
+#: Bytes of texts that are Python strings at a time.
 GROUP_BYTES = 2_000_000
 
 
@@ -96,16 +96,20 @@ def map_batches(
 def with_columns_of(
     df: DataFrame, text_col: str, keep: Sequence[str], fn: Callable[[pa.Array], list[pa.Array]], results: dict[str, str]
 ) -> DataFrame:
-    """The kept columns of every row and columns made from one text column, batch by batch."""
+    """The kept columns of every row and columns made from one text column, batch by batch.
+
+    The text travels once, also when it is among the kept columns.
+    """
     types = dict(df.dtypes)
     names = [*keep, *results]
+    sent = [*keep] if text_col in keep else [*keep, text_col]
+    at = sent.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *fn(batch.column(len(keep)))], names=names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *fn(batch.column(at))], names=names)
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{c}` {t}" for c, t in results.items())])
-    text = F.col(f"`{text_col}`").alias(unused_name(df, "text_"))
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in keep], text), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in sent]), run, schema)
 
 
 def unused_name(df: DataFrame, name: str) -> str:
