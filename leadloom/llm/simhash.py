@@ -224,19 +224,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return documents.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all columns: the row that names it.
+def one_of_each(df: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each of the ``classes`` (id, component_id), with all columns: the row that names it.
 
     Of rows that repeat its id the one with the least text stays; rows without an id are dropped, as nothing can
     name them.
     """
-    named = near_duplicates(df, id_col, text_col).filter(F.col(id_col) == F.col("component_id"))
+    named = classes.filter(F.col(id_col) == F.col("component_id"))
     kept = df.join(checkpointed(named.select(id_col).distinct()), id_col, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     one = kept.groupBy(id_col).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
     return one.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class within the radius, as ``one_of_each`` chooses it."""
+    return one_of_each(df, near_duplicates(df, id_col, text_col), id_col, text_col)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
