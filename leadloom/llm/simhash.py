@@ -16,7 +16,7 @@ without any id has a null component. Rows that repeat an id each get a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -224,22 +224,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return documents.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each of the ``classes`` (id, component_id), with all columns: the row that names it.
+def one_of_each(df: DataFrame, classify: Callable[..., DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of ``classify`` (as ``near_duplicates``), with all columns: the least id names it.
 
-    Of rows that repeat its id the one with the least text stays; rows without an id are dropped, as nothing can
-    name them.
+    Rows are told apart by id and text, so unlike texts that share an id are in the classes of their texts. If texts
+    of one class share the least id, the one with the least hash stays. Classes without any id are dropped, as
+    nothing can name them.
     """
-    named = classes.filter(F.col(id_col) == F.col("component_id"))
-    kept = df.join(checkpointed(named.select(id_col).distinct()), id_col, "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    one = kept.groupBy(id_col).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(f"`{text_col}`").alias("text_key"))
+    classes = classify(df.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
+    named = checkpointed(classes.filter("not component_id.none").select("component_id").distinct())
+    named = named.select(F.col("component_id.id").alias("_id"), F.col("component_id.text_key").alias("_text_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(f"`{text_col}`").alias("_text_key"), row)
+    one = rows.join(named, ["_id", "_text_key"]).groupBy("_id", "_text_key").agg(F.first("_row").alias("_row"))
     return one.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class within the radius, as ``one_of_each`` chooses it."""
-    return one_of_each(df, near_duplicates(df, id_col, text_col), id_col, text_col)
+    return one_of_each(df, near_duplicates, id_col, text_col)
 
 
 def hex_fingerprint(fp: Column) -> Column:
