@@ -8,8 +8,9 @@ on). For each path the tree knows
 
 A node's presentation importance is the entropy of its styles to the base of the number of pages; a text that
 recurs on k of m pages has entropy log k / log m, and the content importance of a branch is the mean of one minus
-that over its different texts. Both combine as (1 - G**l) * presentation + G**l * content with l styles. Branches
-below ``LEAST_IMPORTANCE`` are removed from every page of the host. The tree is built by grouped aggregation, so
+that over its different texts. Both combine as (1 - G**l) * presentation + G**l * content with l styles. A branch
+is removed from every page of the host if it, all branches below it and the texts that stand directly in any of them
+are below ``LEAST_IMPORTANCE``: a container of many styles stays where a part of it is important. The tree is built by grouped aggregation, so
 that a host with a third of all pages is spread over all tasks.
 
 Elements whose tag, role or class says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
@@ -306,7 +307,8 @@ def features(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of every branch; pages is of the whole host."""
+    """(host, path, pages, presentation, content, own, importance) of every branch; pages is of the whole host, own is the
+    content importance of the texts directly in the element."""
     seen = features(pages).distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("k"))
     seen = checkpointed(seen.groupBy("host", "path", "kind").agg(
         F.count("*").alias("n"), F.sum("k").alias("k"), F.sum(F.log("k")).alias("logs"),
@@ -318,23 +320,30 @@ def style_tree(pages: DataFrame, content_weight: float = CONTENT_WEIGHT, least_p
     prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     base = F.log("pages")
     content = (
-        known.filter("kind = 'c'").select("host", "pages", F.explode(prefixes).alias("path"), "n", "logs")
+        known.filter("kind = 'c'").select("host", "pages", F.explode(prefixes).alias("path"), F.col("path").alias("at"), "n", "logs")
         .groupBy("host", "path", "pages")
-        .agg((1 - F.sum("logs") / F.sum("n") / F.first(base)).alias("content"))
+        .agg(
+            (1 - F.sum("logs") / F.sum("n") / F.first(base)).alias("content"),
+            F.max(F.when(F.col("path") == F.col("at"), 1 - F.col("logs") / F.col("n") / base)).alias("own"),
+        )
     )
     styles = known.filter("kind = 's'").select(
         "host", "path", F.col("n").alias("styles"), ((F.log("k") - F.col("k_logs") / F.col("k")) / base).alias("presentation")
     )
     weight = F.pow(F.lit(content_weight), F.coalesce("styles", F.lit(0)))
     return content.join(styles, ["host", "path"], "left").select(
-        "host", "path", "pages", F.coalesce("presentation", F.lit(0.0)).alias("presentation"), "content",
+        "host", "path", "pages", F.coalesce("presentation", F.lit(0.0)).alias("presentation"), "content", "own",
         ((1 - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * F.col("content")).alias("importance"),
     )
 
 
 def low_branches(tree: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths of a host's unimportant branches."""
-    return tree.filter(F.col("importance") < least).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    """(host, low): the paths of a host's branches without any important part."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    best = F.greatest("importance", "own")  # of those that are not null
+    whole = tree.select("host", F.explode(above).alias("path"), best.alias("best")).groupBy("host", "path").agg(F.max("best").alias("best"))
+    return whole.filter(F.col("best") < least).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

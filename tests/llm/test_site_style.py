@@ -87,3 +87,16 @@ def test_given_pages(spark, small):
         article = re.search(r"<article>(.*?)</article>", html[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_containers_of_many_styles_keep_unique_texts(spark):
+    """1200 unmarked pages: one usual and 30 rare styles of the body and a container, all texts but the last unique."""
+    rows = []
+    for k in range(1200):
+        rare = f"<h{k % 5 + 2}>Title {k}</h{k % 5 + 2}>" + "<p>x{0} y</p><ul><li>z{0}</li></ul>".format(k) * (k // 10 % 6 + 1) if k % 10 == 0 else ""
+        inner = f"<div class='s{k // 10 % 30}'>{rare}</div>" if rare else ""
+        rows.append((k, "http://h.example/a", f"<html><body><div class='c'>{inner}<p>text {k} of its own</p></div>{inner}<div class='z'>Same everywhere</div></body></html>"))
+    out = site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 1200
+    assert all(f"text {r.page_id} of its own" in r.text for r in out)
+    assert not any("Same everywhere" in r.text for r in out)
