@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
-    byte_cnn, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, url_rules, warc,
+    byte_cnn, fill_middle, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, url_rules, warc,
 )
 from leadloom.llm.common import held_out, table
 
@@ -87,11 +87,19 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(made), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_quality, op3_pieces, op4_url_verdicts, op5_line_rules, op6_language, op7_near_duplicates,
-        op8_packing, op9_warc, op10_top_products,
+        op8_packing, op9_warc, op10_top_products, op11_fill_middle,
     )
 }
 
@@ -187,6 +195,33 @@ OP10_SQL = f"""
         FROM products)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {mtree.TOP}"""
 
+OP11_SQL = f"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+            sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS hex
+        FROM documents),
+    drawn AS (
+        SELECT *, len(units)::BIGINT AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2,
+            ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4
+        FROM texts),
+    parts AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM drawn),
+    three AS (
+        SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+            array_to_string(units[b + 1:], '') AS suffix
+        FROM parts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM three"""
+
 ORACLES: dict[str, str] = {
     "op4_url_verdicts": _op4_sql(), "op5_line_rules": _op5_sql(), "op9_warc": OP9_SQL, "op10_top_products": OP10_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
