@@ -94,11 +94,12 @@ def map_batches(
 
 
 def with_columns_of(
-    df: DataFrame, text_col: str, keep: Sequence[str], fn: Callable[[pa.Array], list[pa.Array]], results: dict[str, str]
+    df: DataFrame, text_col: str, keep: Sequence[str], fn: Callable[[pa.Array], list[pa.Array]], results: dict[str, str],
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """The kept columns of every row and columns made from one text column, batch by batch.
 
-    The text travels once, also when it is among the kept columns.
+    The text travels once, also when it is among the kept columns. ``done`` is called when a task ends.
     """
     types = dict(df.dtypes)
     names = [*keep, *results]
@@ -109,7 +110,7 @@ def with_columns_of(
         return pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *fn(batch.column(at))], names=names)
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{c}` {t}" for c, t in results.items())])
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in sent]), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in sent]), run, schema, done)
 
 
 def unused_name(df: DataFrame, name: str) -> str:

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
-    byte_cnn, fill_middle, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, url_rules, warc,
+    byte_cnn, fill_middle, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, token_counts, url_rules,
+    warc,
 )
 from leadloom.llm.common import held_out, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
+BYTE_MODEL = "byte_bpe_50k.json"
+#: Tokens beyond which op 12 calls a text too long.
+TOKEN_LIMIT = 512
 HOST_RULES = (
     url_rules.HostRule("allow", "org"),
     url_rules.HostRule("block", "example.org", "/es/"),
@@ -95,11 +99,17 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file(BYTE_MODEL))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_quality, op3_pieces, op4_url_verdicts, op5_line_rules, op6_language, op7_near_duplicates,
         op8_packing, op9_warc, op10_top_products, op11_fill_middle,
+        op12_token_counts,
     )
 }
 
