@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
-    byte_cnn, fill_middle, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, token_counts, url_rules,
+    byte_cnn, fill_middle, importance, lang_profiles, line_rules, mtree, packing, pieces, simhash, site_style, token_counts, url_rules,
     warc,
 )
 from leadloom.llm.common import held_out, table
@@ -104,12 +104,18 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    drawn = importance.resample(documents, table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select(F.col("doc_id").cast("long").alias("doc_id"), *importance.RESULTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_quality, op3_pieces, op4_url_verdicts, op5_line_rules, op6_language, op7_near_duplicates,
         op8_packing, op9_warc, op10_top_products, op11_fill_middle,
-        op12_token_counts,
+        op12_token_counts, op13_importance_resampling,
     )
 }
 
@@ -231,7 +237,52 @@ OP11_SQL = f"""
         sha256(text) AS restored_sha256
     FROM three"""
 
+OP13_SQL = rf"""
+    WITH words AS (
+        SELECT row_number() OVER () AS r, doc_id, true AS mine, text FROM documents
+        UNION ALL SELECT row_number() OVER (), NULL, false, text FROM benchmark),
+    cut AS (
+        SELECT r, doc_id, mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM words),
+    features AS (
+        SELECT r, doc_id, mine, len(w)::BIGINT AS n_words,
+            list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+        FROM cut),
+    each AS (SELECT r, mine, unnest(f) AS g FROM features),
+    remainders AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+    hashed AS (
+        SELECT g, xor(4294967295, list_reduce(
+            list_transform(range(strlen(g)), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::BIGINT),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT)) % {importance.BUCKETS} AS bucket
+        FROM (SELECT DISTINCT g FROM each), remainders),
+    counted AS (
+        SELECT bucket, count(*) FILTER (mine) AS s, count(*) FILTER (NOT mine) AS t
+        FROM each JOIN hashed USING (g) GROUP BY bucket),
+    gains AS (
+        SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {importance.BUCKETS})::DOUBLE
+            / ((s + 1)::DOUBLE * (sum(t) OVER () + {importance.BUCKETS})::DOUBLE))) AS gain
+        FROM counted),
+    weights AS (
+        SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight
+        FROM each JOIN hashed USING (g) JOIN gains USING (bucket) WHERE mine GROUP BY r),
+    scored AS (
+        SELECT r, doc_id, n_words, len(f)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT
+                + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+        FROM features LEFT JOIN weights USING (r) WHERE mine),
+    placed AS (
+        SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, r) AS place, count(*) OVER () AS n
+        FROM scored WHERE n_words >= {importance.LEAST_WORDS})
+    SELECT doc_id, n_features, weight, score, place::BIGINT AS rank FROM placed WHERE place <= {importance.PERCENT} * n // 100
+    UNION ALL
+    SELECT doc_id, n_features, weight, score, NULL FROM placed WHERE place > {importance.PERCENT} * n // 100
+    UNION ALL
+    SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_words < {importance.LEAST_WORDS}"""
+
 ORACLES: dict[str, str] = {
     "op4_url_verdicts": _op4_sql(), "op5_line_rules": _op5_sql(), "op9_warc": OP9_SQL, "op10_top_products": OP10_SQL,
-    "op11_fill_middle": OP11_SQL,
+    "op11_fill_middle": OP11_SQL, "op13_importance_resampling": OP13_SQL,
 }
