@@ -228,8 +228,8 @@ def one_of_each(df: DataFrame, classify: Callable[..., DataFrame], id_col: str =
     """One row of each class of ``classify`` (as ``near_duplicates``), with all columns: the least id names it.
 
     Rows are told apart by id and text, so unlike texts that share an id are in the classes of their texts. If texts
-    of one class share the least id, the one with the least hash stays. Classes without any id are dropped, as
-    nothing can name them.
+    of one class share the least id, the one with the least hash stays; of rows that agree in id and text, the
+    least as JSON. Classes without any id are dropped, as nothing can name them.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(f"`{text_col}`").alias("text_key"))
     classes = classify(df.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text")), "_key", "_text")
@@ -237,7 +237,7 @@ def one_of_each(df: DataFrame, classify: Callable[..., DataFrame], id_col: str =
     named = named.select(F.col("component_id.id").alias("_id"), F.col("component_id.text_key").alias("_text_key"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(f"`{text_col}`").alias("_text_key"), row)
-    one = rows.join(named, ["_id", "_text_key"]).groupBy("_id", "_text_key").agg(F.first("_row").alias("_row"))
+    one = rows.join(named, ["_id", "_text_key"]).groupBy("_id", "_text_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return one.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 

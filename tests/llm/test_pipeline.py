@@ -5,7 +5,7 @@ from compare import compare, oracle_connection
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from leadloom.llm import byte_cnn, lang_profiles, queries, simhash
+from leadloom.llm import byte_cnn, lang_profiles, queries
 
 
 def rows_of(df):
@@ -44,22 +44,28 @@ def test_quality_stage(spark, small):
     assert rows_of(kept) == sorted(want, key=str)
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    n = min(5, len(words))
+    return frozenset(b" ".join(words[k:k + n]) for k in range(len(words) - n + 1)) if words else frozenset()
+
+
 def test_near_duplicate_stage(spark, small):
     docs = odd(spark, small)
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
-    prints = {}
+    sets = {}
     for r in docs.collect():
-        prints.setdefault(simhash.fingerprint(r.text or ""), []).append(r)
-    left, want = set(prints), []
-    while left:  # grow classes of fingerprints
+        sets.setdefault(shingle_set(r.text), []).append(r)
+    left, want = set(sets), []
+    while left:  # grow classes of sets
         group, todo = set(), [left.pop()]
         while todo:
-            f = todo.pop()
-            group.add(f)
-            near = {g for g in left if (f ^ g).bit_count() <= simhash.RADIUS}
+            s = todo.pop()
+            group.add(s)
+            near = {x for x in left if 5 * len(s & x) >= 4 * len(s | x)}
             left -= near
             todo += near
-        members = [r for f in group for r in prints[f] if r.doc_id is not None]
+        members = [r for s in group for r in sets[s] if r.doc_id is not None]
         if members:
             want.append(tuple(min(members, key=lambda r: r.doc_id)))
     assert kept.columns == docs.columns
@@ -88,7 +94,7 @@ def test_empty_corpus(spark, small, tmp_path):
 def test_registration():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
