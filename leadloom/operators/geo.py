@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys
+from leadloom.functions.automaton import WordFinder
 from leadloom.functions.exprs import as_col, let
-from leadloom.sizing import bounded_broadcast
+from leadloom.sizing import bounded_broadcast, is_small
 
 # Points per street tier.
 TIER_POINTS = ((1, 10), (2, 7), (3, 4))
 
 
+#: Streets, and bytes of them, up to which every task may hold the automata of all cities it meets.
+AUTOMATA_MAX_ROWS, AUTOMATA_MAX_BYTES = 500_000, 16 << 20
+
+
+def _street_lists(streets: DataFrame) -> DataFrame:
+    """(city_key, streets): each city's ordered list; ties of position by name, then tier."""
+    listed = streets.filter(F.col("street").isNotNull()).select(keys.city_key("city").alias("city_key"), "pos", "street", "tier")
+    return listed.groupBy("city_key").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "street", "tier"))).alias("streets")
+    )
+
+
 def detect_street(
     contents: DataFrame, streets: DataFrame, id_cols: Sequence[str] = (), text: str = "content",
     small: bool | None = None,
@@ -25,10 +39,7 @@ def detect_street(
     matched in its own row: no match pairs, no identity of pages, no regrouping of texts. Whether the lists are
     broadcast or joined by a shuffle on the city (``small`` decides it for them) changes no result.
     """
-    listed = streets.filter(F.col("street").isNotNull()).select(keys.city_key("city").alias("city_key"), "pos", "street", "tier")
-    per_city = listed.groupBy("city_key").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "street", "tier"))).alias("streets")
-    )
+    per_city = _street_lists(streets)
     if small is None:
         per_city = bounded_broadcast(per_city)
     elif small:
@@ -47,6 +58,49 @@ def detect_street(
     )
 
 
+def detect_street_long_lists(contents: DataFrame, streets: DataFrame, text: str = "content") -> DataFrame:
+    """The same columns as :func:`detect_street`, for cities with many streets.
+
+    A city's streets are one automaton, built when a task first meets the city, and a text is read once whatever
+    the length of the list; the list's order decides among the streets that occur. Only the city and the lower-cased
+    text of pages whose city is listed go to Python, and only the hit comes back. The street table is measured:
+    beyond the bound the lists are joined by a shuffle and tried one by one.
+    """
+    lists = _street_lists(streets)
+    flat = streets.select("street")
+    if not is_small(flat, AUTOMATA_MAX_ROWS, AUTOMATA_MAX_BYTES):
+        return detect_street(contents, streets, text=text, small=False)
+    rows = lists.select("city_key", F.col("streets.street").alias("street"), F.col("streets.tier").alias("tier")).collect()
+    known = contents.sparkSession.sparkContext.broadcast({r.city_key: (r.street, r.tier) for r in rows})
+
+    @F.pandas_udf("street string, tier int")
+    def hit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        finders: dict[str, WordFinder] = {}
+        for cities, texts in batches:
+            found = []
+            for city, body in zip(cities, texts):
+                if body is None:
+                    found.append((None, None))
+                    continue
+                if city not in finders:
+                    finders[city] = WordFinder(known.value[city][0])
+                place = finders[city].first(body)
+                found.append((None, None) if place is None else tuple(column[place] for column in known.value[city]))
+            street, tier = zip(*found) if found else ((), ())
+            yield pd.DataFrame({"street": pd.Series(street, dtype="object"), "tier": pd.Series(tier, dtype="Int32")})
+
+    listed = F.broadcast(lists.select("city_key", F.lit(True).alias("_listed")))  # no more rows than the measured table
+    body = F.when(F.col("_listed"), F.lower(F.coalesce(as_col(text), F.lit(""))))
+    return (
+        contents.withColumn("city_key", keys.city_key("city"))
+        .join(listed, "city_key", "left")
+        .withColumn("_hit", hit(F.col("city_key"), body))
+        .withColumn("street", F.col("_hit.street"))
+        .withColumn("tier", F.col("_hit.tier").cast(streets.schema["tier"].dataType))
+        .drop("city_key", "_listed", "_hit")
+    )
+
+
 def location_score(tier: Column | str) -> Column:
     t = as_col(tier)
     points = None

@@ -304,6 +304,11 @@ def _(v: Inputs):
     return geo.detect_street(v.contents, v.streets, ["page_id"], small=False).select("page_id", "street", "tier")
 
 
+@query("e7_premium_street_automaton", _STREETS)
+def _(v: Inputs):
+    return geo.detect_street_long_lists(v.contents, v.streets).select("page_id", "street", "tier")
+
+
 @query("e8_location", f"""SELECT page_id, CASE tier WHEN 1 THEN 10 WHEN 2 THEN 7 WHEN 3 THEN 4 ELSE 0 END AS location_score,
  CASE WHEN street IS NOT NULL THEN 'premium' ELSE 'standard' END AS location_quality FROM ({_STREETS})""")
 def _(v: Inputs):
