@@ -3,20 +3,24 @@
 Walking the leads of a city in order, a lead goes when its URL or domain is blank, its domain was seen on
 a kept lead, or its name (lower case, stripped) contains or is contained in the name of a kept lead.
 
-Two exact forms: a fold over lists of bounded length, and rounds of joins for groups of any size.
+Two exact forms: a fold over lists of bounded length, and passes over growing stretches of the walk for groups of any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import keys
+from leadloom.functions.automaton import WordFinder
 from leadloom.functions.exprs import as_col, strip
 from leadloom.operators.common import top_per_key
-from leadloom.sizing import checkpointed
+from leadloom.sizing import bounded_broadcast, checkpointed
 
 FOLD_LIMIT = 200
+#: Leads of a city that are walked in the first pass, and at most in any; characters of names in a pass and in a group.
+FIRST_STRETCH, LONGEST_STRETCH, STRETCH_CHARS, GROUP_CHARS = 2_000, 200_000, 8_000_000, 8_000_000
 
 
 def _usable(leads: DataFrame) -> DataFrame:
@@ -49,12 +53,14 @@ def _fold(groups: DataFrame) -> DataFrame:
     return groups.select("city", F.explode(F.aggregate("xs", F.slice("xs", 1, 0), step)).alias("x"))
 
 
-def dedupe_finalists(leads: DataFrame, pos: str = "pos") -> DataFrame:
-    """Fold over each city's ordered list, lazily; for lists that the step before keeps short.
+def dedupe_finalists(leads: DataFrame, pos: str = "pos", short_lists: bool = False) -> DataFrame:
+    """The walk over each city's list. Rows of one position are walked by name, then domain.
 
-    A longer list gives the same rows, held in one array: for lists without a bound use :func:`dedupe_leads`.
-    Rows of one position are walked by name, then domain; equal ones are told apart by their other columns.
+    Where the step before keeps every list short, ``short_lists`` makes it one lazy plan that folds a city's
+    ordered list in one array. Otherwise it is :func:`dedupe_leads`, for lists of any length.
     """
+    if not short_lists:
+        return dedupe_leads(leads, pos)
     row = F.struct(*[F.col(c) for c in leads.columns])
     lead = F.struct(
         _turn(as_col(pos), F.col("name_key"), F.col("domain")).alias("turn"), "name_key", F.col("domain").alias("domain_key"),
@@ -69,7 +75,7 @@ def dedupe_leads(leads: DataFrame, pos: str = "pos", fold_limit: int = FOLD_LIMI
 
     Every row gets a number of its own, so repeated positions, ids or whole rows cannot be confused. A repeated
     (domain, name) of a city always goes, so only its first row takes part, as a narrow row of keys. Cities
-    with at most ``fold_limit`` such rows are folded; larger ones take rounds of joins, to the same end.
+    with at most ``fold_limit`` such rows are folded; larger ones are walked in stretches, to the same end.
     """
     row = unused_name(leads, "_row")
     numbered = checkpointed(leads.withColumn(row, F.monotonically_increasing_id()))
@@ -83,8 +89,9 @@ def dedupe_leads(leads: DataFrame, pos: str = "pos", fold_limit: int = FOLD_LIMI
     item = F.struct("p", "name_key", F.col("domain").alias("domain_key"))
     folded = _fold(few.groupBy("city").agg(F.array_sort(F.collect_list(item)).alias("xs")))
     survivors = folded.select(F.col(f"x.p.{row}").alias(row))
-    for kept in _rounds(work.join(sizes.filter(F.col("n") > fold_limit).select("city"), "city", "left_semi")):
-        survivors = survivors.union(kept.select(F.col(f"p.{row}").alias(row)))
+    many = work.join(sizes.filter(F.col("n") > fold_limit).select("city"), "city", "left_semi")
+    for kept in _stretches(many.withColumn("row", F.col(f"p.{row}"))):
+        survivors = survivors.union(kept.select(F.col("row").alias(row)))
     return numbered.join(survivors, row, "left_semi").drop(row)
 
 
@@ -94,51 +101,74 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _rounds(work: DataFrame) -> list[DataFrame]:
-    """Kept rows of groups of any size, one frame per round.
-
-    * "name a contains name b" becomes an equality: every substring of ``a`` is looked up among the
-      names. The output is bounded by name length per name, not by pairs of leads.
-    * Per round, leads with no earlier undecided clash are kept, and everything that clashes with a kept
-      lead goes. Each lead carries only the *smallest* clashing position, computed with map-side
-      minima, so a hot domain or name never meets in one task.
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """The kept rows of one stretch of a city's walk (city, turn, domain, name_key, row), in which all that clashes with
+    earlier stretches is gone already."""
+    rows = rows.sort_values("turn")
+    names = list(dict.fromkeys(rows["name_key"]))
+    finder, place = WordFinder(names), {name: k for k, name in enumerate(names)}
+    domains: set[str] = set()
+    kept_names: set[int] = set()
+    inside_kept: set[int] = set()  # names that a kept name contains, itself included
+    kept = []
+    for domain, name in zip(rows["domain"], rows["name_key"]):
+        stays = domain not in domains and place[name] not in inside_kept
+        if stays:
+            inside = finder.all(name)
+            stays = kept_names.isdisjoint(inside)
+        if stays:
+            domains.add(domain)
+            kept_names.add(place[name])
+            inside_kept |= inside
+        kept.append(stays)
+    return rows.loc[kept, ["city", "domain", "name_key", "row"]]
+
+
+def _clashing(names: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """The names (city, name_key) of a group that contain a kept name or lie in one."""
+    own, other = list(names["name_key"]), list(kept["name_key"])
+    if not own or not other:
+        return names.iloc[:0][["city", "name_key"]]
+    within, around = WordFinder(own), WordFinder(other)
+    hit = {k for name in other for k in within.all(name)}
+    return names.loc[[k in hit or around.any(name) for k, name in enumerate(own)], ["city", "name_key"]]
+
+
+def _stretches(work: DataFrame) -> list[DataFrame]:
+    """Kept rows (city, domain, name_key, row) of groups of any size, one frame per pass. ``work`` has each name of a
+    domain once per city.
+
+    A pass walks the next stretch of every city, in one task per city; a stretch is bounded in rows and characters, and
+    twice as long as the one before up to that bound. All later leads that clash with what the stretch has kept
+    then go at once: by domain through a join, by name through two automata per group of names, one of the kept
+    names and one of the group's own, each run once over the other's characters. So the number of passes depends
+    on the number of leads that stay in question, not on how clashes chain, and no name is taken apart.
     """
-    kept: list[DataFrame] = []
-    undecided = checkpointed(work)
-    if undecided.isEmpty():
-        return kept
-    names = undecided.select("city", "name_key").distinct()
-    # only substrings as long as some name of the city can be a name; they stream out of the row one by one
-    lengths = names.select("city", F.length("name_key").alias("size")).distinct()
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("big") - F.col("size"), F.lit(0)) + 1))
-    inside = checkpointed(
-        names.withColumnRenamed("name_key", "big").join(lengths, "city").filter(F.col("size") <= F.length("big"))
-        .select("city", "big", "size", starts.alias("start"))
-        .select("city", "big", F.substr("big", F.col("start"), F.col("size")).alias("small")).distinct()
-        .join(names.withColumnRenamed("name_key", "small"), ["city", "small"], "left_semi")
-    )
-
-    def nearest(rows: DataFrame, among: DataFrame, out: str) -> DataFrame:
-        """Smallest position in ``among`` that shares the domain of a row, or has a related name."""
-        by_domain = among.groupBy("city", "domain").agg(F.min("p").alias("d_min"))
-        by_name = among.groupBy("city", "name_key").agg(F.min("p").alias("n_min"))
-        down = inside.join(
-            by_name.withColumnRenamed("name_key", "small"), ["city", "small"]
-        ).select("city", F.col("big").alias("name_key"), "n_min")
-        up = inside.join(by_name.withColumnRenamed("name_key", "big"), ["city", "big"]).select(
-            "city", F.col("small").alias("name_key"), "n_min"
+    passes: list[DataFrame] = []
+    undecided, longest = checkpointed(work), FIRST_STRETCH
+    while not undecided.isEmpty():
+        order = Window.partitionBy("city").orderBy("p")
+        first = top_per_key(undecided, ["city"], ["p"], k=longest, rank_name="turn")
+        ahead = F.sum(F.length("name_key")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        first = first.withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("ahead") <= STRETCH_CHARS).drop("ahead")
+        first = checkpointed(first)
+        kept = checkpointed(
+            first.select("city", "turn", "domain", "name_key", "row").groupBy("city")
+            .applyInPandas(_walk, "city string, domain string, name_key string, row long")
         )
-        related = down.union(up).groupBy("city", "name_key").agg(F.min("n_min").alias("n_min"))
-        return (
-            rows.join(by_domain, ["city", "domain"], "left")
-            .join(related, ["city", "name_key"], "left")
-            .withColumn(out, F.least("d_min", "n_min"))
-            .drop("d_min", "n_min")
+        passes.append(kept)
+        last = bounded_broadcast(first.groupBy("city").agg(F.max("p").alias("last")))
+        rest = undecided.join(last, "city").filter(F.col("p") > F.col("last")).drop("last")
+        rest = checkpointed(rest.join(kept.select("city", "domain"), ["city", "domain"], "left_anti"))
+        names = rest.select("city", "name_key").distinct()
+        groups = names.groupBy("city").agg((F.floor(F.sum(F.length("name_key") + 1) / GROUP_CHARS) + 1).cast("long").alias("groups"))
+        groups = bounded_broadcast(checkpointed(groups))
+        names = names.join(groups, "city").withColumn("g", F.pmod(F.xxhash64("name_key"), F.col("groups"))).drop("groups")
+        others = kept.select("city", "name_key").join(groups, "city")
+        others = others.select("city", "name_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
+        clashing = names.groupBy("city", "g").cogroup(others.groupBy("city", "g")).applyInPandas(
+            _clashing, "city string, name_key string"
         )
-
-    while not undecided.isEmpty():
-        # a lead is among the undecided itself, so its own position is the minimum when it is free
-        free = checkpointed(nearest(undecided, undecided, "first").filter("p <= first").drop("first"))
-        kept.append(free)
-        undecided = checkpointed(nearest(undecided, free, "hit").filter("hit is null").drop("hit"))
-    return kept
+        undecided = checkpointed(rest.join(clashing, ["city", "name_key"], "left_anti"))
+        longest = min(2 * longest, LONGEST_STRETCH)
+    return passes

@@ -338,13 +338,19 @@ def _(v: Inputs):
     return finalists.dedupe_leads(leads).select("city", "pos")
 
 
+@query("c12_final_dedupe_stretches", _walk(_LEADS))
+def _(v: Inputs):
+    leads = content.normalize_leads(content.parse_leads(v.lead_json, LEAD)).withColumnRenamed("seq", "pos")
+    return finalists.dedupe_leads(leads, fold_limit=0).select("city", "pos")
+
+
 @query("c12_finalists_fold", _walk(f"""SELECT city, page_id AS pos, 'part ' || CAST(page_id AS VARCHAR) AS name_key, {o.k3("url")} AS domain, url FROM (
  SELECT *, row_number() OVER (PARTITION BY city ORDER BY gate_score DESC, page_id) AS rn FROM ({_GATED}) WHERE gate_score >= 25) WHERE rn <= 25"""))
 def _(v: Inputs):
     top = content.select_finalists(gated(v)).select(
         "city", "pos", F.concat(F.lit("Part "), F.col("page_id").cast("string")).alias("name"),
         F.col("url").alias("website_url"))
-    return finalists.dedupe_finalists(top).select("city", "pos")
+    return finalists.dedupe_finalists(top, short_lists=True).select("city", "pos")
 
 
 @query("c13_lead_normalization", """SELECT seq, json_extract_string(payload, '$.name') AS name, json_extract_string(payload, '$.url') AS website_url,

@@ -68,5 +68,5 @@ def qualify_cities(
     """From search hits to scored new prospects."""
     texts = page_texts(candidate_urls(hits, suppression), fetched, targets)
     found = as_leads(qualify_pages(texts, streets, similarity, k), leads, countries)
-    unique = finalists.dedupe_finalists(found, "place")
+    unique = finalists.dedupe_finalists(found, "place", short_lists=True)
     return qualify_batch(unique, existing, lambda df: score(with_market(df, market), t), list(order))

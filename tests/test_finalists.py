@@ -40,12 +40,19 @@ CASES = [
 @pytest.mark.parametrize("rows", CASES)
 def test_both_forms_follow_the_definition(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(values(finalists.dedupe_finalists(df), "city", "pos")) == walk(rows)
+    assert sorted(values(finalists.dedupe_finalists(df, short_lists=True), "city", "pos")) == walk(rows)
     for limit in (0, 1, 100):
         assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos")) == walk(rows)
 
 
-def test_random_names(spark):
+@pytest.fixture(params=[1, 7, 2_000])
+def first_stretch(request, monkeypatch):
+    """Also with stretches so short that many passes meet."""
+    monkeypatch.setattr(finalists, "FIRST_STRETCH", request.param)
+    monkeypatch.setattr(finalists, "GROUP_CHARS", 100 * request.param)
+
+
+def test_random_names(spark, first_stretch):
     rng = random.Random(5)
     rows = [
         (rng.choice("xyz"), i, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 5))) + rng.choice(["", "cd", "ce"]),
@@ -78,10 +85,61 @@ def test_rows_are_told_apart(spark, limit):
         ("x", 7, "same"), ("x", 9, "last"),
     ]
     assert sorted(values(finalists.dedupe_leads(df, fold_limit=limit), "city", "pos", "name"), key=str) == sorted(want, key=str)
-    assert sorted(values(finalists.dedupe_finalists(df), "city", "pos", "name"), key=str) == sorted(want, key=str)
+    assert sorted(values(finalists.dedupe_finalists(df, short_lists=True), "city", "pos", "name"), key=str) == sorted(want, key=str)
 
 
 def test_a_long_name_streams_its_pieces(spark):
     rows = [("x", 1, "ab", "https://1.com"), ("x", 2, "q" * 4000 + "ab", "https://2.com"), ("x", 3, "r" * 4000, "https://3.com")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(values(finalists.dedupe_leads(df, fold_limit=0), "city", "pos")) == walk(rows)
+
+
+def counted(monkeypatch):
+    passes, plain = [], finalists.top_per_key
+
+    def spy(df, keys, order, **more):
+        passes.extend([1] * ("rank_name" in more))
+        return plain(df, keys, order, **more)
+
+    monkeypatch.setattr(finalists, "top_per_key", spy)
+    return passes
+
+
+def test_a_long_chain_of_clashes_takes_few_passes(spark, monkeypatch):
+    """Lead k clashes with k + 1 alone, by domain and by name in turn: 100,000 links in one city, a small one beside it."""
+    n, passes = 100_000, counted(monkeypatch)
+    df = spark.range(n).selectExpr(
+        "if(id % 1000 = 999, 'y', 'x') as city", "cast(id - id div 1000 as int) as at", "cast(id as int) as pos", "id",
+    ).filter("city = 'x'").selectExpr(
+        "city", "at as pos", "concat('name ', lpad(cast((at + 1) div 2 as string), 6, '0')) as name",
+        "concat('https://d', cast(at div 2 as string), '.com') as website_url",
+    )
+    more = spark.createDataFrame([("y", k, f"n{k} ", f"https://{k}.com") for k in range(5)], SCHEMA)
+    got = values(finalists.dedupe_leads(df.union(more), fold_limit=0), "city", "pos")
+    assert sorted(p for c, p in got if c == "x") == list(range(0, df.count(), 2))
+    assert sorted(p for c, p in got if c == "y") == [0, 1, 2, 3, 4]
+    assert len(passes) <= 7
+
+
+def test_names_of_ten_thousand_characters(spark, monkeypatch):
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefgh ", k=10_000)).strip() for _ in range(60)]
+    rows = []
+    for k, name in enumerate(long):
+        rows += [("x", 3 * k, name, f"https://{k}.com"), ("x", 3 * k + 1, name[100:9_000], f"https://b{k}.com"), ("x", 3 * k + 2, f"z{k:02}" + name[:50], f"https://c{k}.com")]
+    rng.shuffle(rows)
+    rows = [(c, k, n, u) for k, (c, _, n, u) in enumerate(rows)] + [("x", 500, "a" * 10_000, "https://1a.com"), ("x", 501, "a" * 30, "https://2a.com")]
+    monkeypatch.setattr(finalists, "STRETCH_CHARS", 100_000)  # some ten names a pass
+    monkeypatch.setattr(finalists, "GROUP_CHARS", 100_000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(values(finalists.dedupe_leads(df, fold_limit=0), "city", "pos")) == walk(rows)
+
+
+def test_a_hot_domain_and_name(spark, monkeypatch):
+    """A third of the leads share a domain and another third a name; nothing is walked that an earlier pass has settled."""
+    rows = [("x", k, f"n{k:05} ", f"https://{k if k % 3 else 'hot'}.com/{k}") for k in range(6_000)]
+    rows = [(c, p, "same name" if p % 3 == 1 else n, u) for c, p, n, u in rows]
+    passes = counted(monkeypatch)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(values(finalists.dedupe_leads(df, fold_limit=0), "city", "pos")) == walk(rows)
+    assert len(passes) <= 2
