@@ -219,9 +219,11 @@ def approx_similar(
     schema = _out_schema(prospects, clients, key, client_key)
     if n == 0:
         return _shown(p.sparkSession.createDataFrame([], schema))
+    if n == 1:
+        return top_similar(prospects, clients, k, key, vector, client_key, client_vector)
     ready = checkpointed(c.withColumn("f", array_to_vector("u")).drop("u"))  # read once per iteration
     model = KMeans(
-        k=lists or max(1, math.isqrt(n)), seed=seed, maxIter=5, initMode="random", featuresCol="f",
+        k=max(2, lists or math.isqrt(n)), seed=seed, maxIter=5, initMode="random", featuresCol="f",
         predictionCol="list",
     ).fit(ready)
     dealt = model.transform(ready).select(client_key, "v", "list")

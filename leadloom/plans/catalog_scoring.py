@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import keys, text
 from leadloom.functions.exprs import round_half_up
-from leadloom.operators import clients, geo, scoring, similarity, writes
+from leadloom.operators import client_blocks, clients, geo, scoring, similarity, writes
 from leadloom.plans import oracle_text as o
 from leadloom.plans.registry import Inputs, query
 
@@ -232,6 +232,13 @@ def _(v: Inputs):
     return out.select("vec_id", "client_id", "similarity", "rank")
 
 
+@query("e3_top_similar_bounded", "SELECT vec_id, client_id, similarity, rank FROM {o_ranked} WHERE rank <= 5")
+def _(v: Inputs):
+    blocks = client_blocks.store_blocks(v.client_vectors)
+    out = client_blocks.top_similar_bounded(v.brand_vectors, blocks, 5, wave_bytes=32 << 10)
+    return out.select("vec_id", "client_id", "similarity", "rank")
+
+
 REPEATED = "SELECT vec_id % 7 AS brand_group, client_id, similarity, rank FROM {o_ranked} WHERE rank <= 5"
 
 

@@ -89,3 +89,10 @@ def test_alternative_measures(spark, vectors):
         assert r["top_mean"] == pytest.approx(np.sort(s[i])[-4:].mean() * 100)
         assert r["centroid_similarity"] == pytest.approx(a[i] @ m / np.linalg.norm(m) * 100)
         assert r["weighted_similarity"] == pytest.approx((s[i] * w).sum() / w.sum() * 100)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_approximate_form_of_few_clients(vectors, n):
+    p, c, dp, dc = vectors
+    got = values(similarity.approx_similar(dp, dc.filter(F.col("client_id") < n), 4, probes=9), "vec_id", "rank", "client_id")
+    assert sorted(got) == sorted((i, r + 1, j) for i, js in brute(p, c[:n], 4).items() for r, j in enumerate(js))
