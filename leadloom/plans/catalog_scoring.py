@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import keys, text
 from leadloom.functions.exprs import round_half_up
-from leadloom.operators import client_blocks, clients, geo, scoring, similarity, writes
+from leadloom.operators import client_blocks, clients, geo, neighbour_graph, scoring, similarity, writes
 from leadloom.plans import oracle_text as o
 from leadloom.plans.registry import Inputs, query
 
@@ -283,6 +283,24 @@ def _(v: Inputs):
     )
 
 
+def _by_graph(v: Inputs, k: int = 10):
+    graphs = neighbour_graph.store_graph(v.embeddings.withColumnRenamed("vec_id", "client_id"), shard_rows=4_096)
+    return neighbour_graph.similar_by_graph(v.brand_vectors, graphs, k)
+
+
+@query("e4_neighbour_graph")
+def _(v: Inputs):
+    return _by_graph(v).select("vec_id", "client_id", "similarity", "rank")
+
+
+@query("e4_graph_recall", "SELECT count(*) AS prospects, true AS enough FROM {brand_vectors} WHERE embedding IS NOT NULL")
+def _(v: Inputs):
+    """Of the ten most similar of all vectors, for every prospect, at least nine tenths must be found."""
+    exact = similarity.top_similar(v.brand_vectors, v.embeddings.withColumnRenamed("vec_id", "client_id"), 10)
+    hits = exact.select("vec_id", "client_id").join(_by_graph(v).select("vec_id", "client_id", F.lit(1).alias("hit")), ["vec_id", "client_id"], "left")
+    return hits.agg(F.count_distinct("vec_id").alias("prospects"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("e5_similarity_points", f"""SELECT id, similarity, {o.half_up(o.SIM_POINTS, 2)} AS points FROM {{o_scored}}""")
 def _(v: Inputs):
     rows = scoring.with_similarity(v.prospects, best_by_domain(v))

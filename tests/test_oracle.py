@@ -29,4 +29,4 @@ def test_entry_returns_a_page(spark):
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
     own = {q for q in QUERIES if not re.match(r"op\d+_|pipeline$", q)}
-    assert own - set(ORACLES) == {"e4_approximate_top_k"}
+    assert own - set(ORACLES) == {"e4_approximate_top_k", "e4_neighbour_graph"}
