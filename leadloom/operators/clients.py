@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.exprs import falsy_to
+from leadloom.operators.quantiles import quantiles
 from leadloom.operators.scoring import Thresholds
 
 # Tiers in order of priority.
@@ -144,6 +145,21 @@ def threshold_row(clients: DataFrame) -> DataFrame:
     return base_profile(clients).select(*[F.coalesce(c, F.lit(d).cast(_kind(n))).alias(n) for n, (c, d) in learned.items()])
 
 
+def threshold_row_by_selection(clients: DataFrame) -> DataFrame:
+    """The same row for a base of any size: medians by distributed selection, in bounded memory."""
+    t = Thresholds()
+    known = clients.select(falsy_to("pvp_suits_eur", None).alias("price"), F.col("store_count").alias("stores"))
+    price = quantiles(known, [], "price", {"median_price": 0.5})
+    stores = quantiles(known, [], "stores", {"median_stores": 0.5})
+    limits = known.agg(F.min("price").alias("min_price"), F.max("stores").alias("max_stores"))
+    row = limits.select("*", price.select("median_price").scalar().alias("median_price"), stores.select("median_stores").scalar().alias("median_stores"))
+    learned = {
+        "min_price": (F.col("min_price"), t.min_price), "max_stores": (F.col("max_stores"), t.max_stores),
+        "ideal_price": (F.floor("median_price"), t.ideal_price), "ideal_stores": (F.floor("median_stores"), t.ideal_stores),
+    }
+    return row.select(*[F.coalesce(c, F.lit(d).cast(_kind(n))).alias(n) for n, (c, d) in learned.items()])
+
+
 def _kind(name: str) -> str:
     return {"min_price": "double", "max_stores": "int"}.get(name, "bigint")
 

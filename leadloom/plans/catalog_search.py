@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.operators import analytics, clients, search
+from leadloom.operators.quantiles import quantiles
 from leadloom.operators.search import ProspectFilter
 from leadloom.plans.registry import Inputs, query
 
@@ -275,6 +276,26 @@ def _(v: Inputs):
     return clients.threshold_row(v.clients)
 
 
+@query("a11_thresholds_by_selection", f"""SELECT min_price, max_stores, CAST(floor(median_price) AS BIGINT) AS ideal_price,
+ CAST(floor(median_stores) AS BIGINT) AS ideal_stores FROM (SELECT {_PROFILE} FROM {{clients}})""")
+def _(v: Inputs):
+    return clients.threshold_row_by_selection(v.clients)
+
+
+@query("a10_price_quantiles_per_city", """SELECT city, quantile_cont(avg_suit_price_eur, 0.25) AS lower_quartile,
+ quantile_cont(avg_suit_price_eur, 0.5) AS median_price, quantile_cont(avg_suit_price_eur, 0.75) AS upper_quartile
+FROM {prospects} GROUP BY city""")
+def _(v: Inputs):
+    return quantiles(v.prospects, ["city"], "avg_suit_price_eur", {"lower_quartile": 0.25, "median_price": 0.5, "upper_quartile": 0.75})
+
+
+@query("a10_median_order_price_per_status", """SELECT o_orderstatus, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5) AS median_price,
+ quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) AS median_customer FROM orders GROUP BY o_orderstatus""")
+def _(v: Inputs):
+    price = quantiles(v.orders, ["o_orderstatus"], "o_totalprice", {"median_price": 0.5})
+    return price.join(quantiles(v.orders, ["o_orderstatus"], "o_custkey", {"median_customer": 0.5}), "o_orderstatus")
+
+
 @query("a12_profile_summary", """SELECT count(*) AS total, coalesce(min(nullif(store_count, 0)), 0) AS min_stores,
  coalesce(max(nullif(store_count, 0)), 0) AS max_stores, coalesce(avg(nullif(store_count, 0)), 0) AS avg_stores,
  coalesce(min(nullif(pvp_suits_eur, 0)), 0) AS min_price, coalesce(max(nullif(pvp_suits_eur, 0)), 0) AS max_price,
