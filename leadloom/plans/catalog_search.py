@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import analytics, clients, search
+from leadloom.operators import analytics, clients, search, trigrams
 from leadloom.operators.quantiles import quantiles
 from leadloom.operators.search import ProspectFilter
 from leadloom.plans.registry import Inputs, query
+from leadloom.sizing import work_folder
 
 ROW = ["id", "domain", "city", "name", "store_count", "avg_suit_price_eur", "final_score", "status"]
 COLS = ", ".join(ROW)
@@ -82,6 +83,24 @@ def _(v: Inputs):
     return search.matching(v.stored_rows, f).select(*ROW, "similarity_score")
 
 
+def _indexed(v: Inputs, f: ProspectFilter):
+    path = work_folder(v.spark, "trigrams")
+    trigrams.store_indexed(v.stored_rows, path, block_rows=2_000)
+    return trigrams.indexed_matching(v.spark, path, f).select(*ROW, "most_similar_client")
+
+
+@query("q4_trigram_name", f"""SELECT {COLS}, most_similar_client FROM {{stored_rows}}
+WHERE lower(name) LIKE '%rand 12%' AND lower(most_similar_client) LIKE '%#1%'""")
+def _(v: Inputs):
+    return _indexed(v, ProspectFilter(search_name="RAND 12", similar_to_client="#1"))
+
+
+@query("q4_trigram_fallback", f"""SELECT {COLS}, most_similar_client FROM {{stored_rows}}
+WHERE lower(name) LIKE '%brand _2%' AND store_count >= 3""")
+def _(v: Inputs):
+    return _indexed(v, ProspectFilter(search_name="Brand _2", min_stores=3))
+
+
 @query("q5_sort_unknown", _page("true", "final_score ASC NULLS LAST", "final_score ASC NULLS LAST", 40))
 def _(v: Inputs):
     f = ProspectFilter(sort_by="drop table", sort_order="up", limit=40)

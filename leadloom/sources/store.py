@@ -2,6 +2,9 @@
 
 Appends are ordinary Parquet appends. A change rewrites only the cities it touches; the new rows are
 checkpointed to shared storage first, because the partitions to be replaced are also what was read.
+
+Every file keeps a Bloom filter of its ids, written with the rows and so never out of date. A few ids are looked up by
+equality, which reads only the row groups whose filter may hold them; what it lets through falsely is filtered by value.
 """
 
 from __future__ import annotations
@@ -20,6 +23,11 @@ from leadloom.schemas import PROSPECTS
 from leadloom.sizing import checkpointed
 
 
+#: Parquet's own Bloom filter of the id column, as large as a file's ids need.
+ID_FILTER = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+#: Ids up to which a change looks them up by equality; so many of a list are passed to the files as equalities by default.
+FEW_IDS, IDS_TOGETHER = 200, 10
+
 #: Folder name of rows without a city: a blank partition value would come back as null.
 NO_CITY = "__no_city__"
 
@@ -68,7 +76,7 @@ def append_prospects(rows: DataFrame, path: str, now=None) -> None:
     a large part of the rows is split over many tasks by its actual size.
     """
     ready = _foldered(conform(with_insert_defaults(rows, now))).hint("rebalance", F.col("city"))
-    ready.write.mode("append").partitionBy("city").parquet(path)
+    ready.write.mode("append").options(**ID_FILTER).partitionBy("city").parquet(path)
 
 
 def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame | None) -> None:
@@ -80,21 +88,25 @@ def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame
     kept = checkpointed(rows)
     (
         _foldered(kept).hint("rebalance", F.col("city"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**ID_FILTER).partitionBy("city").parquet(path)
     )
     if touched is None:
         return
-    emptied = touched.join(kept.select("city").distinct(), "city", "left_anti")
-    for row in emptied.toLocalIterator():  # one folder at a time; the driver holds no list
-        _drop_city(spark, path, row["city"])
+    _drop_folders(spark, path, touched.join(kept.select("city").distinct(), "city", "left_anti"))
 
 
-def _drop_city(spark: SparkSession, path: str, city: str) -> None:
+def _drop_folders(spark: SparkSession, path: str, cities: DataFrame) -> None:
+    """Delete the folders of the given cities. The table's folders are listed once; special characters are
+    percent-coded in their names."""
     fs, root = _file_system(spark, path)
-    wanted = f"city={city or NO_CITY}"
-    for status in fs.listStatus(root):
-        if unquote(status.getPath().getName()) == wanted:  # special characters are percent-coded in folder names
-            fs.delete(status.getPath(), True)
+    folders = None
+    for row in cities.toLocalIterator():
+        if folders is None:
+            folders = {}
+            for status in fs.listStatus(root):
+                folders.setdefault(unquote(status.getPath().getName()), []).append(status.getPath())
+        for folder in folders.get(f"city={row['city'] or NO_CITY}", ()):
+            fs.delete(folder, True)
 
 
 def _of_cities(table: DataFrame, touched: DataFrame) -> DataFrame:
@@ -110,13 +122,25 @@ def replace_cities(rows: DataFrame, path: str) -> None:
 def drop_cities(spark: SparkSession, path: str, cities: DataFrame) -> None:
     """Remove whole city partitions, named in any case and spacing: only folders are touched, no data is read."""
     named = cities.select(F.coalesce(keys.city_key("city"), F.lit("")).alias("city")).distinct()
-    for row in named.toLocalIterator():
-        _drop_city(spark, path, row["city"])
+    _drop_folders(spark, path, named)
+
+
+def with_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored rows with one of the ids. A few ids reach the files, so that only row groups are read whose Bloom filter
+    may hold them; more are joined."""
+    few = sorted(r["id"] for r in ids.select("id").filter("id is not null").distinct().limit(FEW_IDS + 1).collect())
+    if len(few) > FEW_IDS:
+        return table.join(ids.select("id"), "id", "left_semi")
+    hit = F.lit(False)
+    for at in range(0, len(few), IDS_TOGETHER):
+        some = F.col("id").isin(few[at:at + IDS_TOGETHER])
+        hit = some if not at else hit | some
+    return table.filter(hit)
 
 
 def _touched(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Cities that hold some of the ids."""
-    return checkpointed(table.select("id", "city").join(ids.select("id"), "id", "left_semi").select("city").distinct())
+    return checkpointed(with_ids(table.select("id", "city"), ids).select("city").distinct())
 
 
 def remove_ids(spark: SparkSession, path: str, ids: DataFrame) -> None:

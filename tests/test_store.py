@@ -143,3 +143,47 @@ def test_outreach_texts_and_log(spark):
     assert batch.filter("id = '1'").first()["body"] == "Novo cliente detetado: Acme\nWebsite: https://www.acme.com/x\nCidade: rome"
     after = outreach.append_log(log, outreach.log_rows(batch))
     assert outreach.outreach_batch(brands, listed, after).count() == 0
+
+
+def scanned_rows(df):
+    """Rows that the scan of a plan without a shuffle gave to it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def many_cities(spark, path, cities=12, rows=2_000):
+    df = spark.range(cities * rows).selectExpr(
+        "concat('id-', id) as id", "concat('d', id, '.com') as domain", f"concat('city ', id % {cities}) as city", "cast(id % 7 as int) as store_count")
+    store.append_prospects(store.conform(df.selectExpr(
+        "*", *[f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in PROSPECTS.fields if f.name not in df.columns])), path)
+
+
+def test_a_few_ids_read_few_rows(spark, tmp_path):
+    """One id reads the row group that holds it; the others' Bloom filters rule them out."""
+    path = str(tmp_path / "t")
+    many_cities(spark, path)
+    table = store.read_prospects(spark, path)
+    for wanted in (["id-17"], ["id-17", "id-29", "id-5"], [f"id-{12 * k + 3}" for k in range(30)], ["id-1000000"]):
+        ids = spark.createDataFrame([(i,) for i in wanted] + [(None,)], "id string")
+        found = store.with_ids(table.select("id", "city"), ids)
+        assert sorted(r.id for r in found.collect()) == sorted(i for i in wanted if i != "id-1000000")
+        cities = {int(i[3:]) % 12 for i in wanted if i != "id-1000000"}
+        assert scanned_rows(found) <= 2_000 * (len(cities) + 1)  # one false positive in a hundred
+    many = spark.range(0, 24_000, 40).selectExpr("concat('id-', id) as id")
+    assert store.with_ids(table, many).count() == 600
+
+
+def test_changes_through_the_filters(spark, tmp_path):
+    path = str(tmp_path / "t")
+    many_cities(spark, path, cities=6, rows=300)
+    before = {c.name: max(f.stat().st_mtime_ns for f in c.iterdir()) for c in (tmp_path / "t").iterdir() if c.name.startswith("city=")}
+    store.change_status(spark, path, spark.createDataFrame([("id-8", "contacted", 1, None), ("id-x", "contacted", 2, "")], "id string, status string, change_no int, notes string"))
+    after = {c.name: max(f.stat().st_mtime_ns for f in c.iterdir()) for c in (tmp_path / "t").iterdir() if c.name.startswith("city=")}
+    assert {c for c in before if before[c] != after[c]} == {"city=city%202"} or {c for c in before if before[c] != after[c]} == {"city=city 2"}
+    store.remove_ids(spark, path, spark.range(0, 1_800, 6).selectExpr("concat('id-', id) as id"))  # a whole city, and more than a few ids
+    table = store.read_prospects(spark, path)
+    assert table.count() == 1_500 and table.filter("city = 'city 0'").count() == 0
+    assert [r.status for r in table.filter("id = 'id-8'").collect()] == ["contacted"]
+    store.drop_cities(spark, path, spark.createDataFrame([(" CITY 1",), ("city 3",), ("nowhere",), (None,)], "city string"))
+    assert store.read_prospects(spark, path).select("city").distinct().count() == 3
