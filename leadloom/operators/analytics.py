@@ -139,6 +139,11 @@ def dashboard(prospects: DataFrame, top_cities: int = 10) -> DataFrame:
     cube = prospects.groupBy(
         "status", "city", score_band(F.col("final_score")).alias("band")
     ).agg(F.count("*").alias("n"))
+    return dashboard_of(cube, top_cities)
+
+
+def dashboard_of(cube: DataFrame, top_cities: int = 10) -> DataFrame:
+    """The same from rows counted per (status, city, band) as ``n``."""
 
     def section(name: str, key: str) -> DataFrame:
         return cube.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("count")).select(

@@ -16,7 +16,7 @@ from leadloom.plans.catalog_scoring import POINTS, ranked, scored
 from leadloom.plans.registry import Inputs, query
 from leadloom.schemas import OUTREACH_LOG
 from leadloom.sizing import work_folder
-from leadloom.sources import records, store
+from leadloom.sources import kept_counts, records, store
 from leadloom.streaming import ingest
 
 NOW = "2026-01-01 00:00:00"
@@ -210,6 +210,34 @@ def _(v: Inputs):
     return store.read_prospects(v.spark, path).select("id", "city")
 
 
+_COUNTED = f"""(SELECT p.id, p.city, p.final_score, CASE WHEN c.id IS NULL THEN p.status ELSE c.status END AS status FROM {{stored_rows}} p
+ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC, notes DESC NULLS LAST) AS rn FROM {{changes}}
+  WHERE status <> 'archived') WHERE rn = 1) c ON c.id = p.id
+ WHERE p.city NOT IN ({_GONE}) AND p.id NOT IN (SELECT id FROM {{changes}} WHERE status = 'archived'))"""
+
+
+def _counted(v: Inputs) -> kept_counts.CountedStore:
+    """A counted store after batches, status changes, removals and dropped cities."""
+    folder = work_folder(v.spark, "counted")
+    counted = kept_counts.CountedStore(v.spark, os.path.join(folder, "rows"), os.path.join(folder, "counts"))
+    rows = records.import_legacy(v.stored_rows.drop("seq", "wool_percentage"))
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    counted.append(rows.filter(half), "first", now())
+    counted.append(rows.filter(~half), "second", now())
+    counted.change_status(v.changes.withColumn("turn", F.struct("change_no", "status", "notes")), "changes", "turn", now())
+    counted.compact()
+    counted.remove_ids(v.changes.filter("status = 'archived'"), "archived")
+    counted.drop_cities(_gone(v), "gone")
+    return counted
+
+
+@query("m1_kept_rollup", f"""SELECT city, count(*) AS total_prospects, avg(final_score) AS avg_score, max(final_score) AS top_score,
+ count(*) FILTER (status = 'new') AS new_count, count(*) FILTER (status = 'contacted') AS contacted_count,
+ count(*) FILTER (status = 'converted') AS converted_count FROM {_COUNTED} GROUP BY city""")
+def _(v: Inputs):
+    return _counted(v).city_rollup()
+
+
 @query("m4_update_status", """SELECT p.id, CASE WHEN c.id IS NULL THEN p.status ELSE c.status END AS status, CASE WHEN c.id IS NULL THEN 'old note' ELSE c.notes END AS notes
 FROM {prospects} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_no DESC, status DESC, notes DESC NULLS LAST) AS rn FROM {changes}
  WHERE status <> 'archived') WHERE rn = 1) c ON c.id = p.id""")
