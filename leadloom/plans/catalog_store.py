@@ -342,6 +342,19 @@ def _(v: Inputs):
     return store.read_or_empty(v.spark, path).select("id", "domain", "city", "store_count")
 
 
+@query("s1_stateful_ingest", """SELECT id, domain, city, store_count FROM (SELECT c.*, row_number() OVER (PARTITION BY c.city, c.domain ORDER BY c.seq) AS rn
+ FROM {candidates} c ANTI JOIN {prospects} p ON p.city = c.city AND p.domain = c.domain) WHERE rn = 1""")
+def _(v: Inputs):
+    orders = ingest.candidate_stream(v.spark, os.path.join(v.sf_dir, "orders.parquet"), v.orders.schema)
+    stream = v.spark.sql(STREAM_SQL, orders=orders, customer=v.customer, nation=v.nation)
+    folder = work_folder(v.spark, "ingest")
+    path = os.path.join(folder, "store")
+    ingest.start_stateful_ingest(
+        stream, path, os.path.join(folder, "checkpoint"), lambda df: df, ["pos"], v.prospects, now()
+    ).awaitTermination()
+    return store.read_or_empty(v.spark, path).select("id", "domain", "city", "store_count")
+
+
 _CHAIN = f"""WITH RECURSIVE chosen AS (
  SELECT page_id, city, url, content FROM {{contents}} WHERE content <> '' AND NOT (source = 2 AND length(content) <= 500)),
 texts AS (SELECT c.page_id, c.city, c.url, CASE WHEN s.content IS NOT NULL THEN c.content || chr(10) || chr(10) || repeat('=', 40) || chr(10)
