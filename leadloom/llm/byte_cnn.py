@@ -6,11 +6,14 @@ their rectified responses are max-pooled per chunk. The mean and the maximum of
 document are combined by a learned logistic layer into one probability.
 
 A filter is a table of one weight per (place, byte value), which is a convolution over one-hot bytes; scoring
-looks two bytes up at once in tables of their sums. Training is stochastic gradient descent on a bounded,
-documented sample of labelled rows; scoring reads whole texts in blocks of chunks.
-
-Null and empty texts score 0. Rows that repeat are scored alike. Without a labelled row of both kinds every
-text scores the share of label 1 among them (0.5 without any).
+looks two bytes up at once in tables of their sums. Training is stochastic gradient descent over the whole texts of
+at most ``SAMPLE_DOCUMENTS`` labelled rows per label, which the driver holds; scoring and training read a text in
+blocks of chunks.
+
+Null and empty texts score 0. Very long texts are read whole. Rows that repeat are scored alike, equal scores are left as
+they are. Without a labelled row of both kinds every text scores the share of label 1 among them (0.5 without any). An
+empty table gives an empty result. The result has the kept columns and the score; a kept column of its name, in any letter
+case, is an error.
 """
 
 from __future__ import annotations
@@ -30,11 +33,8 @@ WIDTH = 6
 FILTERS = 16
 #: Labelled documents per label to learn from, the least by a hash of the id.
 SAMPLE_DOCUMENTS = 1500
-#: Bytes of a sampled document at most, from a place that the hash gives.
-SAMPLE_BYTES = 2048
-EPOCHS = 12
-#: Small samples are gone through more often, up to so many steps.
-LEAST_STEPS = 600
+#: Steps of the descent, whatever the size of the sample.
+STEPS = 1100
 RATE = 0.05
 DECAY = 1e-4
 BATCH = 32
@@ -115,18 +115,16 @@ def train(rows: list[tuple[int, bytes]], seed: int = 7) -> Network:
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     chunks = [chunk_rows(t) for _, t in rows]
     filters, bias, wide, peak, offset = net.filters.copy(), net.bias.copy(), net.mean_weight, net.max_weight, net.offset
-    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(rows) // BATCH)))
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
+    done = 0
+    while done < STEPS:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
+            rate = RATE * max(0.0, 1 - done / STEPS)
+            done += 1
             chosen = order[at:at + BATCH]
-            step = net._replace(filters=filters)
             sizes = np.array([len(chunks[i]) for i in chosen])
             data = np.concatenate([chunks[i] for i in chosen])
-            raw = _plain_responses(data, step.filters)
-            where = raw.argmax(axis=1)
-            best = np.maximum(np.take_along_axis(raw, where[:, None, :], 1)[:, 0] + bias, 0)
+            where, best = _highest(data, filters, bias)
             firsts = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(chosen)), sizes)
             mean = np.add.reduceat(best, firsts, axis=0) / sizes[:, None]
@@ -155,19 +153,29 @@ def _plain_responses(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
     return out
 
 
+def _highest(rows: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[chunk, filter]: the place of the highest response, and that response after bias and rectification."""
+    where, best = [], []
+    for k in range(0, len(rows), PART_CHUNKS):
+        raw = _plain_responses(rows[k:k + PART_CHUNKS], filters)
+        where.append(raw.argmax(axis=1))
+        best.append(np.take_along_axis(raw, where[-1][:, None, :], 1)[:, 0])
+    return np.concatenate(where), np.maximum(np.concatenate(best) + bias, 0)
+
+
 def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[int, bytes]]:
-    """At most SAMPLE_DOCUMENTS (label, bytes) per label from the rows that may be learned from."""
+    """At most SAMPLE_DOCUMENTS whole texts (label, bytes) per label from the rows that may be learned from."""
     labelled = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("label"))
-    room = F.greatest(F.length(F.col(text_col)) - SAMPLE_BYTES, F.lit(0)) + 1
-    text = F.substring(F.col(text_col), F.pmod(F.xxhash64(id_col), room).cast("int") + 1, F.lit(SAMPLE_BYTES))
-    rows = sampled_texts(documents, labelled, text, SAMPLE_DOCUMENTS, id_col=id_col)
-    return [(y, t.encode()[:SAMPLE_BYTES]) for y, t in rows]
+    rows = sampled_texts(documents, labelled, F.col(text_col), SAMPLE_DOCUMENTS, id_col=id_col)
+    return sorted((r["label"], r["text"].encode()) for r in rows.toLocalIterator())
 
 
 def score(
     df: DataFrame, net: Network, text_col: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "score"
 ) -> DataFrame:
     """The kept columns of every row with its score."""
+    if name.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"name the score otherwise than {name}")
     made: list[np.ndarray] = []
 
     def run(texts: pa.Array) -> list[pa.Array]:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.sizing import checkpointed
+from leadloom.sizing import bounded_broadcast, checkpointed
 
 __all__ = [
     "HELD_OUT", "checkpointed", "held_out", "map_batches", "sampled_texts", "spans", "strings", "table", "text_groups", "unused_name", "with_columns_of",
@@ -31,24 +31,23 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(remainder == HELD_OUT, F.lit(True))
 
 
-def sampled_texts(
-    documents: DataFrame, labelled: DataFrame, text: Column, per_label: int, most_labels: int = 1000, id_col: str = "doc_id"
-) -> list[tuple]:
-    """At most ``per_label`` (label, text) of each of the ``most_labels`` most frequent labels, on the driver.
+def sampled_texts(documents: DataFrame, labelled: DataFrame, text: Column, per_label: int, id_col: str = "doc_id") -> DataFrame:
+    """(label, text) of at most ``per_label`` documents of each label, with whole texts.
 
     ``labelled`` has (id, label) of the rows that may be learned from. Ids are chosen by their hash before any
     text is read: a share that leaves about four times the wanted number per label, and of those the least. So
-    what is shuffled and broadcast does not grow with the corpus. Of rows that repeat an id the least text counts.
+    what is shuffled does not grow with the corpus, only with the number of labels. Of rows that repeat an id the least
+    text counts.
     """
     room = 1 << 30
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(most_labels)
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), 4.0 * per_label / F.col("n")) * room
-    few = labelled.join(F.broadcast(counts), "label").filter(F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(room)) < share)
+    few = labelled.join(bounded_broadcast(counts), "label").filter(F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(room)) < share)
     order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
     few = few.select("label", id_col).distinct().withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_label)
-    texts = documents.select(id_col, text.alias("_text")).filter("_text is not null").join(F.broadcast(few), id_col)
-    rows = texts.groupBy(id_col, "label").agg(F.min("_text").alias("_text")).select("label", "_text")
-    return sorted(map(tuple, rows.collect()))
+    few = bounded_broadcast(checkpointed(few.select("label", id_col)))
+    texts = documents.select(id_col, text.alias("text")).filter("text is not null").join(few, id_col)
+    return texts.groupBy(id_col, "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def strings(column: pa.Array) -> list[str]:

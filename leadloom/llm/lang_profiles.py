@@ -1,32 +1,33 @@
 """Language identification by rank-order profiles of letter n-grams.
 
-``train`` counts the n-grams of a bounded sample of labelled documents per language and keeps the ``PROFILE``
-most frequent in rank order. ``identify`` ranks each whole document's own most frequent n-grams and sums, per
+``learn`` counts the n-grams of whole documents, at most ``SAMPLE_DOCUMENTS`` per language, and keeps the ``PROFILE`` most
+frequent of each language in rank order. Counting is two grouped jobs, letters first and then n-grams; only the common
+letters and the profiles reach the driver. ``train`` is the same for texts at hand. ``identify`` ranks each whole document's own most frequent n-grams and sums, per
 language, how far out of place each stands; an n-gram that the profile lacks counts as ``PROFILE`` places. The
 language with the least distance wins, ties to the first name. The score is one minus the winner's share of the
 greatest possible distance.
 
-Null texts and texts without a letter give ``und`` with score 0. Rows that repeat are judged alike; null ids
-count as held out. With no learnable row every text is ``und``.
+Null and empty texts and texts without a letter give ``und`` with score 0. Very long texts are counted whole, in parts.
+Rows that repeat are judged alike; null ids count as held out. With no learnable row every text is ``und``; an empty table
+gives an empty result. The result has the kept columns and two new ones, under other ``names`` where a kept column has
+theirs. Every language that occurs is learned; a task holds a row of about 270,000 places for each.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import held_out, sampled_texts, with_columns_of
+from leadloom.llm.common import checkpointed, held_out, sampled_texts, strings, text_groups, with_columns_of
 
 #: Labelled documents per language to learn from, the least by a hash of the id.
 SAMPLE_DOCUMENTS = 400
-#: Characters of a sampled document at most: bounds the sample, which goes to the driver.
-SAMPLE_CHARS = 20_000
 #: N-grams of a profile, and most frequent n-grams of a document that are compared.
 PROFILE = 400
 LONGEST = 3
@@ -97,25 +98,76 @@ def _code_table(letters: dict[int, int], size: int) -> np.ndarray:
     return table
 
 
-def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCUMENTS (language, text) per language from the rows that may be learned from."""
+def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """(label, text) of at most SAMPLE_DOCUMENTS whole documents per language from the rows that may be learned from."""
     labelled = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(id_col, F.col(lang_col).alias("label"))
-    return sampled_texts(df, labelled, F.substring(text_col, 1, SAMPLE_CHARS), SAMPLE_DOCUMENTS, id_col=id_col)
+    return sampled_texts(df, labelled, F.col(text_col), SAMPLE_DOCUMENTS, id_col=id_col)
 
 
-def train(rows: list[tuple[str, str]]) -> Profiles:
-    tally = Counter(c for _, text in rows for c in text.lower())
+def common_letters(tally: dict[str, int]) -> dict[int, int]:
+    """Codes from 1 for the ALPHABET most frequent letters."""
     common = sorted((c for c in tally if c.isalpha()), key=lambda c: (-tally[c], c))[:ALPHABET]
-    letters = {ord(c): k + 1 for k, c in enumerate(sorted(common))}
+    return {ord(c): k + 1 for k, c in enumerate(sorted(common))}
+
+
+def _profiles(letters: dict[int, int], grams: dict[str, list[int]]) -> Profiles:
+    languages = sorted(grams)
+    places = np.full((len(languages), gram_space(len(letters) + 1)), PROFILE, np.int32)
+    for k, language in enumerate(languages):
+        places[k, grams[language]] = np.arange(len(grams[language]))
+    return Profiles(languages, letters, places)
+
+
+def train(rows: list[tuple[str, str]]) -> Profiles:
+    """Profiles of (language, text) rows at hand."""
+    letters = common_letters(Counter(c for _, text in rows for c in text.lower()))
     size = len(letters) + 1  # the last code stands for every other letter
     table = _code_table(letters, size)
-    languages = sorted({lang for lang, _ in rows})
-    places = np.full((len(languages), gram_space(size)), PROFILE, np.int32)
-    for k, language in enumerate(languages):
+    grams = {}
+    for language in {lang for lang, _ in rows}:
         counts = sum(count_grams(letter_codes(t, table), size) for lang, t in rows if lang == language)
-        grams = top_grams(counts, PROFILE)
-        places[k, grams] = np.arange(len(grams))
-    return Profiles(languages, letters, places)
+        grams[language] = top_grams(counts, PROFILE).tolist()
+    return _profiles(letters, grams)
+
+
+def learn(sampled: DataFrame) -> Profiles:
+    """Profiles of sampled (label, text) rows, counted where the rows are."""
+    sampled = checkpointed(sampled)
+
+    def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter = Counter()
+        for batch in batches:
+            for _, texts in text_groups(batch.column(0)):
+                for text in texts:
+                    tally.update(text.lower())
+        found = [(c, n) for c, n in tally.items() if c.isalpha()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["c", "n"])
+
+    tally = sampled.select("text").mapInArrow(count_letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    tally = tally.orderBy(F.desc("n"), "c").limit(ALPHABET)
+    letters = common_letters({r["c"]: r["n"] for r in tally.collect()})
+    size = len(letters) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _code_table(letters, size)
+        for batch in batches:
+            labels = np.array(strings(batch.column(0)), object)
+            for label in dict.fromkeys(labels):
+                total = np.zeros(gram_space(size), np.int64)
+                for at in np.flatnonzero(labels == label):
+                    total += count_grams(letter_codes(batch.column(1)[int(at)].as_py(), table), size)
+                held = np.flatnonzero(total)
+                columns = [pa.array([label] * len(held), pa.string()), pa.array(held), pa.array(total[held])]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "gram", "n"])
+
+    counts = sampled.select(F.col("label").cast("string").alias("label"), "text").mapInArrow(count, "label string, gram long, n long")
+    counts = counts.groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("label").orderBy(F.desc("n"), "gram")
+    best = counts.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PROFILE)
+    grams: dict[str, list[int]] = {r["label"]: [] for r in sampled.select(F.col("label").cast("string").alias("label")).distinct().collect()}
+    for r in sorted(best.collect(), key=lambda r: (r["label"], r["place"])):
+        grams[r["label"]].append(r["gram"])
+    return _profiles(letters, grams)
 
 
 def distances(text: str, profiles: Profiles, table: np.ndarray) -> np.ndarray | None:

@@ -65,7 +65,7 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = lang_profiles.train(lang_profiles.sample(table(spark, sf_dir, "documents", "doc_id", "text", "lang")))
+    profiles = lang_profiles.learn(lang_profiles.sample(table(spark, sf_dir, "documents", "doc_id", "text", "lang")))
     found = lang_profiles.identify(table(spark, sf_dir, "documents", "doc_id", "text"), profiles)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 

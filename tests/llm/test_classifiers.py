@@ -17,7 +17,7 @@ def network(spark):
 
 @pytest.fixture(scope="module")
 def profiles(spark):
-    return lang_profiles.train(lang_profiles.sample(spark.read.parquet(f"{DATA}/documents.parquet")))
+    return lang_profiles.learn(lang_profiles.sample(spark.read.parquet(f"{DATA}/documents.parquet")))
 
 
 def test_chunks_cover_every_window():
@@ -58,6 +58,8 @@ def test_quality_edges(spark, network):
     scores = {r.doc_id: r.score for r in got}
     assert len(got) == 6 and scores[1] == scores[2] == 0.0 and scores[3] == scores[None] and 0 <= scores[4] <= 1
     assert byte_cnn.score(df.limit(0), network).count() == 0
+    with pytest.raises(ValueError):
+        byte_cnn.score(df, network, keep=df.columns)
     kept = byte_cnn.score(df, network, keep=df.columns, name="q")
     assert kept.columns == ["doc_id", "text", "score", "q"]
 
@@ -76,10 +78,20 @@ def test_samples_leave_out_held_out_rows(spark):
     assert len(banned) > 500
     quality = byte_cnn.sample(docs, labels)
     assert 0 < len(quality) <= 2 * byte_cnn.SAMPLE_DOCUMENTS and not banned & {t.decode() for _, t in quality}
-    language = lang_profiles.sample(docs)
+    language = lang_profiles.sample(docs).collect()
     assert len(language) == lang_profiles.SAMPLE_DOCUMENTS and not banned & {t for _, t in language}
 
 
+def test_profiles_learned_where_the_rows_are(spark):
+    """Equal to those of the texts at hand, with whole long texts, and for more languages than a bound would keep."""
+    rows = [(f"l{k % 1100}", f"word{chr(97 + k % 13) * 3} aà {chr(97 + k % 7)}b") for k in range(2_200)]
+    rows += [("l1", "late " * 20_000 + "žžž qqq " * 9_000), ("l2", ""), ("l3", "漢字"), ("zz", "...")]
+    got = lang_profiles.learn(spark.createDataFrame(rows, "label string, text string").repartition(5))
+    want = lang_profiles.train(rows)
+    assert got.languages == want.languages and got.letters == want.letters and (got.places == want.places).all()
+    assert lang_profiles.learn(spark.createDataFrame([], "label string, text string")).languages == []
+
+
 def test_held_out_language(spark):
     out = QUERIES["op6_language"](spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
