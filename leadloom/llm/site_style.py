@@ -14,13 +14,15 @@ are below ``LEAST_IMPORTANCE``: a container of many styles stays where a part of
 that a host with a third of all pages is spread over all tasks.
 
 Elements whose tag, role or class says what they are (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) are removed from the page itself, which also serves hosts with too few pages for a tree. What
+comments, scripts) are removed from the page itself, which also serves hosts with too few pages for a tree. A class or id
+is only a hint: a block element stays in spite of it if it holds the page's heading and most of its text, or all of the
+text, as a wrapper does whose class tells what stands beside it (``no-sidebar``, ``has-comments``). What
 stays is cut to ``main`` or ``article`` where a page marks one. Inside such a marked part a branch is removed for
 low importance only if it is a container of its own and holds less than half of the text, so that pages that
 share their whole article keep it.
 
-Null and empty html give an empty text. A null url has the host ''. Rows that repeat give repeated rows; extra
-columns are not read.
+Null and empty html give an empty text. A null url has the host ''. Very long pages are read whole. Rows that repeat, or tie
+in url or html, give rows of their own. An empty table gives an empty result. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -92,14 +94,17 @@ class Block(NamedTuple):
     text: str
     main: bool
     article: bool
+    hinted: tuple[int, ...] = ()  # numbers of the elements around it whose class says noise
 
 
 class _Element:
-    __slots__ = ("article", "children", "label", "main", "name", "noise", "path")
+    __slots__ = ("article", "children", "hinted", "label", "main", "name", "noise", "path")
 
-    def __init__(self, name: str, label: str, path: str, noise: bool, main: bool, article: bool) -> None:
+    def __init__(
+        self, name: str, label: str, path: str, noise: bool, main: bool, article: bool, hinted: tuple[int, ...] = ()
+    ) -> None:
         self.name, self.label, self.path, self.noise = name, label, path, noise
-        self.main, self.article, self.children = main, article, []
+        self.main, self.article, self.children, self.hinted = main, article, [], hinted
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -109,16 +114,20 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _is_noise(name: str, attributes: dict[str, str], words: set[str], inside: bool) -> bool:
+def _is_noise(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether tag, role or attributes say so."""
     if name in NOISE_TAGS or (name == "header" and not inside):
         return True
     if name in NEVER_NOISE or not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if attributes.get("role", "").strip().lower() in NOISE_ROLES or HIDDEN.search(attributes.get("style", "")):
-        return True
-    if name == "main":
+    return attributes.get("role", "").strip().lower() in NOISE_ROLES or bool(HIDDEN.search(attributes.get("style", "")))
+
+
+def _is_hinted(name: str, words: set[str], inside: bool) -> bool:
+    """Whether a word of class or id says so."""
+    if name in NEVER_NOISE or name == "main":
         return False
     return bool(words & NOISE_WORDS) or (not inside and bool(words & OUTER_WORDS))
 
@@ -131,8 +140,10 @@ class _Page:
         self.stack = [self.root]
         self.open: Counter[str] = Counter()
         self.blocks: list[Block] = []
-        self.styles: list[tuple[str, str]] = []
+        self.styles: list[tuple[str, str, tuple[int, ...]]] = []
         self.pieces: list[str] = []
+        self.hints = 0
+        self.headed: set[int] = set()  # hinted elements that hold a heading of the page
 
     def text(self, source: str) -> None:
         if not self.stack[-1].noise:
@@ -144,7 +155,7 @@ class _Page:
             self.pieces = []
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(top.path, text, top.main, top.article))
+                self.blocks.append(Block(top.path, text, top.main, top.article, top.hinted))
 
     def start(self, name: str, source: str) -> None:
         if name == "br":
@@ -161,7 +172,9 @@ class _Page:
         top = self.stack[-1]
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         words = {w.lower() for w in WORD.findall(named)}
-        own_noise = _is_noise(name, attributes, words, top.main or top.article)
+        inside = top.main or top.article
+        hinted = _is_hinted(name, words, inside)
+        own_noise = _is_noise(name, attributes, inside) or (hinted and not block)
         if not block and not (top.noise or own_noise):
             return
         if block:
@@ -175,7 +188,13 @@ class _Page:
         role = attributes.get("role", "").lower()
         main = top.main or (not noise and (name == "main" or role == "main" or attributes.get("itemprop") == "articleBody"))
         article = top.article or (not noise and (name == "article" or role == "article"))
-        self.stack.append(_Element(name, label, path, noise, main, article))
+        around = top.hinted
+        if hinted and block:
+            self.hints += 1
+            around = (*around, self.hints)
+        if name == "h1" and not noise:
+            self.headed.update(around)
+        self.stack.append(_Element(name, label, path, noise, main, article, around))
         self.open[name] += 1
 
     def end(self, name: str) -> None:
@@ -192,7 +211,7 @@ class _Page:
         self.open[done.name] -= 1
         if not done.noise and done.children:
             kept = [c for k, c in enumerate(done.children) if not k or c != done.children[k - 1]]
-            self.styles.append((done.path, " ".join(kept)))
+            self.styles.append((done.path, " ".join(kept), done.hinted))
         return done
 
     def _imply_ends(self, name: str) -> None:
@@ -211,6 +230,18 @@ class _Page:
         while len(self.stack) > 1:
             self._close()
 
+    def wrappers(self) -> set[int]:
+        """The hinted elements that hold a heading and more than half of the text, or else all of it."""
+        held: Counter[int] = Counter()
+        for b in self.blocks:
+            for k in b.hinted:
+                held[k] += len(b.text)
+        total = sum(len(b.text) for b in self.blocks)
+        found = {k for k in self.headed if 2 * held[k] > total}
+        if any(found.issuperset(b.hinted) for b in self.blocks):
+            return found
+        return found | {k for k, n in held.items() if n == total}
+
 
 LISTS, TABLES = frozenset("ul ol menu dir".split()), frozenset(("table",))
 CONTAINERS = BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -242,8 +273,10 @@ def parse(source: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 page.start(name, token["attributes"])
     page.text(source[at:])
     page.finish()
-    chosen = [b for b in page.blocks if b.main] or [b for b in page.blocks if b.article] or page.blocks
-    return chosen, page.styles
+    kept = page.wrappers()
+    blocks = [b for b in page.blocks if kept.issuperset(b.hinted)]
+    chosen = [b for b in blocks if b.main] or [b for b in blocks if b.article] or blocks
+    return chosen, [(path, style) for path, style, hinted in page.styles if kept.issuperset(hinted)]
 
 
 def _prefixes(path: str) -> list[str]:

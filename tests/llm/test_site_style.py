@@ -38,6 +38,23 @@ def test_small_pages(source, text):
     assert site_style.extract(source) == text
 
 
+@pytest.mark.parametrize("names", [
+    "no-sidebar", "content with-sidebar", "post has-comments", "layout sidebar-right", "blog-post single widget-area", "entry hentry tag-news tags",
+    "page-search", "article rating", "post share-buttons-on",
+])
+@pytest.mark.parametrize("page", ["<div class='{}'>{}</div>", "<article class='{}'>{}</article>", "<main><div class='{}'>{}</div></main>", "<section id='{}'><div>{}</div></section>"])
+def test_wrappers_keep_their_article(names, page):
+    body = "<h1>Head</h1><p>One two three four five</p><div class='sidebar'>Others</div><div class='comments'><p>First!</p></div><p>six</p>"
+    around = "<div class='main-menu'>Home</div>" + page.format(names, body) + "<div class='related'>More</div>"
+    assert site_style.extract(f"<body>{around}</body>") == "Head\nOne two three four five\nsix"
+    assert site_style.extract(page.format(names, "<p>Only</p><p>text</p>")) == "Only\ntext"
+
+
+def test_long_comments_still_go():
+    page = "<div class=post><h1>Head</h1><p>Short</p></div><div class=comments>" + "<p>a long remark</p>" * 50 + "</div>"
+    assert site_style.extract(page) == "Head\nShort"
+
+
 def test_broken_markup_takes_linear_time():
     for source in ("<div>" * 50_000 + "x", '<a href="' * 20_000, "<p " * 50_000, "<" * 100_000, "<!--" * 50_000, "<b><p>" * 20_000):
         site_style.extract(source)
