@@ -6,7 +6,8 @@ prospect visits blocks in the order of that bound and stops once it falls below
 
 Blocks reach the tasks in waves of bounded size, one broadcast each. Prospects stay in their partitions: a wave is one more
 step over the same rows, which carry their winners so far, so a later wave starts with the k-th score of the earlier ones.
-No prospect is ever copied or shuffled, whatever the number of clients.
+Between waves the rows are checkpointed, as steps in one stage would each keep a Python worker. No prospect is ever copied
+or shuffled, whatever the number of clients.
 """
 
 from __future__ import annotations
@@ -150,8 +151,9 @@ def top_similar_bounded(
     ])
     none = [F.array().cast(kinds[c].dataType).alias(c) for c in ("ids", "cos")]
     state = prospects.select(key, vectors.unit(vectors.as_doubles(F.col(vector))).alias("v"), *none).filter("v is not null")
-    for numbers in _waves(blocks, client_key, wave_bytes):
+    for turn, numbers in enumerate(_waves(blocks, client_key, wave_bytes)):
         own = F.col("block").between(numbers[0], numbers[-1])
+        state = checkpointed(state) if turn else state
         state = state.mapInArrow(_visit(blocks.filter(own), client_key, k, products), kinds)
     ranked = state.select(key, F.posexplode(F.arrays_zip("ids", "cos")).alias("place", "hit"))
     ranked = ranked.select(

@@ -6,8 +6,8 @@ nodes, drawn anew from layer to layer, forms sparser layers above, whose links s
 written once and used for any number of searches.
 
 A search comes down the layers to a good start and then widens a beam over the lowest one, for all prospects of an Arrow
-batch in step. Shards reach the tasks in waves of bounded size; prospects carry their winners from wave to wave and are
-neither shuffled nor copied. Pays off where shards are large: below some ten thousand clients ``top_similar`` is faster.
+batch in step. Shards reach the tasks in waves of bounded size; prospects carry their winners from wave to wave, with a
+checkpoint between, and are neither shuffled nor copied. Pays off where shards are large: below some ten thousand clients ``top_similar`` is faster.
 """
 
 from __future__ import annotations
@@ -242,9 +242,10 @@ def similar_by_graph(
     none = [F.array().cast(kinds[c].dataType).alias(c) for c in ("ids", "cos")]
     state = prospects.select(key, vectors.unit(vectors.as_doubles(F.col(vector))).alias("v"), *none).filter("v is not null")
     sizes = graphs.groupBy("shard").agg(F.sum(F.size("u") * 8 + LINKS * 20).alias("bytes")).orderBy("shard").collect()
-    wave, room = [], wave_bytes
+    wave, room, turn = [], wave_bytes, 0
     for r in [*sizes, None]:
         if wave and (r is None or r["bytes"] > room):
+            state, turn = checkpointed(state) if turn else state, turn + 1
             state = state.mapInArrow(_visit(graphs, wave, client_key, k, beam, products), kinds)
             wave, room = [], wave_bytes
         if r is not None:

@@ -85,5 +85,5 @@ def test_prospects_are_neither_shuffled_nor_copied(spark):
     blocks = cb.store_blocks(frame_of(spark, rng.normal(size=(200, 8)), "client_id"), lists=5)
     found = cb.top_similar_bounded(frame_of(spark, rng.normal(size=(20, 8)), "vec_id"), blocks, 3, wave_bytes=3_000)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") >= 3
+    assert plan.count("MapInArrow") == 1  # steps of earlier waves are checkpointed, or each would keep a Python worker
     assert "Exchange" not in plan and "Join" not in plan and plan.count("Generate") == 1  # the winners, at the end
