@@ -133,3 +133,29 @@ def test_top_k_of_many_columns(copies):
     rows, cols, rank = similarity._top_k(product, 5)
     want = [(i, j, r + 1) for i in range(20) for r, j in enumerate(sorted(range(product.shape[1]), key=lambda j: (-product[i, j], j))[:5])]
     assert list(zip(rows.tolist(), cols.tolist(), rank.tolist())) == want
+@pytest.mark.parametrize("probes", [1, 5, 40])
+def test_winners_held_do_not_grow_with_the_lists(monkeypatch, probes):
+    """Small whole numbers give ties between lists; the least member wins them."""
+    rng = np.random.default_rng(probes)
+    x, _ = similarity._unit_rows(rng.integers(1, 4, (50, 2)).astype(float))
+    unit, _ = similarity._unit_rows(rng.integers(1, 4, (300, 2)).astype(float))
+    lists = rng.integers(0, 40, 300)
+    members = np.argsort(lists, kind="stable")
+    starts = np.searchsorted(lists[members], np.arange(41))
+    wanted = np.argsort(rng.random((50, 40)), axis=1) < probes
+    monkeypatch.setattr(similarity, "HELD", 400)
+    most, merge = [], similarity._best_of
+    monkeypatch.setattr(similarity, "_best_of", lambda rows, *rest: most.append(len(rows)) or merge(rows, *rest))
+    monkeypatch.setattr(similarity, "_top_k", lambda product, k, top=similarity._top_k: top(np.round(product, 12), k))
+    got = {i: [] for i in range(50)}
+    for rows, which, _, _ in similarity._rank_lists(x, wanted, members, starts, unit, 6):
+        for r, w in zip(rows.tolist(), which.tolist()):
+            got[r].append(w)
+    for i in range(50):
+        own = np.flatnonzero(wanted[i][lists])
+        s = x[i] @ unit[own].T
+        best = sorted(np.round(s, 9).tolist())[::-1][:6]
+        assert np.round(x[i] @ unit[got[i]].T, 9).tolist() == best and set(got[i]) <= set(own.tolist())
+    assert max(most) <= 400 + 2 * 50 * 6
+
+
