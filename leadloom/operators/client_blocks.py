@@ -2,10 +2,11 @@
 
 Clients are dealt into blocks around centroids and stored once, each block with its centre and the widest angle between
 the centre and a member. No member can be closer to a prospect than the angle to the centre less that width, so a
-prospect visits blocks in the order of that bound and stops once it falls below its k-th score.
+prospect visits its nearest blocks first, then only those whose bound reaches its k-th score.
 
 Blocks reach the tasks in waves of bounded size, one broadcast each. Prospects stay in their partitions: a wave is one more
 step over the same rows, which carry their winners so far, so a later wave starts with the k-th score of the earlier ones.
+As a wave reads and writes all prospects, waves are larger than asked for, up to ``WAVE_BYTES``, where there would be many.
 Between waves the rows are checkpointed, as steps in one stage would each keep a Python worker. No prospect is ever copied
 or shuffled, whatever the number of clients.
 """
@@ -28,6 +29,10 @@ from leadloom.operators.similarity import _best_of, _list_matrix, _top_k, _unit_
 from leadloom.sizing import bounded_broadcast, checkpointed, work_folder
 
 WAVE_BYTES = 128 << 20
+#: Waves that smaller bounds than that may lead to.
+WAVES = 8
+#: Blocks that a prospect visits in the order of their bounds, before the others are visited block by block.
+FIRST = 4
 #: Members of a block; a larger list is dealt into several blocks with bounds of their own.
 BLOCK_ROWS = 4096
 #: Scores are compared with so many decimals, so that equal clients tie whatever block they are in.
@@ -92,40 +97,89 @@ def make_wave(block: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> Wave:
     return Wave(ids, unit, starts, centres, widths)
 
 
+def _merged(rows, ids, cos, found, n: int, k: int):
+    """The winners with those found; only rows for which something was found are ranked again."""
+    new = np.zeros(n, bool)
+    for r, _, _ in found:
+        new[r] = True
+    again = new[rows]
+    found = [(rows[again], ids[again], cos[again]), *found]
+    ranked = _best_of(*(np.concatenate(f) for f in zip(*found)), k)[:3]
+    rows, ids, cos = (np.concatenate([old[~again], own]) for old, own in zip((rows, ids, cos), ranked))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], ids[order], cos[order]
+
+
+def _k_th(rows: np.ndarray, cos: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th score of every row that has k winners."""
+    least = np.full(n, -np.inf)
+    last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.zeros(0, bool)
+    full = np.bincount(rows, minlength=n) == k
+    least[rows[last]] = np.where(full[rows[last]], cos[last], -np.inf)
+    return least
+
+
+def _in_block(wave: Wave, b: int, x: np.ndarray, own: np.ndarray, least: np.ndarray, k: int):
+    """Candidates (rows, ids, cos) of the rows ``own`` in a block: all that can be among the winners."""
+    lo, hi = wave.starts[b], wave.starts[b + 1]
+    step = max(1, PRODUCT_CELLS // (hi - lo))
+    for at in range(0, len(own), step):
+        some = own[at:at + step]
+        product = x[some] @ wave.unit[lo:hi].T
+        r = None
+        if np.isfinite(least[some]).all():  # only what reaches the k-th score can win
+            r, c = np.divmod(np.flatnonzero(product >= least[some, None] - 10.0**-DECIMALS), hi - lo)
+        if r is None or len(r) > k * len(some):
+            product = np.round(product, DECIMALS)
+            r, c, _ = _top_k(product, k)
+        if len(r):
+            yield some[r], wave.ids[lo:hi][c], np.round(product[r, c], DECIMALS)
+
+
 def search(wave: Wave, x: np.ndarray, k: int, rows: np.ndarray, ids: np.ndarray, cos: np.ndarray):
-    """Winners (rows, ids, cos), by row and rank, after this wave, given those before it; and the products computed."""
+    """Winners (rows, ids, cos), by row and rank, after this wave, given those before it; and the products computed.
+
+    Every row visits its ``FIRST`` nearest blocks, one after the other, which settles most of its k-th score; the blocks that
+    may still hold a winner are then visited by all such rows at once, as one product per block.
+    """
     away = np.arccos(np.clip(x @ wave.centres.T, -1, 1))
-    bound = np.cos(np.maximum(away - wave.widths, 0))
-    order = np.argsort(-bound, axis=1, kind="stable")
-    products, turn = 0, 0
-    while turn < order.shape[1]:
-        least = np.full(len(x), -np.inf)
-        full = np.bincount(rows, minlength=len(x)) == k
-        last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.zeros(0, bool)
-        least[rows[last]] = np.where(full[rows[last]], cos[last], -np.inf)
+    bound = np.cos(np.maximum(away - wave.widths, 0)) + 10.0**-DECIMALS
+    sizes = np.diff(wave.starts)
+    first = min(FIRST, bound.shape[1])
+    order = np.argsort(-bound, axis=1, kind="stable")[:, :first]
+    products = 0
+    least = _k_th(rows, cos, len(x), k)
+    for turn in range(first):
         block = order[:, turn]
-        active = np.flatnonzero(bound[np.arange(len(x)), block] >= least - 10.0**-DECIMALS)
+        active = np.flatnonzero(bound[np.arange(len(x)), block] >= least)
         if not len(active):
-            break  # bounds only fall from here
-        found = [(rows, ids, cos)]
+            return rows, ids, cos, products  # bounds only fall from here
+        found = []
         for b in np.unique(block[active]):
             own = active[block[active] == b]
-            lo, hi = wave.starts[b], wave.starts[b + 1]
-            step = max(1, PRODUCT_CELLS // (hi - lo))
-            for at in range(0, len(own), step):
-                some = own[at:at + step]
-                product = np.round(x[some] @ wave.unit[lo:hi].T, DECIMALS)
-                r, c, _ = _top_k(product, k)
-                found.append((some[r], wave.ids[lo:hi][c], product[r, c]))
-                products += product.size
-        rows, ids, cos, _ = _best_of(*(np.concatenate(f) for f in zip(*found)), k)
-        turn += 1
+            products += len(own) * int(sizes[b])
+            found += _in_block(wave, b, x, own, least, k)
+        if found:
+            rows, ids, cos = _merged(rows, ids, cos, found, len(x), k)
+            least = _k_th(rows, cos, len(x), k)
+    np.put_along_axis(bound, order, -np.inf, axis=1)  # visited; -inf reaches only a row without k winners
+    for b in np.argsort(-bound.max(axis=0, initial=-np.inf), kind="stable"):
+        own = np.flatnonzero((bound[:, b] >= least) & (bound[:, b] > -np.inf))
+        if not len(own):
+            continue
+        products += len(own) * int(sizes[b])
+        found = list(_in_block(wave, b, x, own, least, k))
+        if found:
+            rows, ids, cos = _merged(rows, ids, cos, found, len(x), k)
+            least = _k_th(rows, cos, len(x), k)
     return rows, ids, cos, products
 
 
 def _waves(blocks: DataFrame, client_key: str, wave_bytes: int) -> list[list[int]]:
-    """Block numbers per wave, filled in the order of their numbers; sizes come from one grouped count."""
+    """Block numbers per wave, filled in the order of their numbers; sizes come from one grouped count. Some ``WAVES`` at
+    most, unless they would exceed ``WAVE_BYTES``."""
     sizes = blocks.groupBy("block").agg(F.sum(F.size("u") * 8).alias("bytes")).orderBy("block").collect()
+    wave_bytes = max(wave_bytes, min(WAVE_BYTES, math.ceil(sum(r["bytes"] for r in sizes) / WAVES)))
     waves, room = [], 0
     for r in sizes:
         if not waves or r["bytes"] > room:

@@ -87,3 +87,13 @@ def test_prospects_are_neither_shuffled_nor_copied(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1  # steps of earlier waves are checkpointed, or each would keep a Python worker
     assert "Exchange" not in plan and "Join" not in plan and plan.count("Generate") == 1  # the winners, at the end
+
+
+def test_waves_stay_few(spark):
+    """Every wave reads and writes all prospects, so a small bound does not make one per block."""
+    rng = np.random.default_rng(6)
+    blocks = cb.store_blocks(frame_of(spark, rng.normal(size=(400, 8)), "client_id"), lists=40, block_rows=5)
+    numbers = cb._waves(blocks, "client_id", 1)
+    assert len(numbers) <= 2 * cb.WAVES
+    held = [b for wave in numbers for b in wave]
+    assert held == sorted(held) and len(set(held)) == len(held) == blocks.select("block").distinct().count() > 40
