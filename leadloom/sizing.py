@@ -88,3 +88,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, but in columns: smaller, and later reads take only the columns that they need. What Parquet cannot
+    hold is checkpointed."""
+    names = [c.lower() for c in df.columns]
+    kinds = df.schema.simpleString()
+    if len(set(names)) < len(names) or "void" in kinds or "interval" in kinds or "variant" in kinds:
+        return checkpointed(df)
+    path = work_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """The stored tables: Parquet, prospects partitioned by city.
 
 Appends are ordinary Parquet appends. A change rewrites only the cities it touches; the new rows are
-checkpointed to shared storage first, because the partitions to be replaced are also what was read.
+stored apart first, because the partitions to be replaced are also what was read.
 
 Every file keeps a Bloom filter of its ids, written with the rows and so never out of date. A few ids are looked up by
 equality, which reads only the row groups whose filter may hold them; what it lets through falsely is filtered by value.
@@ -20,13 +20,15 @@ from leadloom.functions import keys
 from leadloom.operators.common import top_per_key
 from leadloom.operators.writes import delete_ids, only_cities_of, update_status, upsert, with_insert_defaults
 from leadloom.schemas import PROSPECTS
-from leadloom.sizing import checkpointed
+from leadloom.sizing import checkpointed, stored
 
 
 #: Parquet's own Bloom filter of the id column, as large as a file's ids need.
 ID_FILTER = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: Ids up to which a change looks them up by equality; so many of a list are passed to the files as equalities by default.
 FEW_IDS, IDS_TOGETHER = 200, 10
+#: Ids that are looked at before a list is searched whole for so few different ones.
+FIRST_IDS = 10_000
 
 #: Folder name of rows without a city: a blank partition value would come back as null.
 NO_CITY = "__no_city__"
@@ -82,10 +84,10 @@ def append_prospects(rows: DataFrame, path: str, now=None) -> None:
 def _rewrite(spark: SparkSession, path: str, rows: DataFrame, touched: DataFrame | None) -> None:
     """Replace the ``touched`` cities (default: those of ``rows``) by ``rows``; all others stay as they are.
 
-    The rows are checkpointed once, as their source is about to be overwritten. A touched city without rows
+    The rows are stored once, as their source is about to be overwritten. A touched city without rows
     loses its folder, since a rewrite replaces only folders that it has rows for.
     """
-    kept = checkpointed(rows)
+    kept = stored(rows)
     (
         _foldered(kept).hint("rebalance", F.col("city"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**ID_FILTER).partitionBy("city").parquet(path)
@@ -128,9 +130,11 @@ def drop_cities(spark: SparkSession, path: str, cities: DataFrame) -> None:
 def with_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The stored rows with one of the ids. A few ids reach the files, so that only row groups are read whose Bloom filter
     may hold them; more are joined."""
-    few = sorted(r["id"] for r in ids.select("id").filter("id is not null").distinct().limit(FEW_IDS + 1).collect())
-    if len(few) > FEW_IDS:
-        return table.join(ids.select("id"), "id", "left_semi")
+    known = ids.select("id").filter("id is not null")
+    for some in (known.limit(FIRST_IDS), known):  # the first ones show most long lists for what they are
+        few = sorted(r["id"] for r in some.distinct().limit(FEW_IDS + 1).collect())
+        if len(few) > FEW_IDS:
+            return table.join(ids.select("id"), "id", "left_semi")
     hit = F.lit(False)
     for at in range(0, len(few), IDS_TOGETHER):
         some = F.col("id").isin(few[at:at + IDS_TOGETHER])
@@ -165,11 +169,11 @@ def upsert_prospects(
     Of rows that repeat an id the one that sorts first by all overwritten columns counts.
     """
     ready = conform(with_insert_defaults(incoming, now)).withColumn("city", F.coalesce(keys.city_key("city"), F.lit("")))
-    ready = top_per_key(ready, ["id"], [F.col(c) for c in overwrite])
+    ready = stored(top_per_key(ready, ["id"], [F.col(c) for c in overwrite]))  # read three times, mostly for ids and cities
     table = read_or_empty(spark, path)
-    known = _touched(table, ready)
-    strangers = ready.join(table.select("id"), "id", "left_anti").select("city")
-    touched = checkpointed(known.unionByName(strangers).distinct())
+    found = with_ids(table.select("id", F.col("city").alias("held_in")), ready)
+    touched = ready.select("id", "city").join(found, "id", "left").select(F.coalesce("held_in", "city").alias("city"))
+    touched = checkpointed(touched.distinct())
     _rewrite(spark, path, conform(upsert(_of_cities(table, touched), ready, "id", list(overwrite), now)), touched)
 
 

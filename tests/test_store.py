@@ -187,3 +187,22 @@ def test_changes_through_the_filters(spark, tmp_path):
     assert [r.status for r in table.filter("id = 'id-8'").collect()] == ["contacted"]
     store.drop_cities(spark, path, spark.createDataFrame([(" CITY 1",), ("city 3",), ("nowhere",), (None,)], "city string"))
     assert store.read_prospects(spark, path).select("city").distinct().count() == 3
+
+
+def test_upsert_computes_what_comes_in_once(spark, tmp_path):
+    path = str(tmp_path / "prospects")
+    ids = [(f"i{k:03}", f"n{k}", f"https://s{k}.example/", f"s{k}.example", f"c{k % 3}") for k in range(300)]
+    schema = "id string, name string, website_url string, domain string, city string"
+    store.append_prospects(spark.createDataFrame(ids[:200], schema), path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    incoming = spark.createDataFrame([(i, n + "!", u, d, "c9") for i, n, u, d, _ in ids[100:]], schema).mapInArrow(counted, schema)
+    store.upsert_prospects(spark, path, incoming)
+    assert seen.value == 200
+    got = {r.id: (r.name, r.city) for r in store.read_prospects(spark, path).collect()}
+    assert got == {i: (n + "!" if k >= 100 else n, c if k < 200 else "c9") for k, (i, n, _, _, c) in enumerate(ids)}
