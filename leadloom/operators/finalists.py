@@ -16,7 +16,7 @@ from leadloom.functions import keys
 from leadloom.functions.automaton import WordFinder
 from leadloom.functions.exprs import as_col, strip
 from leadloom.operators.common import top_per_key
-from leadloom.sizing import bounded_broadcast, checkpointed
+from leadloom.sizing import bounded_broadcast, checkpointed, stored
 
 FOLD_LIMIT = 200
 #: Leads of a city that are walked in the first pass, and at most in any; characters of names in a pass and in a group.
@@ -78,7 +78,7 @@ def dedupe_leads(leads: DataFrame, pos: str = "pos", fold_limit: int = FOLD_LIMI
     with at most ``fold_limit`` such rows are folded; larger ones are walked in stretches, to the same end.
     """
     row = unused_name(leads, "_row")
-    numbered = checkpointed(leads.withColumn(row, F.monotonically_increasing_id()))
+    numbered = stored(leads.withColumn(row, F.monotonically_increasing_id()))
     turn = _turn(as_col(pos), F.col("name_key"), F.col("domain"), F.col(row))
     work = _usable(numbered).select(
         F.coalesce(F.concat(F.lit("="), F.col("city").cast("string")), F.lit("")).alias("city"), "domain", "name_key", turn.alias("p"),
