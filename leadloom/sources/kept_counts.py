@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import keys
 from leadloom.operators import analytics
 from leadloom.operators.writes import only_cities_of, with_insert_defaults
-from leadloom.sizing import bounded_broadcast, checkpointed, remove_folder
+from leadloom.sizing import bounded_broadcast, checkpointed, remove_folder, stored
 from leadloom.sources import store
 
 KEY = ["city", "status", "final_score"]
@@ -48,7 +48,7 @@ class CountedStore:
         self.spark, self.path, self.counts_path = spark, path, counts_path
 
     def append(self, rows: DataFrame, name: str, now: Column | None = None) -> None:
-        ready = checkpointed(store.conform(with_insert_defaults(rows, now)))
+        ready = stored(store.conform(with_insert_defaults(rows, now)))
         self._change(name, ready, lambda: store.append_prospects(ready, self.path, now), lambda: [count_rows(ready)])
 
     def change_status(self, changes: DataFrame, name: str, order: str = "change_no", now: Column | None = None) -> None:
