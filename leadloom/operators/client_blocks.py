@@ -7,8 +7,8 @@ prospect visits its nearest blocks first, then only those whose bound reaches it
 Blocks reach the tasks in waves of bounded size, one broadcast each. Prospects stay in their partitions: a wave is one more
 step over the same rows, which carry their winners so far, so a later wave starts with the k-th score of the earlier ones.
 As a wave reads and writes all prospects, waves are larger than asked for, up to ``WAVE_BYTES``, where there would be many.
-Between waves the rows are checkpointed, as steps in one stage would each keep a Python worker. No prospect is ever copied
-or shuffled, whatever the number of clients.
+Between waves the rows are checkpointed, as steps in one stage would each keep a Python worker. No prospect is ever copied,
+whatever the number of clients; they are dealt anew, once, only where they lie in few partitions.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from leadloom.functions import vectors
 from leadloom.operators.similarity import _best_of, _list_matrix, _top_k, _unit_rows
-from leadloom.sizing import bounded_broadcast, checkpointed, work_folder
+from leadloom.sizing import bounded_broadcast, checkpointed, evenly_dealt, work_folder
 
 WAVE_BYTES = 128 << 20
 #: Waves that smaller bounds than that may lead to.
@@ -205,6 +205,7 @@ def top_similar_bounded(
     ])
     none = [F.array().cast(kinds[c].dataType).alias(c) for c in ("ids", "cos")]
     state = prospects.select(key, vectors.unit(vectors.as_doubles(F.col(vector))).alias("v"), *none).filter("v is not null")
+    state = evenly_dealt(state)
     for turn, numbers in enumerate(_waves(blocks, client_key, wave_bytes)):
         own = F.col("block").between(numbers[0], numbers[-1])
         state = checkpointed(state) if turn else state

@@ -2,12 +2,14 @@
 
 Clients are dealt into shards of bounded size. Each shard becomes a graph, built in one task: every node has its nearest
 nodes in different directions as neighbours, links go both ways, and parts that would stay apart are linked. A share of the
-nodes, drawn anew from layer to layer, forms sparser layers above, whose links span longer ways. The graphs are a table,
-written once and used for any number of searches.
-
-A search comes down the layers to a good start and then widens a beam over the lowest one, for all prospects of an Arrow
-batch in step. Shards reach the tasks in waves of bounded size; prospects carry their winners from wave to wave, with a
-checkpoint between, and are neither shuffled nor copied. Pays off where shards are large: below some ten thousand clients ``top_similar`` is faster.
+nodes, drawn anew from layer to layer, forms sparser layers above, whose links span longer ways. Shards that fit a wave
+together are then joined: every node also has the nearest nodes of all of them, in different directions, and the ways back.
+The graphs are a table, written once and used for any number of searches.
+
+A search compares a prospect with a sparse layer, as a whole where that is small enough, and widens a beam over the layers
+below, for all prospects of an Arrow batch in step. Shards reach the tasks in waves of bounded size, those of a wave as one
+graph; prospects carry their winners from wave to wave, with a checkpoint between. They are not copied, and dealt anew only
+where they lie in few partitions. Pays off where waves are large: below some ten thousand clients ``top_similar`` is faster.
 """
 
 from __future__ import annotations
@@ -25,28 +27,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.functions import vectors
+from leadloom.operators.common import top_per_key
 from leadloom.operators.similarity import _best_of, _list_matrix, _top_k
-from leadloom.sizing import checkpointed, work_folder
+from leadloom.sizing import checkpointed, evenly_dealt, remove_folder, work_folder
 
 SHARD_ROWS = 65_536
 WAVE_BYTES = 128 << 20
 #: Links that a node chooses in a layer; with those of others it has at most twice as many.
 LINKS = 16
-#: Width of the beam, nodes opened per step, prospects in step.
-BEAM, OPENED, ROWS_IN_STEP = 96, 4, 512
-#: Nodes of the second layer from which the lowest one is searched.
+#: Width of the beam at least, nodes opened per step at least, prospects in step.
+BEAM, OPENED, ROWS_IN_STEP = 96, 16, 512
+#: Winners more than asked for that single precision leaves to double.
+SPARE = 4
+#: Nodes from which a layer between the top and the lowest one is searched.
 STARTS = 24
-PRODUCT_CELLS = 4_000_000
+#: A layer of so many nodes is compared with as a whole, in place of a descent through the layers above it.
+PLAIN_NODES = 16_384
+#: Cells of a product, components of clients gathered at a time, and pairs of a prospect in step and a node.
+PRODUCT_CELLS, GATHERED, STEP_CELLS = 4_000_000, 500_000, 1 << 24
 
 
 def store_graph(
     clients: DataFrame, client_key: str = "client_id", vector: str = "embedding", path: str | None = None,
     shard_rows: int = SHARD_ROWS, links: int = LINKS, seed: int = 7,
 ) -> DataFrame:
-    """Write the graphs (shard, node, client, u, links) and read them back; ``links`` has a list per layer of the node.
+    """Write the graphs (shard, node, client, u, links, across) and read them back.
 
-    Clients without a direction are left out.
+    ``links`` has a list per layer of the node; ``across`` has the addresses of neighbours in all shards that were joined with
+    its own. Clients without a direction are left out.
     """
+    spark = clients.sparkSession
     unit = vectors.unit(vectors.as_doubles(F.col(vector)))
     rows = checkpointed(clients.select(client_key, unit.alias("u")).filter("u is not null"))
     shards = max(1, math.ceil(rows.count() / shard_rows))
@@ -60,37 +70,95 @@ def store_graph(
         graph = layers(np.array(pdf["u"].tolist(), dtype=np.float64), links, seed)
         return pdf.assign(node=np.arange(len(pdf), dtype=np.int32), links=graph)[schema.names]
 
-    path = path or work_folder(clients.sparkSession, "neighbour_graph")
+    path = path or work_folder(spark, "neighbour_graph")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(client_key), F.lit(shards)))
-    rows.groupBy("shard").applyInPandas(build, schema).write.parquet(path)
-    return clients.sparkSession.read.schema(schema).parquet(path)
+    built = rows.groupBy("shard").applyInPandas(build, schema)
+    if shards == 1:
+        built.withColumn("across", F.array().cast("array<bigint>")).write.parquet(path)
+    else:
+        parts = work_folder(spark, "neighbour_graph_parts")
+        built.write.parquet(parts)
+        _join(spark.read.schema(schema).parquet(parts), links, path)
+        remove_folder(spark, parts)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("across", T.ArrayType(T.LongType()))])).parquet(path)
+
+
+def _address(shard, node):
+    return shard * (1 << 32) + node
+
+
+def _join(graphs: DataFrame, most: int, path: str) -> None:
+    """Link the shards of each wave: to the nearest nodes in different directions, and back from them, nearest first."""
+    spark = graphs.sparkSession
+    ways = work_folder(spark, "neighbour_graph_ways")
+    for wave in _waves(graphs, WAVE_BYTES):
+        own = graphs.filter(F.col("shard").isin(wave)).select("shard", "node", "u")
+        evenly_dealt(own).mapInArrow(_ways(own, most), "at bigint, to bigint, cos float").write.mode("append").parquet(ways)
+    there = spark.read.schema("at bigint, to bigint, cos float").parquet(ways)
+    back = there.select(F.col("to").alias("at"), F.col("at").alias("to"), "cos")
+    back = top_per_key(back, ["at"], [F.col("cos").desc(), "to"], most, rank_name="place").drop("place")
+    both = there.unionByName(back).groupBy("at").agg(F.collect_set("to").alias("across"))
+    at = _address(F.col("shard"), F.col("node"))
+    graphs.join(both, at == F.col("at"), "left").select(
+        *graphs.columns, F.coalesce("across", F.array().cast("array<bigint>")).alias("across")
+    ).write.parquet(path)
+    remove_folder(spark, ways)
+
+
+def _ways(own: DataFrame, most: int):
+    """A step that gives for every node of a wave its neighbours (at, to, cos) among all nodes of the wave."""
+    table = own.orderBy("shard", "node").toArrow().combine_chunks()
+    address = _address(table.column("shard").to_numpy(), table.column("node").to_numpy().astype(np.int64))
+    single = _list_matrix(table.column("u").combine_chunks()).astype(np.float32)
+    shared = own.sparkSession.sparkContext.broadcast((address, single))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            address, single = shared.value
+            at = _address(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64))
+            node = np.searchsorted(address, at)
+            chosen = np.array(_spread(single, node, _nearest(single, 3 * most, node), most), np.int64).reshape(len(b), -1)
+            cos = np.einsum("ij,ikj->ik", single[node], single[chosen])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (np.repeat(at, chosen.shape[1]), address[chosen.ravel()], cos.ravel())], names=["at", "to", "cos"]
+            )
+
+    return step
 
 
-def _nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` nearest other rows of every row, nearest first."""
+def _nearest(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The ``k`` nearest other rows of every row, or of the rows ``of``, nearest first."""
+    of = np.arange(len(x)) if of is None else of
     k = min(k, len(x) - 1)
-    out = np.empty((len(x), k), np.int64)
+    out = np.empty((len(of), k), np.int64)
     step = max(1, PRODUCT_CELLS // len(x))
-    for at in range(0, len(x), step):
-        product = x[at:at + step] @ x.T
-        product[np.arange(len(product)), at + np.arange(len(product))] = -np.inf
+    for at in range(0, len(of), step):
+        own = of[at:at + step]
+        product = x[own] @ x.T
+        product[np.arange(len(own)), own] = -np.inf
         if k:
             _, cols, _ = _top_k(product, k)
             out[at:at + step] = cols.reshape(-1, k)
     return out
 
 
-def _spread(x: np.ndarray, own: int, near: np.ndarray, most: int) -> list[int]:
-    """Neighbours in different directions: one is taken if it is nearer to the node than to those taken before; then
-    the nearest of the others while there is room."""
-    among = x[near] @ x[near].T
-    to_own = x[near] @ x[own]
-    taken: list[int] = []
-    for k in range(len(near)):
-        if len(taken) < most and (not taken or among[k, taken].max() <= to_own[k]):
-            taken.append(k)
-    rest = [k for k in range(len(near)) if k not in taken]
-    return [int(near[k]) for k in (*taken, *rest[:most - len(taken)])]
+def _spread(x: np.ndarray, of: np.ndarray, near: np.ndarray, most: int) -> list[list[int]]:
+    """Neighbours in different directions, of the rows ``of``: one is taken if it is nearer to the node than to those taken
+    before; then the nearest of the others while there is room."""
+    out = []
+    for at in range(0, len(near), ROWS_IN_STEP):
+        own = near[at:at + ROWS_IN_STEP]
+        around = x[own]
+        among = around @ around.transpose(0, 2, 1)
+        to_own = np.einsum("ikj,ij->ik", around, x[of[at:at + ROWS_IN_STEP]])
+        taken, closest = np.zeros(own.shape, bool), np.full(own.shape, -np.inf)
+        for k in range(own.shape[1]):
+            take = (taken.sum(axis=1) < most) & (closest[:, k] <= to_own[:, k])
+            taken[:, k] = take
+            closest[take] = np.maximum(closest[take], among[take, k])
+        order = np.argsort(~taken, axis=1, kind="stable")[:, :most]
+        out += np.take_along_axis(own, order, axis=1).tolist()
+    return out
 
 
 def _parts(links: list[list[int]]) -> np.ndarray:
@@ -110,8 +178,7 @@ def _parts(links: list[list[int]]) -> np.ndarray:
 
 def _layer(x: np.ndarray, most: int) -> list[list[int]]:
     """Links of one layer: chosen neighbours, the ways back, and links between parts."""
-    near = _nearest(x, 3 * most)
-    chosen = [_spread(x, i, near[i], most) for i in range(len(x))]
+    chosen = _spread(x, np.arange(len(x)), _nearest(x, 3 * most), most)
     both = [dict.fromkeys(c) for c in chosen]
     for i, c in enumerate(chosen):
         for j in c:
@@ -144,87 +211,143 @@ def layers(x: np.ndarray, most: int, seed: int) -> list[list[list[int]]]:
 class Graph:
     ids: np.ndarray
     x: np.ndarray
-    links: list[np.ndarray]  # per layer, a row of neighbours per node, -1 beyond them
-    start: int
-
-
-def make_graph(ids: np.ndarray, x: np.ndarray, links: list[list[list[int]]]) -> Graph:
-    height = np.array([len(own) for own in links])
+    near: np.ndarray  # ``x`` in single precision
+    links: list[np.ndarray]  # for the layers below ``top``, a row of neighbours per node, -1 beyond them
+    top: np.ndarray  # nodes of the lowest layer, above the first, that has at most ``PLAIN_NODES``
+
+
+def make_graph(
+    ids: np.ndarray, x: np.ndarray, links: list[list[list[int]]] | pa.ListArray, first: np.ndarray | int = 0,
+    across: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Graph:
+    """One graph of the nodes of one or several shards: ``links`` count from the nodes ``first``, ``across`` are more links
+    (node, node) of the lowest layer."""
+    if not isinstance(links, pa.ListArray):
+        links = pa.array(links, pa.list_(pa.list_(pa.int32())))
+    height, lists = links.value_lengths().to_numpy(), links.flatten()
+    node, layer = np.repeat(np.arange(len(x)), height), _places(height)
+    top = max(1, next((i for i in range(1, height.max()) if (height > i).sum() <= PLAIN_NODES), height.max() - 1))
+    size = lists.value_lengths().to_numpy()
+    own, layer = np.repeat(node, size), np.repeat(layer, size)
+    to = lists.flatten().to_numpy() + np.broadcast_to(first, len(x))[own]
     tables = []
-    for layer in range(height.max()):
-        own = [node[layer] if layer < len(node) else [] for node in links]
-        table = np.full((len(own), max(1, max(map(len, own)))), -1, np.int64)
-        for i, o in enumerate(own):
-            table[i, :len(o)] = o
+    for i in range(top):
+        a, b = own[layer == i], to[layer == i]
+        if across is not None and not i:
+            a, b = np.divmod(np.unique(np.concatenate([a, across[0]]) * len(x) + np.concatenate([b, across[1]])), len(x))
+        count = np.bincount(a, minlength=len(x))
+        table = np.full((len(x), max(1, count.max())), -1, np.int32)
+        table[a, _places(count)] = b
         tables.append(table)
-    return Graph(ids, x, tables, int(height.argmax()))
+    return Graph(ids, x, x.astype(np.float32), tables, np.flatnonzero(height > top) if height.max() > top else np.array([height.argmax()]))
+
+
+def _places(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for the entries of lists of these sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _products(x: np.ndarray, nodes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The products of every row of ``x`` with the rows of ``of`` that ``nodes`` has for it."""
+    out = np.empty(nodes.shape, of.dtype)
+    step = max(1, GATHERED // max(1, nodes.shape[1] * of.shape[1]))
+    for at in range(0, len(nodes), step):
+        out[at:at + step] = (of.take(nodes[at:at + step], axis=0) @ x[at:at + step, :, None])[:, :, 0]
+    return out
 
 
 def _widened(
-    graph: Graph, table: np.ndarray, x: np.ndarray, first: np.ndarray, first_near: np.ndarray, width: int
+    graph: Graph, table: np.ndarray, x: np.ndarray, first: np.ndarray, first_near: np.ndarray, width: int, k: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, int]:
-    """The nodes met that are nearest to each prospect, as many as ``width``, by opening the nearest unopened ones until
-    none of those held is unopened. Starts from the nodes ``first``; -1 stands for none."""
-    n, width = len(x), max(width, first.shape[1])
-    held, near = np.full((n, width), -1), np.full((n, width), -np.inf)
-    opened, products = np.zeros((n, width), bool), 0
-    held[:, :first.shape[1]], near[:, :first.shape[1]] = first, first_near
-    met = np.zeros((n, len(graph.x)), bool)
-    r, c = np.nonzero(first >= 0)
-    met[r, first[r, c]] = True
-    active = np.arange(n)
-    while len(active):
-        score = np.where(opened[active] | (held[active] < 0), -np.inf, near[active])
-        pick = np.argpartition(-score, min(OPENED, width) - 1, axis=1)[:, :OPENED]
-        fresh = np.take_along_axis(score, pick, axis=1) > -np.inf
-        active, pick, fresh = active[fresh.any(axis=1)], pick[fresh.any(axis=1)], fresh[fresh.any(axis=1)]
-        if not len(active):
-            break
-        nodes = np.where(fresh, held[active[:, None], pick], -1)
-        opened[active[:, None], pick] |= fresh
-        around = np.where((nodes >= 0)[:, :, None], table[nodes], -1).reshape(len(active), -1)
-        r, c = np.nonzero((around >= 0) & ~met[active[:, None], around])
-        pairs = np.unique(active[r] * len(graph.x) + around[r, c])
-        row, node = pairs // len(graph.x), pairs % len(graph.x)
-        met[row, node] = True
-        value = np.einsum("ij,ij->i", x[row], graph.x[node])
-        products += len(pairs)
-        slot = np.arange(len(row)) - np.searchsorted(row, row)
-        more = int(slot.max()) + 1 if len(slot) else 0
-        new, new_near = np.full((n, more), -1), np.full((n, more), -np.inf)
-        new[row, slot], new_near[row, slot] = node, value
-        all_near = np.concatenate([near[active], new_near[active]], axis=1)
-        order = np.argpartition(-all_near, width - 1, axis=1)[:, :width]
-        near[active] = np.take_along_axis(all_near, order, axis=1)
-        held[active] = np.take_along_axis(np.concatenate([held[active], new[active]], axis=1), order, axis=1)
-        flags = np.concatenate([opened[active], np.zeros((len(active), more), bool)], axis=1)
-        opened[active] = np.take_along_axis(flags, order, axis=1)
-    return held, near, products
+    """The nodes met that are nearest to each prospect, nearest first, by opening the nearest unopened ones until none of the
+    nearest ``width`` is unopened. Starts from the nodes ``first``.
+
+    With ``k`` this begins with half the width, and the width doubles for prospects whose ``k`` nearest still change by that.
+    """
+    n, size = len(x), len(graph.x)
+    met = np.zeros((n, size), np.int32)
+    np.put_along_axis(met, first, -1, axis=1)
+    met, rows, products = met.reshape(-1), np.arange(n), 0
+    out, out_near = np.zeros((n, k or width), np.int32), np.full((n, k or width), -np.inf, x.dtype)
+    width = max(1, width // 2, k) if k else width
+    held, near, opened = first.astype(np.int32), first_near, np.zeros(first.shape, bool)
+    while True:
+        held, near, opened = _held(held, near, opened, width)
+        step = max(min(OPENED, width), width // 6)
+        while True:
+            score = np.where(opened[:, :width], np.inf, -near[:, :width])
+            pick = np.argpartition(score, step - 1, axis=1)[:, :step]
+            at, slot = np.nonzero(np.take_along_axis(score, pick, axis=1) < np.inf)
+            if not len(at):
+                break
+            slot = pick[at, slot]
+            opened[at, slot] = True
+            around = table.take(held[at, slot], axis=0)
+            new = (around + (rows[at] * size)[:, None])[around >= 0]
+            at = np.repeat(at, (around >= 0).sum(axis=1))
+            free = met.take(new) == 0
+            new, at = new[free], at[free]
+            number = np.arange(1, len(new) + 1, dtype=np.int32)
+            met[new] = number
+            once = met.take(new) == number  # of a node that several opened ones lead to, one stays
+            new, at = new[once], at[once]
+            if not len(at):
+                continue
+            products += len(at)
+            count = np.bincount(at, minlength=len(rows))
+            some = np.flatnonzero(count)
+            place, slot = (np.cumsum(count > 0) - 1)[at], _places(count)
+            padded = np.zeros((len(some), count.max()), np.int64)
+            padded[place, slot] = new % size
+            value = np.full(padded.shape, -np.inf, x.dtype)
+            value[place, slot] = _products(x[rows[some]], padded, graph.near)[place, slot]
+            at, slot = np.nonzero(value > near[some].min(axis=1)[:, None])
+            if not len(at):
+                continue
+            count = np.bincount(at, minlength=len(some))
+            place = _places(count)
+            more_held, more = np.zeros((len(some), count.max()), np.int32), np.full((len(some), count.max()), -np.inf, x.dtype)
+            more_held[at, place], more[at, place] = padded[at, slot], value[at, slot]
+            joined = (np.concatenate(c, axis=1) for c in ((held[some], more_held), (near[some], more), (opened[some], more == -np.inf)))
+            held[some], near[some], opened[some] = _held(*joined, width)
+        order = np.argsort(-near[:, :width], axis=1, kind="stable")[:, :out.shape[1]]
+        best = np.take_along_axis(near, order, axis=1)
+        changed = (best > out_near[rows][:, :best.shape[1]]).any(axis=1)
+        out[rows, :best.shape[1]], out_near[rows, :best.shape[1]] = np.take_along_axis(held, order, axis=1), best
+        if not k or width >= size or not changed.any():
+            return out, out_near, products
+        rows, held, near, opened, width = rows[changed], held[changed], near[changed], opened[changed], 2 * width
+
+
+def _held(held: np.ndarray, near: np.ndarray, opened: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest ``width`` nodes, then as many of the next ones."""
+    short = 2 * width - held.shape[1]
+    if short >= 0:
+        pad = ((0, 0), (0, short + 1))
+        held, near, opened = np.pad(held, pad), np.pad(near, pad, constant_values=-np.inf), np.pad(opened, pad, constant_values=True)
+    order = np.argpartition(-near, (width - 1, 2 * width - 1), axis=1)[:, :2 * width]
+    return tuple(np.take_along_axis(c, order, axis=1) for c in (held, near, opened))
 
 
 def search(graph: Graph, x: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row, node, cosine) of up to ``k`` clients per prospect, and the products computed."""
-    n, width = len(x), max(beam, k)
-    at = np.full(n, graph.start)
-    cos = x @ graph.x[graph.start]
-    products = n
-    for table in graph.links[:1:-1]:
-        moving = np.arange(n)
-        while len(moving):
-            around = table[at[moving]]
-            score = np.where(around >= 0, np.einsum("ij,ikj->ik", x[moving], graph.x[around]), -np.inf)
-            products += int((around >= 0).sum())
-            best = score.argmax(axis=1)
-            better = score[np.arange(len(moving)), best] > cos[moving]
-            moving, best, around, score = moving[better], best[better], around[better], score[better]
-            at[moving], cos[moving] = around[np.arange(len(moving)), best], score[np.arange(len(moving)), best]
-    held, near = at[:, None], cos[:, None]
-    for table, most in zip(graph.links[1::-1], (STARTS, width)[-len(graph.links[:2]):]):
-        held, near, computed = _widened(graph, table, x, held, near, most)
-        products += computed
-    rows, slots = np.nonzero(held >= 0)
-    rows, node, value, _ = _best_of(rows, held[rows, slots], near[rows, slots], k)
-    return rows, node, value, products
+    """(row, node, cosine) of up to ``k`` clients per prospect, and the products computed.
+
+    The way is found in single precision; the winners are ranked in double.
+    """
+    whole, x, width = x, x.astype(np.float32), max(beam, 2 * k)
+    near = x @ graph.near[graph.top].T
+    products = near.size
+    some = min(len(graph.top), STARTS if len(graph.links) > 1 else 2 * width)
+    rows, cols, _ = _top_k(near, some)
+    held, near = graph.top[cols].reshape(len(x), some), near[rows, cols].reshape(len(x), some)
+    for table in graph.links[:0:-1]:
+        held, near, computed = _widened(graph, table, x, held, near, STARTS)
+        held, near, products = held[:, near.max(axis=0) > -np.inf], near[:, near.max(axis=0) > -np.inf], products + computed
+    held, near, computed = _widened(graph, graph.links[0], x, held, near, width, k + SPARE)
+    rows, slots = np.nonzero(near > -np.inf)
+    node = held[rows, slots]
+    rows, node, value, _ = _best_of(rows, node, np.einsum("ij,ij->i", whole[rows], graph.x[node]), k)
+    return rows, node, value, products + computed
 
 
 def similar_by_graph(
@@ -241,16 +364,10 @@ def similar_by_graph(
     ])
     none = [F.array().cast(kinds[c].dataType).alias(c) for c in ("ids", "cos")]
     state = prospects.select(key, vectors.unit(vectors.as_doubles(F.col(vector))).alias("v"), *none).filter("v is not null")
-    sizes = graphs.groupBy("shard").agg(F.sum(F.size("u") * 8 + LINKS * 20).alias("bytes")).orderBy("shard").collect()
-    wave, room, turn = [], wave_bytes, 0
-    for r in [*sizes, None]:
-        if wave and (r is None or r["bytes"] > room):
-            state, turn = checkpointed(state) if turn else state, turn + 1
-            state = state.mapInArrow(_visit(graphs, wave, client_key, k, beam, products), kinds)
-            wave, room = [], wave_bytes
-        if r is not None:
-            wave.append(r["shard"])
-            room -= r["bytes"]
+    state = evenly_dealt(state)
+    for turn, wave in enumerate(_waves(graphs, wave_bytes)):
+        state = checkpointed(state) if turn else state
+        state = state.mapInArrow(_visit(graphs, wave, client_key, k, beam, products), kinds)
     ranked = state.select(key, F.posexplode(F.arrays_zip("ids", "cos")).alias("place", "hit"))
     ranked = ranked.select(
         key, F.col("hit.ids").alias(client_key), F.col("hit.cos").alias("cosine"), (F.col("place") + 1).alias("rank")
@@ -258,33 +375,48 @@ def similar_by_graph(
     return ranked.withColumn("similarity", F.round(F.col("cosine") * 100, 2))
 
 
+def _waves(graphs: DataFrame, wave_bytes: int) -> list[list[int]]:
+    """Shards per wave, in the order of their numbers; sizes come from one grouped count."""
+    sizes = graphs.groupBy("shard").agg(F.sum(F.size("u") * 8 + LINKS * 20).alias("bytes")).orderBy("shard").collect()
+    waves, room = [], 0
+    for r in sizes:
+        if not waves or r["bytes"] > room:
+            waves.append([])
+            room = wave_bytes
+        waves[-1].append(r["shard"])
+        room -= r["bytes"]
+    return waves
+
+
 def _visit(graphs: DataFrame, wave: list[int], client_key: str, k: int, beam: int, products: Accumulator | None):
-    """A step that lets every prospect search the graphs of one wave."""
+    """A step that lets every prospect search the graph of one wave."""
     table = graphs.filter(F.col("shard").isin(wave)).orderBy("shard", "node").toArrow().combine_chunks()
-    shard = table.column("shard").to_numpy()
-    made = []
-    for lo, hi in zip(*(np.searchsorted(shard, np.unique(shard), side) for side in ("left", "right"))):
-        part = table.slice(lo, hi - lo)
-        unit = _list_matrix(part.column("u").combine_chunks())
-        made.append(make_graph(part.column(client_key).to_numpy(), unit, part.column("links").to_pylist()))
+    shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy().astype(np.int64)
+    address, across = _address(shard, node), table.column("across").combine_chunks()
+    to = across.flatten().to_numpy()
+    at, own = np.searchsorted(address, to), np.repeat(np.arange(len(address)), across.value_lengths().to_numpy())
+    there = address[np.minimum(at, len(address) - 1)] == to  # of another wave, if it was made smaller
+    made = make_graph(
+        table.column(client_key).to_numpy(), _list_matrix(table.column("u").combine_chunks()), table.column("links").combine_chunks(),
+        np.arange(len(node)) - node, (own[there], at[there]),
+    )
     shared = graphs.sparkSession.sparkContext.broadcast(made)
+    in_step = max(1, min(ROWS_IN_STEP, STEP_CELLS // len(node)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), ROWS_IN_STEP):
-                yield visited(batch.slice(at, ROWS_IN_STEP))
+            for at in range(0, len(batch), in_step):
+                yield visited(batch.slice(at, in_step))
 
     def visited(b: pa.RecordBatch) -> pa.RecordBatch:
         x = _list_matrix(b.column(1))
         have = b.column(2).value_lengths().to_numpy()
-        ids = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(shared.value[0].ids.dtype, copy=False)
-        found = [(np.repeat(np.arange(len(b)), have), ids, b.column(3).flatten().to_numpy(zero_copy_only=False))]
-        for graph in shared.value:
-            rows, node, cos, computed = search(graph, x, k, beam)
-            found.append((rows, graph.ids[node], cos))
-            if products is not None:
-                products.add(computed)
-        rows, ids, cos, _ = _best_of(*(np.concatenate(f) for f in zip(*found)), k)
+        ids = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(shared.value.ids.dtype, copy=False)
+        rows, node, cos, computed = search(shared.value, x, k, beam)
+        if products is not None:
+            products.add(computed)
+        found = (np.repeat(np.arange(len(b)), have), rows), (ids, shared.value.ids[node]), (b.column(3).flatten().to_numpy(zero_copy_only=False), cos)
+        rows, ids, cos, _ = _best_of(*map(np.concatenate, found), k)
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(b)))]), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (ids, cos)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=b.schema.names)

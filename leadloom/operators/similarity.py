@@ -3,7 +3,7 @@
 Exact top-k needs every prospect-client product, but no pair is ever emitted: a task multiplies a block of
 prospect vectors with the client matrix and returns ``k`` rows per prospect.
 
-* Client matrix measured to fit the bound: broadcast once, prospects stay where they are (no shuffle).
+* Client matrix measured to fit the bound: broadcast once, prospects stay where they are, unless that is in few partitions.
 * Larger: prospects are dealt into even chunks and clients into even blocks, each (chunk, block) is one
   bounded task, and the per-block winners are merged. A prospect is copied once per block and a client once per
   chunk, so both numbers stay small until a chunk or block would exceed ``CHUNK_BYTES``.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from leadloom.functions import vectors
 from leadloom.functions.exprs import let
 from leadloom.operators.common import top_per_key
-from leadloom.sizing import bounded_broadcast, checkpointed
+from leadloom.sizing import bounded_broadcast, checkpointed, evenly_dealt
 
 MATRIX_MAX_BYTES = 128 << 20
 CHUNK_BYTES = 64 << 20
@@ -125,7 +125,7 @@ def top_similar(
     if n == 0:
         return _shown(p.sparkSession.createDataFrame([], schema))
     if n * dim * 8 <= matrix_max_bytes:
-        return _shown(_by_broadcast(p, c, k, key, client_key, schema))
+        return _shown(_by_broadcast(evenly_dealt(p), c, k, key, client_key, schema))
     blocks = _pieces(n * dim * 8, chunk_bytes, BLOCKS)
     dealt = c.select(client_key, "v", F.lit(0).alias("list"), _share(client_key, blocks).alias("block"))
     p = p.withColumn(ROW, F.monotonically_increasing_id())
@@ -272,6 +272,7 @@ def approx_similar(
     ).fit(ready)
     dealt = model.transform(ready).select(client_key, "v", "list")
     centers, _ = _unit_rows(np.array(model.clusterCenters()))
+    p = evenly_dealt(p)
     if n * dim * 8 <= matrix_max_bytes:
         return _shown(_lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema))
     return _shown(_lists_by_blocks(p, checkpointed(dealt), centers, probes, n, dim, chunk_bytes, k, key, client_key, schema))

@@ -60,6 +60,22 @@ def bounded_broadcast(
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+#: Rows of a partition below which nothing is dealt anew.
+FEW_ROWS = 2_000
+
+
+def evenly_dealt(df: DataFrame) -> DataFrame:
+    """For steps that take long per row: rows that lie in few partitions, as those of a file of one row group, are dealt to all cores.
+
+    Rows are counted where they lie; where no partition has far more than its share, the frame is returned as is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    counts = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if counts[0] is None or counts[0] <= max(FEW_ROWS, 1.5 * counts[1] / cores):
+        return df
+    return df.repartition(max(4 * cores, df.rdd.getNumPartitions()))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, below the cluster's shared ``spark.checkpoint.dir``.
 

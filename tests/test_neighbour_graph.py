@@ -71,3 +71,24 @@ def test_prospects_are_neither_shuffled_nor_copied(spark):
     found = ng.similar_by_graph(frame_of(spark, rng.normal(size=(20, 8)), "vec_id"), graphs, 3, wave_bytes=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_shards_of_a_wave_are_one_graph(spark):
+    """Products do not grow with the number of shards; prospects are no clients here, nor near any."""
+    rng = np.random.default_rng(8)
+    c, p = unit(rng.normal(size=(4_000, 12))), unit(rng.normal(size=(100, 12)))
+    graphs = ng.store_graph(frame_of(spark, c, "client_id"), shard_rows=200).cache()
+    assert graphs.select("shard").distinct().count() >= 15
+    products = spark.sparkContext.accumulator(0)
+    got = ng.similar_by_graph(frame_of(spark, p, "vec_id"), graphs, 10, products=products).collect()
+    want = np.argsort(-(p @ c.T), axis=1)[:, :10]
+    assert len(got) == 1_000 and sum(r.client_id in want[r.vec_id] for r in got) >= 950
+    assert products.value < 0.5 * len(p) * len(c)
+
+
+def test_prospects_in_one_partition_are_dealt_to_all_cores(spark):
+    rng = np.random.default_rng(9)
+    graphs = ng.store_graph(frame_of(spark, rng.normal(size=(50, 4)), "client_id"))
+    one = frame_of(spark, rng.normal(size=(3_000, 4)), "vec_id").coalesce(1)
+    found = ng.similar_by_graph(one, graphs, 1)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 3_000
