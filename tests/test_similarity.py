@@ -159,3 +159,12 @@ def test_winners_held_do_not_grow_with_the_lists(monkeypatch, probes):
     assert max(most) <= 400 + 2 * 50 * 6
 
 
+@pytest.mark.parametrize("form", [similarity.top_similar, lambda *a: similarity.approx_similar(*a, probes=999)])
+def test_prospects_in_one_partition_are_dealt_to_all_cores(spark, vectors, form):
+    _, c, _, dc = vectors
+    p = np.random.default_rng(4).normal(size=(3_000, 8))
+    one = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(p)], "vec_id bigint, embedding array<double>").coalesce(1)
+    found = form(one, dc, 2)
+    assert found.rdd.getNumPartitions() > 1
+    want = [(i, r + 1, j) for i, js in brute(p, c, 2).items() for r, j in enumerate(js)]
+    assert sorted(values(found, "vec_id", "rank", "client_id")) == sorted(want)
