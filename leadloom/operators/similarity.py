@@ -32,7 +32,11 @@ MATRIX_MAX_BYTES = 128 << 20
 CHUNK_BYTES = 64 << 20
 #: Smaller chunks and blocks than that are made as asked for, but no more than so many: each costs a copy of the other side.
 CHUNKS, BLOCKS = 32, 4
+#: No chunk is made smaller than that to keep all cores busy.
+CHUNK_LEAST_BYTES = 4 << 20
 PRODUCT_CELLS = 4_000_000
+#: Rows and columns of a product that stays in the processor's cache, and the share of its cells beyond which it is ranked as a whole.
+TILE, DENSE = (512, 1_024), 32
 #: Columns per group whose maxima bound the k-th best, and winners held before they are merged.
 GROUP, HELD = 32, 2_000_000
 ROW = "_row"
@@ -67,13 +71,58 @@ def _top_k(product: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return rows[keep], cols[keep], rank[keep]
 
 
-def _rank_block(x: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int):
-    """Top-k of a block of unit vectors, in slices that bound the product's memory."""
-    step = max(1, PRODUCT_CELLS // max(1, len(ids)))
-    for start in range(0, len(x), step):
-        part = x[start : start + step] @ unit.T
-        rows, cols, rank = _top_k(part, k)
-        yield start + rows, ids[cols], part[rows, cols], rank
+def _rank_block(x: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int, near: np.ndarray | None = None):
+    """Top-k of a block of unit vectors, in slices that bound the product's memory. ``near`` is ``unit`` in single precision."""
+    near = unit.astype(np.float32) if near is None else near
+    for start in range(0, len(x), TILE[0]):
+        rows, cols, cos, rank = _ranked(x[start : start + TILE[0]], unit, near, k)
+        yield start + rows, ids[cols], cos, rank
+
+
+def _ranked(x: np.ndarray, unit: np.ndarray, near: np.ndarray, k: int):
+    """(row, column, cosine, rank) of the ``k`` largest per row, ties to the lower column.
+
+    Products are made in single precision, tile by tile; what may be better than a row's k-th best so far is computed in double.
+    A tile with much of that, as the first one, is ranked in double as a whole.
+    """
+    single, k = x.astype(np.float32), min(k, len(unit))
+    # no product of unit vectors in single precision is off by more
+    error = (x.shape[1] + 8) * 2.0**-24
+    bound = np.full((len(x), 1), -np.inf, np.float32)
+    none = np.zeros(0, np.int64)
+    found, more = [(none, none, np.zeros(0, unit.dtype))], 0
+    product = mask = np.empty(0, bool)
+    for at in range(0, len(unit), TILE[1]):
+        rows, tile = None, near[at : at + TILE[1]]
+        if at:
+            if product.shape != (len(x), len(tile)):
+                product, mask = (np.empty((len(x), len(tile)), kind) for kind in (np.float32, bool))
+            np.greater_equal(np.matmul(single, tile.T, out=product), bound, out=mask)
+            hits = _marked(mask)
+            if len(hits) <= mask.size // DENSE:
+                rows, cols = np.divmod(hits, len(tile))
+        if rows is None:
+            rows, cols, _ = _top_k(x @ unit[at : at + TILE[1]].T, k)
+        if not len(rows):
+            continue
+        cols = cols + at
+        found.append((rows, cols, np.einsum("ij,ij->i", x[rows], unit[cols])))
+        more += len(rows)
+        if more >= len(x) * k:
+            *best, rank = _best_of(*map(np.concatenate, zip(*found, strict=True)), k)
+            found, more = [tuple(best)], 0
+            last = rank == k
+            bound[best[0][last], 0] = best[2][last] - 2 * error
+    return _best_of(*map(np.concatenate, zip(*found, strict=True)), k)
+
+
+def _marked(mask: np.ndarray) -> np.ndarray:
+    """As ``flatnonzero``, for few marks: eight cells are looked at as one."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    own, at = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
+    return np.concatenate([eights[own] * 8 + at, whole + np.flatnonzero(flat[whole:])])
 
 
 def _best_of(rows: np.ndarray, cols: np.ndarray, cos: np.ndarray, k: int):
@@ -130,7 +179,7 @@ def top_similar(
     dealt = c.select(client_key, "v", F.lit(0).alias("list"), _share(client_key, blocks).alias("block"))
     p = p.withColumn(ROW, F.monotonically_increasing_id())
     copies = p.select("*", F.array(F.lit(0)).alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return _shown(_by_blocks(copies, dealt, _pieces(p.count() * dim * 8, chunk_bytes, CHUNKS), k, key, client_key, schema))
+    return _shown(_by_blocks(copies, dealt, _chunks(p, dim, chunk_bytes, blocks), k, key, client_key, schema))
 
 
 def _pieces(size: int, piece_bytes: int, most: int) -> int:
@@ -138,6 +187,13 @@ def _pieces(size: int, piece_bytes: int, most: int) -> int:
     return max(1, min(math.ceil(size / piece_bytes), max(most, math.ceil(size / CHUNK_BYTES))))
 
 
+def _chunks(p: DataFrame, dim: int, chunk_bytes: int, blocks: int) -> int:
+    """Chunks of prospects: bounded in size, and of large sides so many that all cores have tasks of about equal number."""
+    size = p.count() * dim * 8
+    busy = math.ceil(4 * p.sparkSession.sparkContext.defaultParallelism / blocks)
+    return max(_pieces(size, chunk_bytes, CHUNKS), min(busy, size // CHUNK_LEAST_BYTES, CHUNKS))
+
+
 def _share(name: str, count: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
 
@@ -157,23 +213,27 @@ def _by_broadcast(p, c, k, key, client_key, schema) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        near = matrix.astype(np.float32)
         for b in batches:
             if len(b) == 0 or len(ids) == 0:
                 continue
             x, good = _unit_rows(_list_matrix(b.column(1)))
             keys = b.column(0).filter(pa.array(good))
-            for rows, client, cos, rank in _rank_block(x[good], ids, matrix, k):
+            for rows, client, cos, rank in _rank_block(x[good], ids, matrix, k, near):
                 yield _batch(names, keys.take(pa.array(rows)), client, cos, rank)
 
     return p.mapInArrow(kernel, schema)
 
 
-def _rank_lists(x: np.ndarray, wanted: np.ndarray, members: np.ndarray, starts: np.ndarray, unit: np.ndarray, k: int):
+def _rank_lists(
+    x: np.ndarray, wanted: np.ndarray, members: np.ndarray, starts: np.ndarray, unit: np.ndarray, k: int, near: np.ndarray | None = None
+):
     """Winners (row, member, cosine, rank) of every row among the members of the lists that it wants.
 
     ``wanted[row, list]`` marks them; ``members[starts[l]:starts[l + 1]]`` are the rows of ``unit`` in list l. Adjacent lists
     that the same rows want are one product. Winners held at a time are bounded, whatever the number of lists.
     """
+    near = unit.astype(np.float32) if near is None else near
     step = max(1, PRODUCT_CELLS // max(1, wanted.shape[1]))
     for start in range(0, len(x), step):
         some, own = x[start : start + step], wanted[start : start + step]
@@ -183,8 +243,8 @@ def _rank_lists(x: np.ndarray, wanted: np.ndarray, members: np.ndarray, starts:
             at, inside = np.flatnonzero(own[:, lo]), np.sort(members[starts[lo] : starts[hi]])
             if not len(at) or not len(inside):
                 continue
-            matrix = unit if len(inside) == len(unit) else unit[inside]
-            for r, which, cos, _ in _rank_block(some[at], inside, matrix, k):
+            both = (unit, near) if len(inside) == len(unit) else (unit[inside], near[inside])
+            for r, which, cos, _ in _rank_block(some[at], inside, both[0], k, both[1]):
                 found.append((at[r], which, cos))
                 held += len(r)
                 if held > full:
@@ -299,6 +359,7 @@ def _lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema) -
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit, members, starts, centers = shared.value
+        single = unit.astype(np.float32)
         step = max(1, PRODUCT_CELLS // len(centers))
         for whole in batches:
             for at in range(0, len(whole), step):
@@ -307,7 +368,7 @@ def _lists_by_broadcast(p, dealt, centers, probes, k, key, client_key, schema) -
                 x, keys = x[good], b.column(0).filter(pa.array(good))
                 if len(x):
                     wanted = _nearest_lists(x, centers, near)
-                    for rows, which, cos, rank in _rank_lists(x, wanted, members, starts, unit, k):
+                    for rows, which, cos, rank in _rank_lists(x, wanted, members, starts, unit, k, single):
                         yield _batch(names, keys.take(pa.array(rows)), ids[which], cos, rank)
 
     return p.mapInArrow(kernel, schema)
@@ -351,8 +412,7 @@ def _lists_by_blocks(p, dealt, centers, probes, n, dim, chunk_bytes, k, key, cli
                     yield pa.RecordBatch.from_arrays([*copied, asked, pa.array(np.full(len(who), block), pa.int32())], names=kinds.names)
 
     kinds = T.StructType([*p.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("block", T.IntegerType())])
-    chunks = _pieces(p.count() * dim * 8, chunk_bytes, CHUNKS)
-    return _by_blocks(p.mapInArrow(route, kinds), dealt, chunks, k, key, client_key, schema)
+    return _by_blocks(p.mapInArrow(route, kinds), dealt, _chunks(p, dim, chunk_bytes, blocks), k, key, client_key, schema)
 
 
 def best_match(ranked: DataFrame, clients: DataFrame, client_key: str = "client_id") -> DataFrame:

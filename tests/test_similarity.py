@@ -168,3 +168,21 @@ def test_prospects_in_one_partition_are_dealt_to_all_cores(spark, vectors, form)
     assert found.rdd.getNumPartitions() > 1
     want = [(i, r + 1, j) for i, js in brute(p, c, 2).items() for r, j in enumerate(js)]
     assert sorted(values(found, "vec_id", "rank", "client_id")) == sorted(want)
+
+
+@pytest.mark.parametrize("copies", [1, 40, 20_000])
+def test_few_products_are_made_in_double(monkeypatch, copies):
+    """Large groups of equal clients, and k of them: the least numbers win, whatever tiles they lie in."""
+    rng = np.random.default_rng(copies)
+    some, _ = similarity._unit_rows(rng.normal(size=(20_000 // copies, 16)))
+    c = np.tile(some, (copies, 1))
+    x, _ = similarity._unit_rows(np.concatenate([some[:1], rng.normal(size=(600, 16))]))
+    cells, top = [], similarity._top_k
+    monkeypatch.setattr(similarity, "_top_k", lambda product, k: cells.append(product.size) or top(np.round(product, 12), k))
+    rows, ids, cos, rank = map(np.concatenate, zip(*similarity._rank_block(x, np.arange(len(c)), c, 10)))
+    s = np.round(x @ c.T, 12)
+    want = [(i, j, r + 1) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(c)), -s[i]))[:10].tolist())]
+    assert list(zip(rows.tolist(), ids.tolist(), rank.tolist())) == want
+    assert np.abs(cos - s[rows, ids]).max() < 1e-11
+    if copies == 1:
+        assert sum(cells) < 0.4 * s.size
