@@ -178,7 +178,8 @@ def top_similar(
     blocks = _pieces(n * dim * 8, chunk_bytes, BLOCKS)
     dealt = c.select(client_key, "v", F.lit(0).alias("list"), _share(client_key, blocks).alias("block"))
     p = p.withColumn(ROW, F.monotonically_increasing_id())
-    copies = p.select("*", F.array(F.lit(0)).alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    one = F.lit(np.packbits([True]).tobytes()).alias("lists"), F.lit(0).alias("base")
+    copies = p.select("*", *one, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     return _shown(_by_blocks(copies, dealt, _chunks(p, dim, chunk_bytes, blocks), k, key, client_key, schema))
 
 
@@ -259,8 +260,9 @@ def _rank_lists(
 def _by_blocks(copies, dealt, chunks, k, key, client_key, schema) -> DataFrame:
     """(chunk, block) tasks of bounded size; winners per block are merged per prospect.
 
-    ``copies`` (key, v, row number, lists, block) has a prospect once per block that it visits, with the lists it wants there;
-    ``dealt`` (client, v, list, block) has a client once. A row is told from others of its key by its number, which also
+    ``copies`` (key, v, row number, lists, base, block) has a prospect once per block that it visits, with the lists it wants
+    there: a bit for each list from ``base`` on, as many for all rows of the block, so that a row that wants all lists is no
+    larger than others. ``dealt`` (client, v, list, block) has a client once. A row is told from others of its key by its number, which also
     spreads the rows of a frequent key.
     """
     copies = copies.withColumn("chunk", _share(ROW, chunks))
@@ -277,13 +279,7 @@ def _by_blocks(copies, dealt, chunks, k, key, client_key, schema) -> DataFrame:
             names, number = np.unique(right.column("list").to_numpy()[ok], return_inverse=True)
             members = np.argsort(number, kind="stable")
             starts = np.searchsorted(number[members], np.arange(len(names) + 1))
-            asked = left.column("lists").combine_chunks()
-            which = asked.flatten().to_numpy()
-            row = np.repeat(np.arange(len(x)), asked.value_lengths().to_numpy())
-            place = np.minimum(np.searchsorted(names, which), max(0, len(names) - 1))
-            wanted = np.zeros((len(x), len(names)), bool)
-            there = names[place] == which if len(names) else np.zeros(len(which), bool)
-            wanted[row[there], place[there]] = True
+            wanted = _bits(left.column("lists").combine_chunks(), names - left.column("base")[0].as_py())
             wanted[~good] = False
             for r, client, cos, _ in _rank_lists(x, wanted, members, starts, unit[ok], k):
                 at = pa.array(r)
@@ -298,6 +294,17 @@ def _by_blocks(copies, dealt, chunks, k, key, client_key, schema) -> DataFrame:
     return top_per_key(partial, [ROW], [F.col("cosine").desc(), client_key], k, rank_name="rank").drop(ROW)
 
 
+def _bits(packed: pa.Array, places: np.ndarray) -> np.ndarray:
+    """The bits at these places of every row; all rows have as many."""
+    width = len(packed[0].as_py())
+    rows = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), width)
+    out = np.zeros((len(packed), len(places)), bool)
+    for i, at in enumerate(places):
+        if 0 <= at < 8 * width:
+            out[:, i] = rows[:, at // 8] >> (7 - at % 8) & 1
+    return out
+
+
 def approx_similar(
     prospects: DataFrame, clients: DataFrame, k: int = 10, probes: int = 8, lists: int | None = None,
     key: str = "vec_id", vector: str = "embedding", client_key: str = "client_id",
@@ -401,17 +408,19 @@ def _lists_by_blocks(p, dealt, centers, probes, n, dim, chunk_bytes, k, key, cli
                 wanted = _nearest_lists(x, centers, near) & good[:, None]
                 for block in range(blocks):
                     lists = np.flatnonzero((first <= block) & (block <= last))
-                    row, which = np.nonzero(wanted[:, lists])
-                    if not len(row):
+                    if not len(lists):
+                        continue
+                    asked = wanted[:, lists[0] : lists[-1] + 1]
+                    who = np.flatnonzero(asked.any(axis=1))
+                    if not len(who):
                         continue
-                    count = np.bincount(row, minlength=len(x))
-                    who = np.flatnonzero(count)
-                    offsets = pa.array(np.r_[0, np.cumsum(count[who])], pa.int32())
-                    asked = pa.ListArray.from_arrays(offsets, pa.array(lists[which], pa.int32()))
+                    bits = pa.array([r.tobytes() for r in np.packbits(asked[who], axis=1)], pa.binary())
+                    places = [pa.array(np.full(len(who), at), pa.int32()) for at in (lists[0], block)]
                     copied = [c.take(pa.array(who)) for c in b.columns]
-                    yield pa.RecordBatch.from_arrays([*copied, asked, pa.array(np.full(len(who), block), pa.int32())], names=kinds.names)
+                    yield pa.RecordBatch.from_arrays([*copied, bits, *places], names=kinds.names)
 
-    kinds = T.StructType([*p.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("block", T.IntegerType())])
+    more = [("lists", T.BinaryType()), ("base", T.IntegerType()), ("block", T.IntegerType())]
+    kinds = T.StructType([*p.schema.fields, *(T.StructField(*f) for f in more)])
     return _by_blocks(p.mapInArrow(route, kinds), dealt, _chunks(p, dim, chunk_bytes, blocks), k, key, client_key, schema)
 
 

@@ -186,3 +186,20 @@ def test_few_products_are_made_in_double(monkeypatch, copies):
     assert np.abs(cos - s[rows, ids]).max() < 1e-11
     if copies == 1:
         assert sum(cells) < 0.4 * s.size
+
+
+@pytest.mark.parametrize("form", [similarity.top_similar, lambda *a, **o: similarity.approx_similar(*a, probes=999, lists=60, **o)])
+def test_rows_that_travel_do_not_grow_with_the_lists(vectors, monkeypatch, form):
+    """A prospect that wants all of many lists carries a bit for each."""
+    p, c, dp, dc = vectors
+    seen = []
+    by_blocks = similarity._by_blocks
+
+    def counted(copies, *rest):
+        seen.append(copies.agg(F.max(F.octet_length("lists"))).first()[0])
+        return by_blocks(copies, *rest)
+
+    monkeypatch.setattr(similarity, "_by_blocks", counted)
+    got = values(form(dp, dc, 4, matrix_max_bytes=1, chunk_bytes=512), "vec_id", "rank", "client_id")
+    assert sorted(got) == sorted((i, r + 1, j) for i, js in brute(p, c, 4).items() for r, j in enumerate(js))
+    assert len(seen) == 1 and 0 < seen[0] <= 8
